@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.plans import relational
+from factloom.plans import relational, text
 
-MODULES = [relational]
+MODULES = [relational, text]
 
 
 def queries():
