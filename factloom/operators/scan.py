@@ -2,8 +2,9 @@
 
 A plain ``Window.partitionBy(key).orderBy(seq)`` puts all rows of one key into one task. Here ``seq`` must be a unique
 integer, so the block ``floor(seq / block)`` holds at most ``block`` rows of any key. Windows run inside
-``(key, block)``; one summary row per ``(key, block)`` carries the state from block to block. The row data is shuffled
-once, on ``(key, block)``.
+``(key, block)``; one summary row per ``(key, block)`` carries the state from block to block. Rows are shuffled once, on
+``(key, block)``; the summaries that carry nothing are dropped, so for short histories the join side is almost empty and
+is broadcast at run time. Key columns must not be NULL.
 """
 
 from __future__ import annotations
@@ -18,49 +19,61 @@ _BLK = "__blk"
 
 
 def with_block(df: DataFrame, seq: str, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """Add the block column, unless a scan over the same keys left it in place."""
     if block < 1:
         raise ValueError("block must be positive")
+    if _BLK in df.columns:
+        return df
     return df.withColumn(_BLK, F.floor(F.col(seq) / F.lit(block)).cast("bigint"))
 
 
-def _null_safe(left: str, right: str, keys: Sequence[str]) -> Column:
-    condition = None
-    for key in keys:
-        term = F.col(f"{left}.{key}").eqNullSafe(F.col(f"{right}.{key}"))
-        condition = term if condition is None else condition & term
-    return condition
-
-
-def _attach(df: DataFrame, carry: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
-    on = [*keys, _BLK]
-    joined = df.alias("l").join(carry.alias("r"), _null_safe("l", "r", on), "left")
-    return joined.select("l.*", *[F.col(f"r.{name}") for name in names])
+def _finish(df: DataFrame, keep_block: bool, *extra: str) -> DataFrame:
+    return df.drop(*extra) if keep_block else df.drop(_BLK, *extra)
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], seq: str, sums: dict[str, str | Column],
-                block: int = DEFAULT_BLOCK) -> DataFrame:
-    """Add ``out = sum(value)`` over all rows of the key up to and including this row (ties on ``seq`` not allowed)."""
+                block: int = DEFAULT_BLOCK, keep_block: bool = False) -> DataFrame:
+    """Add ``out = sum(value)`` over the rows of the key up to and including this row."""
     df = with_block(df, seq, block)
     for out, value in sums.items():
         df = df.withColumn(f"__v_{out}", (F.col(value) if isinstance(value, str) else value).cast("bigint"))
     on = [*keys, _BLK]
     totals = df.groupBy(*on).agg(*[F.sum(f"__v_{out}").alias(f"__t_{out}") for out in sums])
     before = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(
-        *on, *[F.coalesce(F.sum(f"__t_{out}").over(before), F.lit(0)).alias(f"__c_{out}") for out in sums]
-    )
+    carry = totals.select(*on, *[F.sum(f"__t_{out}").over(before).alias(f"__c_{out}") for out in sums]).filter(
+        " OR ".join(f"__c_{out} <> 0" for out in sums))
     inside = Window.partitionBy(*on).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for out in sums:
         df = df.withColumn(out, F.sum(f"__v_{out}").over(inside))
-    df = _attach(df, carry, keys, [f"__c_{out}" for out in sums])
+    df = df.join(carry, on, "left")
     for out in sums:
-        df = df.withColumn(out, F.col(out) + F.col(f"__c_{out}"))
-    drop = [_BLK, *[f"__v_{out}" for out in sums], *[f"__c_{out}" for out in sums]]
-    return df.drop(*drop)
+        df = df.withColumn(out, F.col(out) + F.coalesce(F.col(f"__c_{out}"), F.lit(0)))
+    return _finish(df, keep_block, *[f"__v_{out}" for out in sums], *[f"__c_{out}" for out in sums])
+
+
+def running_last(df: DataFrame, keys: Sequence[str], seq: str, values: dict[str, Column],
+                 block: int = DEFAULT_BLOCK, keep_block: bool = False) -> DataFrame:
+    """Add ``out`` = the last non-NULL value of the key up to and including this row."""
+    df = with_block(df, seq, block)
+    for out, value in values.items():
+        df = df.withColumn(f"__v_{out}", value)
+    on = [*keys, _BLK]
+    ends = df.groupBy(*on).agg(*[F.max_by(f"__v_{out}", F.when(F.col(f"__v_{out}").isNotNull(), F.col(seq)))
+                                 .alias(f"__t_{out}") for out in values])
+    before = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*on, *[F.last(f"__t_{out}", ignorenulls=True).over(before).alias(f"__c_{out}") for out in values])
+    carry = carry.filter(" OR ".join(f"__c_{out} IS NOT NULL" for out in values))
+    inside = Window.partitionBy(*on).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for out in values:
+        df = df.withColumn(out, F.last(f"__v_{out}", ignorenulls=True).over(inside))
+    df = df.join(carry, on, "left")
+    for out in values:
+        df = df.withColumn(out, F.coalesce(out, f"__c_{out}"))
+    return _finish(df, keep_block, *[f"__v_{out}" for out in values], *[f"__c_{out}" for out in values])
 
 
 def neighbour(df: DataFrame, keys: Sequence[str], seq: str, columns: dict[str, str], *, direction: str = "previous",
-              block: int = DEFAULT_BLOCK) -> DataFrame:
+              block: int = DEFAULT_BLOCK, keep_block: bool = False) -> DataFrame:
     """Add the named columns of the previous (or next) row of the same key as ``{out: source column}``."""
     if direction not in {"previous", "next"}:
         raise ValueError(f"unknown direction: {direction}")
@@ -68,17 +81,15 @@ def neighbour(df: DataFrame, keys: Sequence[str], seq: str, columns: dict[str, s
     df = with_block(df, seq, block)
     on = [*keys, _BLK]
     payload = F.struct(F.col(seq).alias("__s"), *[F.col(src).alias(out) for out, src in columns.items()])
-    edge_of_block = (F.max_by if back else F.min_by)(payload, F.col(seq)).alias("__edge")
-    edges = df.groupBy(*on).agg(edge_of_block)
+    edges = df.groupBy(*on).agg((F.max_by if back else F.min_by)(payload, F.col(seq)).alias("__edge"))
     along = Window.partitionBy(*keys).orderBy(_BLK)
-    edges = edges.select(*on, (F.lag if back else F.lead)("__edge").over(along).alias("__carry"))
+    carry = edges.select(*on, (F.lag if back else F.lead)("__edge").over(along).alias("__carry")).filter("__carry IS NOT NULL")
     inside = Window.partitionBy(*on).orderBy(seq)
     df = df.withColumn("__near", (F.lag if back else F.lead)(payload).over(inside))
-    df = _attach(df, edges, keys, ["__carry"])
-    df = df.withColumn("__near", F.coalesce("__near", "__carry"))
+    df = df.join(carry, on, "left").withColumn("__near", F.coalesce("__near", "__carry"))
     for out in columns:
         df = df.withColumn(out, F.col(f"__near.{out}"))
-    return df.drop(_BLK, "__near", "__carry")
+    return _finish(df, keep_block, "__near", "__carry")
 
 
 def pair_with_next(df: DataFrame, key: str, block: int = DEFAULT_BLOCK) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.plans import relational, text
+from factloom.plans import relational, temporal, text
 
-MODULES = [relational, text]
+MODULES = [relational, text, temporal]
 
 
 def queries():

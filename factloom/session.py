@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 
@@ -32,7 +30,3 @@ def build_session(app_name: str = "factloom", master: str | None = None, shuffle
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
-
-def checkpoint_folder(spark: SparkSession) -> str | None:
-    """Shared folder for written intermediate tables, as the cluster names it."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("FACTLOOM_TEST_CHECKPOINT")
