@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.plans import relational, temporal, text
+from factloom.plans import maintenance, relational, temporal, text
 
-MODULES = [relational, text, temporal]
+MODULES = [relational, text, temporal, maintenance]
 
 
 def queries():

@@ -18,7 +18,7 @@ from factloom.policy import Policy, parse_policy, load_policy
 QUERIES = {}
 ORACLES = {}
 NOW = "2024-01-31 00:00:00"
-BLOCK = 2048  # small, so that the queries cross block borders on the test tables as well
+BLOCK = 8192  # small enough for the queries to cross block borders on the test tables
 
 
 def query(sql: str | None = None):
