@@ -258,8 +258,7 @@ def _facts(values: DataFrame, evidence: DataFrame, policy: Policy) -> DataFrame:
     per_field = support.groupBy(*KEY).agg(F.count(F.lit(1)).alias("open_values"), F.min("rank").alias("best_rank"))
     # Closed facts need no status lookup; the NULL value hash keeps them out of the joins.
     ranked = found.withColumn("__open_hash", F.when(~F.col("__closed"), F.col("value_hash")))
-    ranked = ranked.alias("f").join(
-        support.withColumnRenamed("value_hash", "__open_hash").alias("s"), [*KEY, "__open_hash"], "left")
+    ranked = ranked.join(support.withColumnRenamed("value_hash", "__open_hash"), [*KEY, "__open_hash"], "left")
     ranked = ranked.join(per_field, KEY, "left")
     how = policy.resolution(F.col("predicate"))
     status = (F.when(F.col("__closed"), "superseded")

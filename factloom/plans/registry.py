@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.plans import maintenance, relational, retrieval, temporal, text
+from factloom.plans import answering, maintenance, relational, retrieval, temporal, text
 
-MODULES = [relational, text, temporal, maintenance, retrieval]
+MODULES = [relational, text, temporal, maintenance, retrieval, answering]
 
 
 def queries():
