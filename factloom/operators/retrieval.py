@@ -164,16 +164,20 @@ def _best_per_document(scored: DataFrame, descending: Sequence[str], top_k: int)
 
 def sparse_search(chunks: DataFrame, questions: DataFrame, *, top_k: int = 10, weights: dict[str, float] | None = None,
                   source_type: str | None = None, adc_id: str | None = None, topic: str | None = None,
-                  question_entities: DataFrame | None = None) -> DataFrame:
+                  question_entities: DataFrame | None = None, required_entities: DataFrame | None = None) -> DataFrame:
     """BM25 search with filters, over-fetch, entity boost and one chunk per document.
 
     A topic without any match is ignored for that question. ``question_entities(question_id, entity_id)`` names the
-    entities of each question; chunks linked to one of them come first.
+    entities of each question; chunks linked to one of them come first. ``required_entities`` has one entity per question
+    and drops chunks that are not linked to it.
     """
     fetch = max(10 * top_k, 60)
     allowed = filter_chunks(chunks, source_type, adc_id)
     info = allowed.select("chunk_id", "retrieval_document_id", *(["metadata"] if "metadata" in chunks.columns else []))
     scored = bm25_scores(chunks, questions, weights).join(info, "chunk_id")
+    if required_entities is not None:
+        only = required_entities.select("question_id", F.col("entity_id").alias("__only"))
+        scored = scored.join(only, "question_id").filter(F.expr("array_contains(metadata.adc_ids, __only)")).drop("__only")
     if topic is not None:
         on_topic = F.array_contains("metadata.literature_topics", topic)
         hits = scored.groupBy("question_id").agg(F.bool_or(on_topic).alias("__any"))
