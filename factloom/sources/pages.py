@@ -47,18 +47,19 @@ def pick_exact(wanted: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFr
     return best, wanted.join(best, "entity_id", "left_anti").withColumn("error", F.lit("no_exact_name"))
 
 
-def detail_fields(html: Column) -> Column:
-    """Label to value map of a detail page; the first non-empty value of a label counts."""
-    pairs = tx.html_table_fields(html)
+def with_detail_fields(pages: DataFrame, html: str = "body", out: str = "f") -> DataFrame:
+    """Add the label to value map of a detail page; the first non-empty value of a label counts."""
+    pairs = tx.html_table_fields(F.col(html))
     # One unescape call per page: labels and values travel through it as one text.
     packed = F.array_join(F.transform(pairs, lambda p: F.concat(_light(p["label"]), F.lit("\u0002"), _light(p["value"]))), "\u0001")
-    text = F.coalesce(tx._unescape(F.when(F.contains(packed, F.lit("&")), packed)), packed)
-    rows = F.transform(F.split(text, "\u0001"), lambda row: F.struct(
+    df = pages.withColumn("__p", packed)
+    df = df.withColumn("__p", F.coalesce(tx._unescape(F.when(F.contains("__p", F.lit("&")), F.col("__p"))), "__p"))
+    rows = F.transform(F.split("__p", "\u0001"), lambda row: F.struct(
         tx.squeeze(F.split_part(row, F.lit("\u0002"), F.lit(1))).alias("k"), tx.squeeze(F.split_part(row, F.lit("\u0002"), F.lit(2))).alias("v")))
-    usable = F.filter(rows, lambda r: (r["k"] != "") & (r["v"] != ""))
-    labels = F.array_distinct(F.transform(usable, lambda r: r["k"]))
-    firsts = F.transform(labels, lambda k: F.try_element_at(F.filter(usable, lambda r: r["k"] == k), F.lit(1))["v"])
-    return F.map_from_arrays(labels, firsts)
+    df = df.withColumn("__p", F.filter(rows, lambda r: (r["k"] != "") & (r["v"] != "")))
+    labels = F.array_distinct(F.transform("__p", lambda r: r["k"]))
+    firsts = F.transform(labels, lambda k: F.try_element_at(F.filter("__p", lambda r: r["k"] == k), F.lit(1))["v"])
+    return df.withColumn(out, F.map_from_arrays(labels, firsts)).drop("__p")
 
 
 def _light(html: Column) -> Column:
@@ -67,7 +68,7 @@ def _light(html: Column) -> Column:
 
 def parse_details(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records of detail pages ``(entity_id, detail_url, body)`` and the pages that lack id or name."""
-    f = pages.withColumn("f", detail_fields(F.col("body")))
+    f = with_detail_fields(pages)
     get = lambda label: F.try_element_at("f", F.lit(label))
     synonyms = F.filter(F.transform(F.split(F.coalesce(get("Synonyms"), F.lit("")), ";"), tx.strip), lambda s: s != "")
     rows = f.select("entity_id", *[get(label).alias(c) for label, c in DETAIL_FIELDS], synonyms.alias("synonyms"),
