@@ -65,11 +65,16 @@ def value_changes(stream: DataFrame) -> DataFrame:
         update, CHANGE_SCHEMA, "known array<string>, last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def windowed_counts(events: DataFrame, time: str = "ts", lateness: str = "1 hour", window: str = "1 day", slide: str | None = None,
+def windowed_counts(events: DataFrame, time: str = "ts", lateness: str | None = "1 hour", window: str = "1 day", slide: str | None = None,
                     group: str = "event_type") -> DataFrame:
-    """Event counts and value sums per time window and type, with late rows dropped after ``lateness``."""
+    """Event counts and value sums per time window and type; rows later than ``lateness`` drop out.
+
+    Pass ``lateness=None`` when the stream has its watermark already, as after :func:`unique_events`.
+    """
+    if lateness is not None:
+        events = events.withWatermark(time, lateness)
     span = F.window(time, window, slide) if slide else F.window(time, window)
-    return events.withWatermark(time, lateness).groupBy(span.alias("w"), group).agg(
+    return events.groupBy(span.alias("w"), group).agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), group, "n", "total")
 
