@@ -73,13 +73,18 @@ def exact_canonical(names: DataFrame, dictionary: DataFrame, *, name: str, entit
         *names.columns, F.col("m.entity_id").alias("entity_id"), F.col("m.canonical_name").alias("canonical_name"))
 
 
-def excerpt(text: Column, alias: Column, max_length: int = 600) -> Column:
+def with_sentences(documents: DataFrame, text: str, out: str = "__s") -> DataFrame:
+    """Add the sentences of a text, each with its normalised form between blanks."""
+    df = documents.withColumn(f"{out}_raw", F.split(text, tx.SENTENCE_BREAK))
+    df = df.withColumn(f"{out}_folded", tx.fold_all(F.col(f"{out}_raw")))
+    pairs = F.zip_with(f"{out}_raw", f"{out}_folded", lambda s, f: F.struct(
+        s.alias("s"), F.concat(F.lit(" "), tx.keep_alphanumeric(f), F.lit(" ")).alias("n")))
+    return df.withColumn(out, pairs).drop(f"{out}_raw", f"{out}_folded")
+
+
+def excerpt(sentences: Column, text: Column, alias: Column, max_length: int = 600) -> Column:
     """First sentence that contains the alias as a whole phrase, else the head of the text; at most ``max_length``."""
-    sentences = F.split(text, tx.SENTENCE_BREAK)
-    folded = tx.fold_all(sentences)
-    pairs = F.zip_with(sentences, folded, lambda s, f: F.struct(s.alias("s"), f.alias("f")))
-    hit = F.filter(pairs, lambda p: F.contains(
-        F.concat(F.lit(" "), tx.keep_alphanumeric(p["f"]), F.lit(" ")), F.concat(F.lit(" "), alias, F.lit(" "))))
+    hit = F.filter(sentences, lambda p: F.contains(p["n"], F.concat(F.lit(" "), alias, F.lit(" "))))
     return F.substring(F.coalesce(F.try_element_at(hit, F.lit(1))["s"], text), 1, max_length)
 
 
@@ -91,8 +96,15 @@ def mention_links(documents: DataFrame, dictionary: DataFrame, *, record_type: s
     Without ``evidence_text`` the excerpt around the alias is quoted; without ``value`` the canonical name is stored.
     """
     matches = match_dictionary(documents, dictionary, key=key, text=text)
-    joined = matches.join(documents, key)
-    quote = excerpt(F.col(text), F.col("matched_alias")) if evidence_text is None else F.substring(evidence_text, 1, 600)
+    if evidence_text is None:
+        # The matches of a document are gathered (one per dictionary entity at most), so every text moves once.
+        gathered = matches.groupBy(key).agg(F.collect_list(F.struct("entity_type", "entity_id", "canonical_name", "matched_alias")).alias("__m"))
+        joined = with_sentences(gathered.join(documents, key), text)
+        quoted = F.transform("__m", lambda m: F.struct(m.alias("m"), excerpt(F.col("__s"), F.col(text), m["matched_alias"]).alias("quote")))
+        joined = joined.withColumn("__q", F.explode(quoted)).select(*documents.columns, "__q.m.*", F.col("__q.quote").alias("__quote"))
+    else:
+        joined = matches.join(documents, key).withColumn("__quote", F.substring(evidence_text, 1, 600))
+    quote = F.col("__quote")
     return joined.select(
         evidence_mention_id(F.lit(source), F.col(record_id), "entity_type", "entity_id", F.lit(predicate))
         .alias("evidence_id"),

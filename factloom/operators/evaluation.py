@@ -243,8 +243,11 @@ def overlapping_questions(holdout: DataFrame, exposed: DataFrame) -> DataFrame:
 
     The exposed side is reduced to distinct keys with a count before the join, so copies of one text do not multiply.
     """
-    h = holdout.select("question_id", tx.question_key(F.col("question")).alias("k"))
-    e = exposed.select(F.col("question_id").alias("eid"), tx.question_key(F.col("question")).alias("k")).filter("k <> ''")
+    # Long texts are compared by the hash of their key, so the shuffles carry 64 characters per row.
+    key = tx.question_key(F.col("question"))
+    h = holdout.select("question_id", F.sha2(key, 256).alias("k"))
+    e = exposed.select(F.col("question_id").alias("eid"), F.nullif(key, F.lit("")).alias("k")).filter("k IS NOT NULL").select(
+        "eid", F.sha2("k", 256).alias("k"))
     wordings = e.groupBy("k").agg(F.count(F.lit(1)).alias("exposed_count"), F.min("eid").alias("first_exposed_id"))
     by_text = h.join(wordings, "k").select("question_id", F.lit("wording").alias("kind"), "exposed_count", "first_exposed_id")
     ids = exposed.groupBy("question_id").agg(F.count(F.lit(1)).alias("exposed_count"))

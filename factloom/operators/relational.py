@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.urls import is_generic_url
+
 
 def contains_ignoring_case(column: Column, query: str) -> Column:
     """Substring test; the characters % and _ in the query stand for themselves."""
@@ -81,6 +83,26 @@ def duplicate_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def provenance(evidence: DataFrame) -> DataFrame:
+    """Facts per predicate: with evidence, with URL, distinct URLs, sources, missing and generic URLs.
+
+    ``evidence(predicate, fact_id, source, url, has_evidence)``. Facts and URLs are reduced to one row each first, so no row
+    is expanded per distinct count and URLs are parsed once.
+    """
+    per_fact = evidence.groupBy("predicate", "fact_id").agg(
+        F.bool_or("has_evidence").alias("e"), F.bool_or(F.col("url") != "").alias("u"))
+    facts = per_fact.groupBy("predicate").agg(
+        F.count(F.lit(1)).alias("facts"), F.count_if("e").alias("facts_with_evidence"), F.count_if("u").alias("facts_with_url"))
+    per_url = evidence.groupBy("predicate", "url").agg(F.count(F.lit(1)).alias("n"), F.collect_set("source").alias("s"))
+    generic = is_generic_url(F.col("url"))
+    links = per_url.groupBy("predicate").agg(
+        F.count_if(F.col("url") != "").alias("distinct_urls"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("s")))), ",").alias("sources"),
+        F.coalesce(F.sum(F.when(F.col("url") == "", F.col("n"))), F.lit(0)).alias("missing_urls"),
+        F.coalesce(F.sum(F.when(generic, F.col("n"))), F.lit(0)).alias("generic_urls"))
+    return facts.join(links, "predicate")
+
+
 def orphans(child: DataFrame, parent: DataFrame, child_keys: Sequence[str], parent_keys: Sequence[str]) -> DataFrame:
     """Child rows without a parent (NULL keys count as orphans)."""
     keys = parent.select(*[F.col(p).alias(f"__p{i}") for i, p in enumerate(parent_keys)])

@@ -145,8 +145,6 @@ SELECT predicate, count(DISTINCT fact_id) AS facts,
   count(*) FILTER (WHERE regexp_matches(url, '^[a-z]+://[^/]+/?$')) AS generic_urls
 FROM e GROUP BY 1""")
 def provenance_rollup(spark, sf):
-    from factloom.functions.urls import is_generic_url
-
     key = F.col("l_suppkey").cast("string")
     url = (F.when(F.col("l_suppkey") % 10 == 0, "")
            .when(F.col("l_suppkey") % 7 == 0, F.concat(F.lit("https://s"), key, F.lit(".example/")))
@@ -156,15 +154,7 @@ def provenance_rollup(spark, sf):
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("fact_id"),
         F.col("l_linestatus").alias("source"), url.alias("url"), (F.col("l_quantity") > 5).alias("has_evidence"),
     )
-    return e.groupBy("predicate").agg(
-        F.countDistinct("fact_id").alias("facts"),
-        F.countDistinct(F.when(F.col("has_evidence"), F.col("fact_id"))).alias("facts_with_evidence"),
-        F.countDistinct(F.when(F.col("url") != "", F.col("fact_id"))).alias("facts_with_url"),
-        F.countDistinct(F.nullif("url", F.lit(""))).alias("distinct_urls"),
-        F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"),
-        F.count_if(F.col("url") == "").alias("missing_urls"),
-        F.count_if(is_generic_url(F.col("url"))).alias("generic_urls"),
-    )
+    return rel.provenance(e)
 
 
 @query("""

@@ -75,7 +75,8 @@ def test_dictionary_links(spark):
     docs = spark.createDataFrame([("1", "Alpha vedotin and her-2. Nothing else."), ("2", "Alphabet betas."), ("3", "AV 101; ALPHA! Beta?")], "k string, t string")
     got = sorted((r.k, r.entity_id, r.matched_alias) for r in entities.match_dictionary(docs, d, key="k", text="t").collect())
     assert got == [("1", "HER2", "her 2"), ("1", "e1", "alpha vedotin"), ("3", "e1", "av 101"), ("3", "e2", "beta")]
-    x = docs.filter("k = '1'").select(entities.excerpt(F.col("t"), F.lit("her 2")).alias("x"), entities.excerpt(F.col("t"), F.lit("zzz"), 5).alias("y")).first()
+    one = entities.with_sentences(docs.filter("k = '1'"), "t", "s")
+    x = one.select(entities.excerpt(F.col("s"), F.col("t"), F.lit("her 2")).alias("x"), entities.excerpt(F.col("s"), F.col("t"), F.lit("zzz"), 5).alias("y")).first()
     assert (x.x, x.y) == ("Alpha vedotin and her-2.", "Alpha")
     names = spark.createDataFrame([("ALPHA-vedotin",), ("gamma",)], "n string")
     assert {r.n: r.entity_id for r in entities.exact_canonical(names, d, name="n", entity_type="adc").collect()} == {"ALPHA-vedotin": "e1", "gamma": None}
