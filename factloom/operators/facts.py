@@ -192,7 +192,7 @@ def _ids(evidence: str) -> Column:
 
 def change_steps(observations: DataFrame, block: int = scan.DEFAULT_BLOCK) -> DataFrame:
     """Observations that change the evidence of their source record, with the evidence held before the step."""
-    seen = scan.neighbour(_with_evidence(observations), RECORD, "seq", {"before": "evidence"}, block=block)
+    seen = scan.neighbour(written(_with_evidence(observations)), RECORD, "seq", {"before": "evidence"}, block=block)
     seen = seen.withColumn("before", F.coalesce("before", F.filter("evidence", lambda e: F.lit(False))))
     return seen.filter(_ids("evidence") != _ids("before"))
 
@@ -236,7 +236,7 @@ def reconcile(observations: DataFrame, policy: Policy, block: int = scan.DEFAULT
 
 def _with_opener(values: DataFrame, policy: Policy, block: int) -> DataFrame:
     on = [*KEY, "value_hash"]
-    v = scan.running_sum(values, on, "seq", {"support": "delta"}, block, keep_block=True)
+    v = written(scan.running_sum(written(values), on, "seq", {"support": "delta"}, block))
     opens = (F.col("delta") == 1) & (F.col("support") == 1)
     fact_id = ids.prefixed_id("fact_", 32, *KEY, "value_hash", "observed_at", F.coalesce("snapshot_id", "source"))
     opener = F.struct(F.col("seq").alias("seq"), fact_id.alias("fact_id"), F.col("observed_at").alias("valid_from"),
@@ -283,7 +283,7 @@ def _evidence(values: DataFrame, block: int) -> DataFrame:
     closed = values.select(*common, F.explode("closed").alias("evidence_id"))
     both = opened.unionByName(closed, allowMissingColumns=True)
     on = [*RECORD, "evidence_id"]
-    spans = scan.running_last(both, on, "seq", {"span": F.col("__open")}, block)
+    spans = scan.running_last(written(both), on, "seq", {"span": F.col("__open")}, block)
     ends = F.max(F.when(F.col("__open").isNull(), F.col("observed_at"))).alias("valid_to")
     spans = spans.groupBy(*on, F.col("span.seq").alias("opened_seq")).agg(F.first("span").alias("o"), ends)
     names = ["fact_id", "value_hash", "snapshot_id", "source_url", "confidence", "extractor", "review_status", "observed_at",

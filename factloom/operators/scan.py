@@ -27,6 +27,14 @@ def with_block(df: DataFrame, seq: str, block: int = DEFAULT_BLOCK) -> DataFrame
     return df.withColumn(_BLK, F.floor(F.col(seq) / F.lit(block)).cast("bigint"))
 
 
+def _spanning(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of the keys that reach over more than one block; only these hand a state on."""
+    if not keys:
+        return df
+    spans = df.groupBy(*keys).agg(F.min(_BLK).alias("__lo"), F.max(_BLK).alias("__hi")).filter("__lo < __hi").select(*keys)
+    return df.join(spans, list(keys), "left_semi")
+
+
 def _finish(df: DataFrame, keep_block: bool, *extra: str) -> DataFrame:
     return df.drop(*extra) if keep_block else df.drop(_BLK, *extra)
 
@@ -58,7 +66,7 @@ def running_last(df: DataFrame, keys: Sequence[str], seq: str, values: dict[str,
     for out, value in values.items():
         df = df.withColumn(f"__v_{out}", value)
     on = [*keys, _BLK]
-    ends = df.groupBy(*on).agg(*[F.max_by(f"__v_{out}", F.when(F.col(f"__v_{out}").isNotNull(), F.col(seq)))
+    ends = _spanning(df, keys).groupBy(*on).agg(*[F.max_by(f"__v_{out}", F.when(F.col(f"__v_{out}").isNotNull(), F.col(seq)))
                                  .alias(f"__t_{out}") for out in values])
     before = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select(*on, *[F.last(f"__t_{out}", ignorenulls=True).over(before).alias(f"__c_{out}") for out in values])
@@ -81,7 +89,7 @@ def neighbour(df: DataFrame, keys: Sequence[str], seq: str, columns: dict[str, s
     df = with_block(df, seq, block)
     on = [*keys, _BLK]
     payload = F.struct(F.col(seq).alias("__s"), *[F.col(src).alias(out) for out, src in columns.items()])
-    edges = df.groupBy(*on).agg((F.max_by if back else F.min_by)(payload, F.col(seq)).alias("__edge"))
+    edges = _spanning(df, keys).groupBy(*on).agg((F.max_by if back else F.min_by)(payload, F.col(seq)).alias("__edge"))
     along = Window.partitionBy(*keys).orderBy(_BLK)
     carry = edges.select(*on, (F.lag if back else F.lead)("__edge").over(along).alias("__carry")).filter("__carry IS NOT NULL")
     inside = Window.partitionBy(*on).orderBy(seq)
