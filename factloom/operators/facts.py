@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -216,8 +217,15 @@ def _value_rows(steps: DataFrame) -> DataFrame:
 class Reconciled:
     facts: DataFrame
     evidence: DataFrame
-    events: DataFrame
     steps: DataFrame
+    policy: Policy
+    block: int
+    fold_block: int
+
+    @cached_property
+    def events(self) -> DataFrame:
+        """Built when first asked for."""
+        return change_events(self.steps, self.policy, self.block, self.fold_block)
 
 
 def reconcile(observations: DataFrame, policy: Policy, block: int = scan.DEFAULT_BLOCK,
@@ -231,7 +239,7 @@ def reconcile(observations: DataFrame, policy: Policy, block: int = scan.DEFAULT
     values = written(_with_opener(_value_rows(steps), policy, block))
     evidence = written(_evidence(values, block))
     facts = _facts(values, evidence, policy)
-    return Reconciled(facts, evidence, change_events(steps, policy, block, fold_block), steps)
+    return Reconciled(facts, evidence, steps, policy, block, fold_block)
 
 
 def _with_opener(values: DataFrame, policy: Policy, block: int) -> DataFrame:
@@ -445,7 +453,7 @@ def freshness(df: DataFrame, policy: Policy, now: Column, *, source: str = "sour
     """Add age and freshness status; the reference time is the fetch time, else the observation time."""
     reference = F.coalesce(F.try_to_timestamp(F.col(fetched_at)), F.try_to_timestamp(F.col(observed_at)))
     hours = (F.unix_micros(now) - F.unix_micros(reference)).cast("double") / F.lit(3_600_000_000.0)
-    age = F.greatest(F.lit(0.0), F.round(hours, 2))
+    age = F.when(hours.isNotNull(), F.greatest(F.lit(0.0), F.round(hours, 2)))
     limit = policy.max_age_hours(F.col(source))
     status = (F.when(limit.isNull(), F.when(F.col(source) == "curated_seed", "demo_source").otherwise("not_applicable"))
               .when(reference.isNull(), "unknown").when(age > limit, "stale").otherwise("current"))

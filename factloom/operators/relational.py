@@ -168,27 +168,23 @@ def resolve_subjects(events: DataFrame, links: DataFrame, catalogue: DataFrame)
     trial, publication and source-record subjects; ``catalogue(entity_id, entity_name, target)``. Subjects of type
     ``entity`` and ``target`` stand for themselves. Returns sorted, comma-joined id, name and target lists per event.
     """
-    linked = events.join(links, ["subject_type", "subject_id"]).select("event_id", "entity_type", "entity_id")
-    direct = events.filter(F.col("subject_type").isin("entity", "target")).select(
-        "event_id", F.col("subject_type").alias("entity_type"), F.col("subject_id").alias("entity_id")
-    )
+    # Lists are built once per subject and then joined to its events, so a busy subject is not multiplied by its links.
+    subject = ["subject_type", "subject_id"]
+    subjects = events.select(*subject).distinct()
+    linked = links.join(subjects, subject, "left_semi").select(*subject, "entity_type", "entity_id")
+    direct = subjects.filter(F.col("subject_type").isin("entity", "target")).select(
+        *subject, F.col("subject_type").alias("entity_type"), F.col("subject_id").alias("entity_id"))
     hits = direct.unionByName(linked).distinct()
     named = hits.filter(F.col("entity_type") == "entity").join(catalogue, "entity_id", "left").select(
-        "event_id", "entity_id", "entity_name", "target"
-    )
+        *subject, "entity_id", "entity_name", "target")
+    none = F.lit(None).cast("string")
     plain = hits.filter(F.col("entity_type") == "target").select(
-        "event_id", F.lit(None).cast("string").alias("entity_id"), F.lit(None).cast("string").alias("entity_name"),
-        F.col("entity_id").alias("target"),
-    )
+        *subject, none.alias("entity_id"), none.alias("entity_name"), F.col("entity_id").alias("target"))
     joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
-    per_event = named.unionByName(plain).groupBy("event_id").agg(
-        joined("entity_id").alias("entity_ids"), joined("entity_name").alias("entity_names"),
-        joined("target").alias("targets"),
-    )
-    return events.join(per_event, "event_id", "left").select(
-        *events.columns,
-        *[F.coalesce(c, F.lit("")).alias(c) for c in ("entity_ids", "entity_names", "targets")],
-    )
+    per_subject = named.unionByName(plain).groupBy(*subject).agg(
+        joined("entity_id").alias("entity_ids"), joined("entity_name").alias("entity_names"), joined("target").alias("targets"))
+    return events.join(per_subject, subject, "left").select(
+        *events.columns, *[F.coalesce(c, F.lit("")).alias(c) for c in ("entity_ids", "entity_names", "targets")])
 
 
 def trailing_window(events: DataFrame, time: str, now: Column, days: int) -> DataFrame:
