@@ -12,16 +12,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Temporary folders of local sessions, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def checkpoint_folder(spark: SparkSession) -> str | None:
     """The folder named by ``spark.checkpoint.dir``; a temporary one for local sessions without the setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if spark.conf.get("spark.master", "").startswith("local"):
-        folder = tempfile.mkdtemp(prefix="factloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
-    return None
+    if not spark.sparkContext.master.startswith("local"):
+        return None
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL:
+        _LOCAL[application] = tempfile.mkdtemp(prefix="factloom-")
+    return _LOCAL[application]
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Observations and source events as streams.
 
-The reference works in batches; these jobs run the same operators on a stream of files. Streams read with
-``Trigger.AvailableNow`` behave like one batch over everything that has arrived.
+Refreshes run in batches; these jobs do the same on a stream of files. Streams read with ``Trigger.AvailableNow`` behave like
+one batch over everything that has arrived.
 """
 
 from __future__ import annotations

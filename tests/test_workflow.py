@@ -67,7 +67,7 @@ def test_questions_follow_their_routes(spark, published):
     rows = [("fact", "Alphamab vedotin 的靶点是什么？"), ("gap", "Gammamab tesirine 的载荷是什么？"), ("conflict", "Alphamab vedotin 的 DAR 是多少？"),
             ("compare", "比较 Alphamab vedotin 和 Betamab deruxtecan 的靶点。"), ("trial", "试验 NCT00000002 当前登记状态和阶段是什么？"),
             ("change", "最近30天 Betamab deruxtecan 有什么变化？"), ("paper", "Alphamab vedotin 的机制文献 bystander killing"), ("pmid", "PMID: 102 的文献 neutropenia adverse event"),
-            ("personal", "给我某位患者的个体化用药剂量。"), ("scope", "What is the weather?")]
+            ("personal", "我是患者，应该使用 Alphamab vedotin 吗？"), ("scope", "What is the weather?")]
     q = spark.createDataFrame(rows, "question_id string, question string")
     out = {r.question_id: r for r in service.answer_questions(q, store, load_policy(), F.lit("2024-01-10 00:00:00").cast("timestamp")).collect()}
     assert len(out) == len(rows)
