@@ -167,7 +167,7 @@ def edited(trees: DataFrame, tokenizer: str, edits: str = "edits", with_text: bo
     return kept.mapInArrow(run, StructType([*rest, *fields]))
 
 
-def redactions(text: str | Column, pattern: str = "[A-Za-z0-9._-]+@[A-Za-z0-9.-]+[A-Za-z]|[0-9][0-9.:/-]{6,}[0-9]", mark: str = "<removed>") -> Column:
+def redactions(text: str | Column, pattern: str = "(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++@[A-Za-z0-9.-]+[A-Za-z]|[0-9][0-9.:/-]{6,}[0-9]", mark: str = "<removed>") -> Column:
     """Edits that replace e-mail addresses and long numbers, as places in the text that earlier edits have left, last one first."""
     text = F.col(text) if isinstance(text, str) else text
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
