@@ -78,8 +78,10 @@ class Members:
             if not self.rest:
                 raise ValueError("a member is cut off")
         self.ready += self.inflater.decompress(self.inflater.unconsumed_tail or self.rest, PIECE)
-        if not self.inflater.unconsumed_tail:
-            self.rest = self.inflater.unused_data if self.inflater.eof else b""
+        if self.inflater.eof:
+            self.rest = self.inflater.unused_data
+        elif not self.inflater.unconsumed_tail:
+            self.rest = b""
         return True
 
     def until(self, mark: bytes) -> bytes:
