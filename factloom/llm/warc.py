@@ -7,7 +7,7 @@ accepted tasks list them.
 Reading: members are inflated as the bytes come, in pieces of bounded size. A header ends at an empty line and its Content-Length frames
 the block; block and payload digests are verified. Only one record is in memory at a time.
 
-Cases: a null html is an empty payload; a null page_id or url has no header and comes back null; among equal payloads a null page_id is
+Cases: a null html is an empty payload; a null page_id or url has no header and comes back null; control characters of a url are written as %XX; among equal payloads a null page_id is
 the smallest; rows with the largest page_id of a payload, if there are several, are all responses; an empty table writes nothing and
 reads back empty; other columns are ignored.
 """
@@ -43,7 +43,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     if page_id is not None:
         fields.append(("WARC-Record-ID", f"<urn:page:{page_id}>"))
     if url is not None:
-        fields.append(("WARC-Target-URI", "".join(c if " " < c != "%" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)))
+        fields.append(("WARC-Target-URI", "".join(c if c >= " " else f"%{ord(c):02X}" for c in url)))
     if revisit:
         fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
     fields += [("WARC-Payload-Digest", _digest(payload)), ("WARC-Block-Digest", _digest(block)), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
