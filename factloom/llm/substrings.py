@@ -78,11 +78,16 @@ def _keys(batch: pa.RecordBatch, row: int, end: int) -> tuple[np.ndarray, np.nda
     return part.column("doc").to_numpy(zero_copy_only=False), part.column("key").to_numpy(zero_copy_only=False).astype(np.uint32)
 
 
+def _ends(opens: np.ndarray, total: int) -> list[int]:
+    """Where the parts end that begin at ``opens``."""
+    return np.append(opens, total)[1:].tolist()
+
+
 def _cut(values: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(block, kind="stable")
     values, block = values[order], block[order]
     edges = np.flatnonzero(np.diff(block, prepend=-1))
-    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(block)], strict=True):
+    for a, b in zip(edges.tolist(), _ends(edges, len(block)), strict=True):
         yield int(block[a]), values[a:b]
 
 
@@ -127,7 +132,7 @@ def _by_document(rows: np.ndarray, column: str) -> pa.Table:
     change[1:] = (rows["doc"][1:] != rows["doc"][:-1]) | (rows["key"][1:] != rows["key"][:-1])
     opens = np.flatnonzero(change)
     values = np.ascontiguousarray(rows[column])
-    data = [values[a:b].tobytes() for a, b in zip(opens.tolist(), [*opens[1:].tolist(), len(rows)], strict=True)]
+    data = [values[a:b].tobytes() for a, b in zip(opens.tolist(), _ends(opens, len(rows)), strict=True)]
     return pa.table({"doc": rows["doc"][opens].astype(np.int64), "key": rows["key"][opens].astype(np.int64), "data": pa.array(data, pa.binary())})
 
 
