@@ -265,15 +265,15 @@ def _finish(window: int, with_text: bool):
 def parsed(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """Words, removed words, digest of the kept words joined by one space, and factors of every document (and the kept text)."""
     low = F.lit(0xFFFFFFFF)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").bitwiseAND(low).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").bitwiseAND(low).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + total // BLOCK_BYTES
     document = "doc long, key long, data binary"
     gathered = lambda df, name: df.groupBy("doc", "key").agg(F.collect_list("data").alias(name))  # noqa: E731  pieces of one document
-    grams = rows.select("doc", "key", "text").mapInArrow(_send_grams(window, blocks), "block long, sent binary, known binary")
+    grams = rows.mapInArrow(_send_grams(window, blocks), "block long, sent binary, known binary")
     flags = gathered(grams.groupBy("block").applyInArrow(_repeated_grams, document), "flags")
-    marked = rows.join(flags, ["doc", "key"], "inner").select("doc", "key", "text", "flags")
+    marked = rows.join(flags, ["doc", "key"]).select("doc", "key", "text", "flags")
     phrases = marked.mapInArrow(_send_phrases(window, blocks), "block long, sent binary, known binary, heads binary")
     runs = gathered(phrases.groupBy("block").applyInArrow(_repeated_phrases, document), "runs")
-    whole = rows.join(runs, ["doc", "key"], "left").select("doc_id", "text", "runs")
+    whole = rows.join(runs, ["doc", "key"], "left").select(F.expr(f"nullif(doc, {NO_ID + 1}L - 1L)").alias("doc_id"), "text", "runs")  # the same rows as in the first join, so one exchange
     return whole.mapInArrow(_finish(window, with_text), PARSED + (", kept_text string" if with_text else ""))
