@@ -35,9 +35,11 @@ def json_string(value: Column) -> Column:
     """Canonical JSON text of one string: quotes, backslashes and control characters escaped, other text kept."""
     escaped = F.replace(value, F.lit("\\"), F.lit("\\\\"))
     escaped = F.replace(escaped, F.lit('"'), F.lit('\\"'))
-    for raw, written in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        escaped = F.replace(escaped, F.lit(raw), F.lit(written))
-    return F.concat(F.lit('"'), escaped, F.lit('"'))
+    named = {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+    plain = escaped
+    for code in range(32):
+        escaped = F.replace(escaped, F.lit(chr(code)), F.lit(named.get(chr(code), f"\\u{code:04x}")))
+    return F.concat(F.lit('"'), F.when(value.rlike("[\\x00-\\x1F]"), escaped).otherwise(plain), F.lit('"'))
 
 
 def value_hash(value_json: Column | str) -> Column:
@@ -60,11 +62,11 @@ def table_digest(df: DataFrame, columns: Iterable[str], prefix: str = "data_") -
     """
     row_hash = digest(*columns)
     words = [
-        F.sum(F.conv(F.substring(F.col("__h"), 1 + 8 * i, 8), 16, 10).cast("bigint")).alias(f"w{i}")
+        F.sum(F.conv(F.substring(F.col("__h"), 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).alias(f"w{i}")
         for i in range(8)
     ]
     sums = df.select(row_hash.alias("__h")).agg(F.count(F.lit(1)).alias("row_count"), *words)
-    parts = [F.coalesce(F.col(f"w{i}"), F.lit(0)).cast("string") for i in range(8)]
+    parts = [F.coalesce(F.col(f"w{i}").cast("string"), F.lit("0")) for i in range(8)]
     return sums.select(
         "row_count",
         F.concat(

@@ -105,6 +105,7 @@ def score_answers(gold: DataFrame, outputs: DataFrame) -> DataFrame:
     is_list)], allowed[], accepted_documents[], evidence_ids[], allow_partial, should_refuse.
     ``outputs``: question_id, status, route, claims[(subject_id, predicate, values[])], cited[].
     """
+    require_same_ids(gold, outputs)
     j = gold.join(outputs, "question_id")
     credit = answer_credit()
     full = (credit >= 1.0).cast("double")
@@ -180,6 +181,7 @@ def confusion(pairs: DataFrame, left: str, right: str) -> DataFrame:
 
 def changed_outputs(left: DataFrame, right: DataFrame, columns: Sequence[str], key: str = "question_id") -> DataFrame:
     """Questions whose outputs differ between two arms (NULL equals NULL)."""
+    require_same_ids(left, right, key)
     same = F.lit(True)
     for c in columns:
         same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
@@ -191,6 +193,7 @@ def arm_diagnostics(outputs: DataFrame, questions: DataFrame) -> DataFrame:
 
     Outputs without a route do not count in the route rate.
     """
+    require_same_ids(outputs, questions)
     j = outputs.join(questions.select("question_id", "expected_route", "expected_status"), "question_id")
     shown = F.col("status").isin("answered", "partial")
     return j.agg(
@@ -203,6 +206,7 @@ def arm_diagnostics(outputs: DataFrame, questions: DataFrame) -> DataFrame:
 
 def split_audit(outputs: DataFrame, questions: DataFrame) -> DataFrame:
     """Route and status matches per split; a missing route is a mismatch."""
+    require_same_ids(questions, outputs)
     j = questions.join(outputs, "question_id")
     route = F.coalesce(F.col("route") == F.col("expected_route"), F.lit(False))
     return j.groupBy("split").agg(

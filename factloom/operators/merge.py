@@ -111,12 +111,13 @@ def publish_version(spark: SparkSession, root: str, version: str, tables: dict[s
         df.write.mode("errorifexists").parquet(f"{base}/{name}")
     _write_text(spark, f"{base}/MANIFEST.json", json.dumps({**manifest, "tables": sorted(tables)}, sort_keys=True))
     _write_text(spark, f"{root.rstrip('/')}/CURRENT.next", version)
-    fs, path = _fs(spark, f"{root.rstrip('/')}/CURRENT.next")
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/CURRENT")
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(path, target):
-        raise RuntimeError("could not publish the version pointer")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    old, new = (hadoop.Path(f"{root.rstrip('/')}/{name}") for name in ("CURRENT", "CURRENT.next"))
+    kind = getattr(hadoop, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE  # one step: readers meet the old pointer or the new one
+    context = hadoop.FileContext.getFileContext(new.getFileSystem(spark._jsc.hadoopConfiguration()).getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(new, old, options)
     return base
 
 

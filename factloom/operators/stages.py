@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL: dict[str, str] = {}
 
 
-def checkpoint_folder(spark: SparkSession) -> str | None:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one for local sessions without the setting."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a temporary one for local sessions without the setting. A cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
-        return None
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     application = spark.sparkContext.applicationId
     if application not in _LOCAL:
         _LOCAL[application] = tempfile.mkdtemp(prefix="factloom-")
@@ -30,10 +30,8 @@ def checkpoint_folder(spark: SparkSession) -> str | None:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write the frame as Parquet and read it back. Without a shared folder the frame is returned as it is."""
+    """Write the frame as Parquet and read it back."""
     folder = checkpoint_folder(df.sparkSession)
-    if folder is None:
-        return df
     path = f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ from factloom.functions import text as tx, vocabulary as v
 from factloom.operators import answers, questions as qs
 from factloom.plans.common import table as t
 from factloom.plans.retrieval import SPARSE_SQL, benchmark_questions, sparse_results
-from factloom.plans.temporal import BLOCK, CARD_FIELDS, CARD_SQL, event_policy, observations
+from factloom.plans.temporal import CARD_FIELDS, CARD_SQL, event_policy, observations
 from factloom.operators import cards, facts
 
 QUERIES = {}
@@ -191,7 +191,7 @@ def field_plans(spark, sf):
 
 def field_answers(spark, sf, fields_first):
     policy = event_policy()
-    r = facts.reconcile(observations(spark, sf), policy, BLOCK, BLOCK)
+    r = facts.reconcile(observations(spark, sf), policy)
     subjects = r.facts.select("subject_id").distinct()
     fields = cards.card_fields(subjects, r.facts, r.evidence, None, policy, CARD_FIELDS, F.lit("2024-01-31 00:00:00").cast("timestamp"))
     shown = r.facts.filter("valid_to IS NULL AND status IN ('current', 'conflicted')").select("fact_id")

@@ -344,7 +344,7 @@ def category_rollup(spark, sf):
 SELECT o_orderkey AS left_key, coalesce(lead(o_orderkey) OVER (ORDER BY o_orderkey),
   (SELECT min(o_orderkey) FROM orders)) AS right_key FROM orders""")
 def pair_generator_wrap(spark, sf):
-    return pair_with_next(t(spark, sf, "orders").select("o_orderkey"), "o_orderkey", block=4096)
+    return pair_with_next(t(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
 
 
 @query("""

@@ -18,7 +18,6 @@ from factloom.policy import Policy, parse_policy, load_policy
 QUERIES = {}
 ORACLES = {}
 NOW = "2024-01-31 00:00:00"
-BLOCK = 8192  # small enough for the queries to cross block borders on the test tables
 
 
 def query(sql: str | None = None):
@@ -106,7 +105,7 @@ SELECT 'fact_' || substr(sha256('user' || chr(31) || subject_id || chr(31) || pr
   valid_to, CASE WHEN closed_seq IS NOT NULL THEN 'superseded' ELSE st.status END AS status, opened_seq
 FROM fact LEFT JOIN st USING (subject_id, predicate, val)""")
 def fact_history(spark, sf):
-    f = facts.reconcile(observations(spark, sf), event_policy(), BLOCK, BLOCK).facts
+    f = facts.reconcile(observations(spark, sf), event_policy()).facts
     return f.select("fact_id", "subject_id", "predicate", F.col("normalized_value_json").alias("value"), "valid_from",
                     "valid_to", "status", "opened_seq")
 
@@ -125,7 +124,7 @@ SELECT sp.subject_id, sp.predicate, sp.source, split_part(id, '|', 2) AS value,
 FROM sp JOIN fact f ON f.subject_id = sp.subject_id AND f.predicate = sp.predicate AND f.val = split_part(id, '|', 2)
   AND f.opened_seq <= sp.opened_seq AND (f.closed_seq IS NULL OR f.closed_seq > sp.opened_seq)""")
 def fact_evidence_intervals(spark, sf):
-    r = facts.reconcile(observations(spark, sf), event_policy(), BLOCK, BLOCK)
+    r = facts.reconcile(observations(spark, sf), event_policy())
     f = r.facts.select("fact_id", F.col("opened_seq").alias("fact_opened_seq"), F.col("normalized_value_json").alias("value"))
     return r.evidence.join(f, "fact_id").select(
         "subject_id", "predicate", "source", "value", "source_url", "opened_seq", "observed_at", "valid_to", "is_current",
@@ -176,7 +175,7 @@ def change_events(spark, sf):
 
 def fact_events(spark, sf):
     policy = event_policy()
-    return facts.change_events(facts.change_steps(observations(spark, sf), BLOCK), policy, BLOCK, 16)
+    return facts.change_events(facts.change_steps(observations(spark, sf)), policy)
 
 
 @query("WITH " + STEPS_SQL + """
@@ -214,7 +213,7 @@ def fact_history_scd2(spark, sf):
     """Every event as a version that ends where the next one of the same user and type starts."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     e = t(spark, sf, "events").select("event_id", "user_id", "event_type", "value", us.alias("valid_from_us"))
-    nxt = neighbour(e, ["user_id", "event_type"], "event_id", {"valid_to_us": "valid_from_us"}, direction="next", block=BLOCK)
+    nxt = neighbour(e, ["user_id", "event_type"], "event_id", {"valid_to_us": "valid_from_us"}, direction="next")
     return nxt.select("event_id", "user_id", "event_type", "value", "valid_from_us",
                       F.coalesce("valid_to_us", F.lit(-1)).alias("valid_to_us"), F.col("valid_to_us").isNull().alias("is_current"))
 
@@ -312,7 +311,7 @@ agg AS (SELECT subject_id, predicate, bool_or(status = 'conflicted') AS conflict
 
 def card_fields(spark, sf):
     policy = event_policy()
-    r = facts.reconcile(observations(spark, sf), policy, BLOCK, BLOCK)
+    r = facts.reconcile(observations(spark, sf), policy)
     subjects = observations(spark, sf).select("subject_id").distinct()
     return cards.card_fields(subjects, r.facts, r.evidence, None, policy, CARD_FIELDS, F.lit(NOW).cast("timestamp"))
 

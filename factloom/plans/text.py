@@ -119,21 +119,20 @@ def topic_coverage(spark, sf):
 
 
 @query("""
-SELECT doc_id, list_sort(list_filter([CASE WHEN regexp_matches(text, '(?i)token\\s*=\\s*"[0-9a-f]{32,}"') THEN 'api_key' END,
+SELECT doc_id, unnest(CASE WHEN len(c) = 0 THEN [NULL] ELSE c END) AS category, damaged FROM (SELECT doc_id, list_filter([CASE WHEN regexp_matches(text, '(?i)token\\s*=\\s*"[0-9a-f]{32,}"') THEN 'api_key' END,
   CASE WHEN regexp_matches(text, '\\b\\d{1,3}(\\.\\d{1,3}){3}\\b') THEN 'network_address' END,
   CASE WHEN regexp_matches(text, '(?i)(?:sk-[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{20,})') THEN 'vendor_key' END],
-  lambda x: x IS NOT NULL))[1] AS first_category,
+  lambda x: x IS NOT NULL) AS c,
   text IS NULL OR trim(text) = '' OR regexp_matches(text, '[\\x{FFFD}\\x{FEFF}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{9F}]')
-  AS damaged FROM documents""")
+  AS damaged FROM documents)""")
 def sensitive_text_scan(spark, sf):
     patterns = {
         "api_key": r'(?i)token\s*=\s*"[0-9a-f]{32,}"',
         "network_address": r"\b\d{1,3}(\.\d{1,3}){3}\b",
         "vendor_key": tx.SENSITIVE_PATTERNS["api_key"],
     }
-    found = F.array_sort(tx.sensitive_categories(F.col("text"), patterns))
-    return t(spark, sf, "documents").select(
-        "doc_id", F.try_element_at(found, F.lit(1)).alias("first_category"), tx.is_damaged(F.col("text")).alias("damaged"))
+    found = tx.sensitive_categories(F.coalesce("text", F.lit("")), patterns)
+    return t(spark, sf, "documents").select("doc_id", F.explode_outer(found).alias("category"), tx.is_damaged(F.col("text")).alias("damaged"))
 
 
 PAGE_LINKS_SQL = """

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,7 +79,7 @@ def read_questions(spark: SparkSession, path: str, split: str = "dev", evaluatio
 
 def read_reference_aliases(spark: SparkSession, path: str) -> DataFrame:
     """``{"targets": {name: [alias, ...]}, "payloads": {...}}`` as ``(entity_type, canonical_name, aliases)``; a small file."""
-    payload = json.loads(Path(path).read_text(encoding="utf-8"))
+    payload = json.loads(spark.read.text(path, wholetext=True).first()[0])
     rows = [(kind, name, list(aliases)) for key, kind in (("targets", "target"), ("payloads", "payload"))
             for name, aliases in payload.get(key, {}).items()]
     return spark.createDataFrame(rows, "entity_type string, canonical_name string, aliases array<string>")

@@ -22,8 +22,8 @@ DETAIL_FIELDS = (
     ("Representative Indication", "representative_indication"),
 )
 RATIO_LABEL = "Drug-to-Antibody Ratio"
-RESULT = (r"(?is)ADC ID:\s*([A-Z0-9]+).*?<b>ADC Name:\s*</b>(.*?)</span>.*?"
-          r"""href=["'](/data/adc/details/[A-Z0-9]+)["']""")
+# Marks of a search result.
+RESULT_MARK, NAME_MARK, DETAIL_PATH = "ADC ID:", "ADC Name:", "/data/adc/details/"
 
 
 def name_key(name: Column) -> Column:
@@ -32,7 +32,11 @@ def name_key(name: Column) -> Column:
 
 def search_results(pages: DataFrame, html: str = "body") -> DataFrame:
     """Results of search pages: ``(…, adcdb_id, found_name, detail_path)``."""
-    rows = F.arrays_zip(*[F.regexp_extract_all(html, F.lit(RESULT), F.lit(i)).alias(n) for i, n in ((1, "adcdb_id"), (2, "raw"), (3, "detail_path"))])
+    parts = F.split(html, f"(?i){RESULT_MARK}")
+    found = lambda part: F.struct(
+        F.upper(F.regexp_extract(part, r"^\s*(\w+)", 1)).alias("adcdb_id"), F.regexp_extract(part, f"(?is){NAME_MARK}(.*?)</span>", 1).alias("raw"),
+        F.regexp_extract(part, f"(?i)=\\s*[\"']({DETAIL_PATH}\\w+)", 1).alias("detail_path"))
+    rows = F.filter(F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(0))), found), lambda r: (r["adcdb_id"] != "") & (r["detail_path"] != ""))
     r = pages.select(*[c for c in pages.columns if c != html], F.explode(rows).alias("r"))
     return r.select(*[c for c in pages.columns if c != html], "r.adcdb_id", tx.clean_html(F.col("r.raw")).alias("found_name"), "r.detail_path")
 

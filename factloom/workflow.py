@@ -6,7 +6,6 @@ DataFrame job; the driver only orders them and decides on publication.
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +38,8 @@ def _catalogue(spark: SparkSession, raw: str) -> tuple[DataFrame, DataFrame]:
 
 def _registry(spark: SparkSession, raw: str, dictionary: DataFrame) -> DataFrame | None:
     """Third-party records with the canonical target; pages are named after their entity."""
-    if not os.path.isdir(f"{raw}/pages"):
+    fs, folder = merge._fs(spark, f"{raw}/pages")
+    if not fs.exists(folder):
         return None
     body = spark.read.text(f"{raw}/pages", wholetext=True).select(
         F.regexp_extract(F.input_file_name(), r"([^/]+)\.html$", 1).alias("entity_id"), F.input_file_name().alias("detail_url"), F.col("value").alias("body"))
