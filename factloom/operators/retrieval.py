@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.operators.stages import written
-from factloom.operators.sizes import BROADCAST_ROWS, broadcast_if_small
+from factloom.operators.sizes import broadcast_if_small, is_small
 
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
@@ -89,17 +89,14 @@ def query_phrases(questions: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- BM25
 
 
-def corpus_statistics(chunks: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row: number of chunks and mean token count."""
-    size = sum((F.size(index_tokens(F.col(c))) for c in columns), F.lit(0))
-    return chunks.agg(F.count(F.lit(1)).cast("double").alias("chunk_count"), F.avg(size.cast("double")).alias("mean_tokens"))
+def postings(chunks: DataFrame, columns: Sequence[str], lengths: Sequence[int] = (1,), whole: bool = False) -> DataFrame:
+    """``(chunk_id, column, phrase)`` occurrences, one row per occurrence, with the chunk's token count.
 
-
-def postings(chunks: DataFrame, columns: Sequence[str], lengths: Sequence[int] = (1,)) -> DataFrame:
-    """``(chunk_id, column, phrase)`` occurrences, one row per occurrence, with the chunk's token count."""
+    With ``whole`` every chunk has one more row without column and with the phrase ``WHOLE``.
+    """
     arrays = [index_tokens(F.col(c)) for c in columns]
     base = chunks.select("chunk_id", *[a.alias(f"__t{i}") for i, a in enumerate(arrays)])
-    base = base.withColumn("tokens", sum((F.size(f"__t{i}") for i in range(len(columns))), F.lit(0)))
+    base = base.withColumn("tokens", sum((F.coalesce(F.size(f"__t{i}"), F.lit(0)) for i in range(len(columns))), F.lit(0)))
 
     def grams(i: int, n: int) -> Column:
         t = F.col(f"__t{i}")
@@ -108,7 +105,8 @@ def postings(chunks: DataFrame, columns: Sequence[str], lengths: Sequence[int] =
         cut = F.transform(F.sequence(F.lit(1), F.size(t) - F.lit(n - 1)), lambda s: F.array_join(F.slice(t, s, n), " "))
         return F.when(F.size(t) >= n, cut).otherwise(F.array().cast("array<string>"))
 
-    tagged = F.concat(*[_tag(F.concat(*[grams(i, n) for n in lengths]), c) for i, c in enumerate(columns)])
+    tagged = F.concat(*[_tag(F.concat(*[F.coalesce(grams(i, n), F.array().cast("array<string>")) for n in lengths]), c) for i, c in enumerate(columns)],
+                      *([F.array(F.struct(F.lit(None).cast("string").alias("column"), F.lit(WHOLE).alias("phrase")))] if whole else []))
     return base.select("chunk_id", "tokens", F.explode(tagged).alias("p")).select("chunk_id", "tokens", "p.column", "p.phrase")
 
 
@@ -116,34 +114,47 @@ def _tag(items: Column, name: str) -> Column:
     return F.transform(items, lambda p: F.struct(F.lit(name).alias("column"), p.alias("phrase")))
 
 
-def bm25_scores(chunks: DataFrame, questions: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """``(question_id, chunk_id, score)`` of every chunk that contains a phrase of the question.
+#: Stands for a whole chunk among the phrases; no phrase is empty.
+WHOLE = ""
+
 
-    Occurrences are filtered by the query phrases and counted per chunk before anything is shuffled. The phrase table is
-    broadcast when it is small; otherwise the join on the phrase is salted by chunk, so a phrase that occurs in a third of
-    the corpus is spread over many tasks.
+def phrase_counts(chunks: DataFrame, phrases: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Written ``(chunk_id, tokens, phrase, f)``: weighted counts of the wanted phrases, and one row per chunk with phrase ``WHOLE``.
+
+    The corpus is tokenised once. Occurrences are filtered by the wanted phrases and counted before they are shuffled.
     """
-    weights = COLUMN_WEIGHTS if weights is None else weights
     columns = [c for c in weights if c in chunks.columns]
-    phrases = query_phrases(questions)
     lengths = sorted(r[0] for r in phrases.select(F.size(F.split("phrase", " "))).distinct().collect()) or [1]
-    wanted = phrases.select("phrase").distinct()
+    wanted = phrases.select("phrase").unionByName(chunks.sparkSession.range(1).select(F.lit(WHOLE).alias("phrase"))).distinct()
     weight = F.element_at(F.create_map(*[F.lit(x) for c in columns for x in (c, float(weights[c]))]), F.col("column"))
-    counts = postings(chunks, columns, lengths).join(broadcast_if_small(wanted), "phrase").groupBy("chunk_id", "tokens", "phrase").agg(
-        F.sum(weight).alias("f"))
-    counts = written(counts)
-    found_in = counts.groupBy("phrase").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    stats = corpus_statistics(chunks, columns)
-    total, mean = stats.select("chunk_count").scalar(), stats.select("mean_tokens").scalar()
-    idf = F.ln((total - F.col("n") + F.lit(0.5)) / (F.col("n") + F.lit(0.5)))
-    rated = phrases.join(found_in, "phrase").select(
-        "question_id", "phrase", F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR)).alias("idf"))
-    if phrases.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        pairs = counts.join(F.broadcast(rated), "phrase")
+    found = postings(chunks, columns, lengths, whole=True).join(broadcast_if_small(wanted), "phrase")
+    return written(found.groupBy("chunk_id", "tokens", "phrase").agg(F.sum(weight).alias("f")))
+
+
+def bm25_scores(chunks: DataFrame, questions: DataFrame, weights: dict[str, float] | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """``(question_id, chunk_id, score)`` of every chunk that contains a phrase of the question.
+
+    Counts are brought together by chunk, the phrase table of the questions is broadcast when it is small, and the scores
+    of a chunk are added up where it lies; a cut to the best rows can follow in the same task. A larger phrase table is
+    joined on (phrase, salt), so a phrase that occurs in a third of the corpus is spread over many tasks. ``allowed``
+    (chunk_id) limits what is scored, not the corpus statistics.
+    """
+    phrases = written(query_phrases(questions))
+    counts = phrase_counts(chunks, phrases, COLUMN_WEIGHTS if weights is None else weights)
+    whole, hits = F.col("phrase") == WHOLE, counts.filter(F.col("phrase") != WHOLE)
+    stats = counts.agg(F.count_if(whole).cast("double").alias("chunk_count"), F.avg(F.when(whole, F.col("tokens").cast("double"))).alias("mean_tokens"))
+    found_in = hits.groupBy("phrase").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    idf = F.ln((F.col("chunk_count") - F.col("n") + F.lit(0.5)) / (F.col("n") + F.lit(0.5)))
+    rated = written(phrases.join(found_in, "phrase").join(F.broadcast(stats)).select(
+        "question_id", "phrase", F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR)).alias("idf"), "mean_tokens"))
+    if allowed is not None:
+        hits = hits.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
+    if is_small(rated):
+        pairs = hits.repartition("chunk_id").join(F.broadcast(rated), "phrase")
     else:
         salted = rated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        pairs = counts.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int")).join(salted, ["phrase", "salt"])
-    length = F.col("tokens").cast("double") / mean
+        pairs = hits.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int")).join(salted, ["phrase", "salt"])
+    length = F.col("tokens").cast("double") / F.col("mean_tokens")
     part = F.col("idf") * F.col("f") * F.lit(K1 + 1.0) / (F.col("f") + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * length))
     return pairs.groupBy("question_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
 
@@ -162,28 +173,51 @@ def _best_per_document(scored: DataFrame, descending: Sequence[str], top_k: int)
     return top_rows(flat, top_k, [F.desc(c) for c in descending] + [F.col("chunk_id")])
 
 
+def _only_required(scored: DataFrame, required: DataFrame) -> DataFrame:
+    """Rows whose chunk is linked to the entity that the question is limited to; other questions keep all rows."""
+    only = required.select("question_id", F.col("entity_id").alias("__only"))
+    return scored.join(only, "question_id", "left").filter(
+        F.col("__only").isNull() | F.coalesce(F.expr("array_contains(metadata.adc_ids, __only)"), F.lit(False))).drop("__only")
+
+
+def _on_topic(scored: DataFrame, topics: DataFrame) -> DataFrame:
+    """Rows on the topic of their question; a topic without any row is ignored for that question."""
+    j = scored.join(topics.select("question_id", F.col("topic").alias("__topic")), "question_id", "left")
+    fits = F.coalesce(F.expr("array_contains(metadata.literature_topics, __topic)"), F.lit(False))
+    met = j.filter(fits).select("question_id", F.lit(True).alias("__met")).distinct()
+    return j.join(met, "question_id", "left").filter(F.col("__met").isNull() | fits).drop("__topic", "__met")
+
+
+def _topics(questions: DataFrame, topic: str | None, question_topics: DataFrame | None) -> DataFrame | None:
+    if topic is not None:
+        return questions.select("question_id", F.lit(topic).alias("topic"))
+    return None if question_topics is None else question_topics.filter("topic IS NOT NULL")
+
+
 def sparse_search(chunks: DataFrame, questions: DataFrame, *, top_k: int = 10, weights: dict[str, float] | None = None,
                   source_type: str | None = None, adc_id: str | None = None, topic: str | None = None,
-                  question_entities: DataFrame | None = None, required_entities: DataFrame | None = None) -> DataFrame:
+                  question_entities: DataFrame | None = None, required_entities: DataFrame | None = None,
+                  question_topics: DataFrame | None = None) -> DataFrame:
     """BM25 search with filters, over-fetch, entity boost and one chunk per document.
 
-    A topic without any match is ignored for that question. ``question_entities(question_id, entity_id)`` names the
-    entities of each question; chunks linked to one of them come first. ``required_entities`` has one entity per question
-    and drops chunks that are not linked to it.
+    A topic without any match is ignored for that question; ``question_topics(question_id, topic)`` names one per question.
+    ``question_entities(question_id, entity_id)`` names the entities of each question; chunks linked to one of them come
+    first. ``required_entities(question_id, entity_id)`` limits a question to chunks linked to its one entity.
     """
     fetch = max(10 * top_k, 60)
+    topics = _topics(questions, topic, question_topics)
     allowed = filter_chunks(chunks, source_type, adc_id)
     info = allowed.select("chunk_id", "retrieval_document_id", *(["metadata"] if "metadata" in chunks.columns else []))
-    scored = bm25_scores(chunks, questions, weights).join(info, "chunk_id")
+    scored = bm25_scores(chunks, questions, weights, allowed if source_type is not None or adc_id is not None else None)
+    narrowed = required_entities is not None or topics is not None
+    if narrowed:
+        scored = scored.join(info, "chunk_id")
     if required_entities is not None:
-        only = required_entities.select("question_id", F.col("entity_id").alias("__only"))
-        scored = scored.join(only, "question_id").filter(F.expr("array_contains(metadata.adc_ids, __only)")).drop("__only")
-    if topic is not None:
-        on_topic = F.array_contains("metadata.literature_topics", topic)
-        hits = scored.groupBy("question_id").agg(F.bool_or(on_topic).alias("__any"))
-        scored = scored.join(hits, "question_id").filter(~F.col("__any") | on_topic).drop("__any")
+        scored = _only_required(scored, required_entities)
+    if topics is not None:
+        scored = _on_topic(scored, topics)
     best = top_rows(scored, fetch, [F.desc("score"), F.col("chunk_id")], "__fetch").drop("__fetch")
-    best = best.withColumn("entity_hit", F.lit(False))
+    best = (best if narrowed else best.join(info, "chunk_id")).withColumn("entity_hit", F.lit(False))
     if question_entities is not None:
         named = question_entities.groupBy("question_id").agg(F.collect_set("entity_id").alias("__named"))
         best = best.join(named, "question_id", "left").withColumn(
@@ -258,25 +292,27 @@ def fold_case(text: Column) -> Column:
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, top_k: int, *, key: str = "chunk_id", group: str | None = None,
-               vector: str = "vector", block: int = 1024) -> DataFrame:
+               vector: str = "vector", block: int = 1024, labels: str | None = None) -> DataFrame:
     """Exact top ``top_k`` by dot product for every query, as ``(question_id, key[, group], score, rank)``.
 
-    With ``group`` only the best row of every group counts. Queries travel to the tasks in blocks of about ``block``
-    vectors; a task multiplies its rows with the block and hands on its own best rows only, so the product of queries and
-    corpus is never written. Each block is one pass over the vectors.
+    With ``group`` only the best row of every group counts. With ``labels`` (an array column of the vectors) a query sees only
+    rows that carry all labels of its ``needs``. Queries travel to the tasks in blocks of about ``block`` vectors, one block
+    at a time on the driver; a task multiplies its rows with the block and hands on its own best rows only, so the product of
+    queries and corpus is never written. Each block is one pass over the vectors.
     """
-    blocks = max(1, -(-queries.count() // block))
-    numbered = queries.select("question_id", F.col(vector).cast("array<double>").alias("v"),
-                              F.pmod(F.xxhash64("question_id"), F.lit(blocks)).alias("b"))
+    needs = F.col("needs") if labels else F.array().cast("array<string>")
+    numbered = written(queries.select("question_id", F.col(vector).cast("array<double>").alias("v"), needs.alias("needs")))
+    blocks = max(1, -(-numbered.count() // block))
     keep = [key, *([group] if group else [])]
-    slim = vectors.select(*keep, F.col(vector).cast("array<double>").alias("v"))
+    slim = vectors.select(*keep, F.col(vector).cast("array<double>").alias("v"), *([F.col(labels).alias("labels")] if labels else []))
     schema = T.StructType([T.StructField("question_id", queries.schema["question_id"].dataType),
                            *[T.StructField(c, slim.schema[c].dataType) for c in keep], T.StructField("score", T.DoubleType())])
     result = None
     for number in range(blocks):
-        part = numbered.filter(F.col("b") == number).toPandas()
+        part = numbered.filter(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == number).toPandas()
         if len(part):
-            found = slim.mapInPandas(_local_topk(part["question_id"].tolist(), np.stack(part["v"].to_numpy()), keep, top_k), schema)
+            names, wanted = part["question_id"].tolist(), [list(n) for n in part["needs"]] if labels else None
+            found = slim.mapInPandas(_local_topk(names, np.stack(part["v"].to_numpy()), keep, top_k, wanted), schema)
             result = found if result is None else result.unionByName(found)
     if result is None:
         return queries.sparkSession.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))
@@ -286,18 +322,39 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, top_k: int, *, key: str =
     return top_rows(result, top_k, [F.desc("score"), F.col(key)])
 
 
-def _local_topk(names: list, q: np.ndarray, keep: list[str], top_k: int):
+def _local_topk(names: list, q: np.ndarray, keep: list[str], top_k: int, wanted: list[list[str]] | None = None):
     """Best rows of one task for a block of queries, kept up to date batch by batch."""
     key = keep[0]
 
+    def hidden(labels: pd.Series) -> np.ndarray:
+        """Rows by queries: true where a row lacks a label that the query needs."""
+        sets = [set(x) if x is not None else set() for x in labels]
+        lacks = {w: np.fromiter((w not in s for s in sets), bool, len(sets)) for w in {w for ws in wanted for w in ws}}
+        out = np.zeros((len(sets), len(names)), dtype=bool)
+        for i, ws in enumerate(wanted):
+            for w in ws:
+                out[:, i] |= lacks[w]
+        return out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = None
         for pdf in batches:
             if not len(pdf):
                 continue
-            scores = np.round(np.stack(pdf["v"].to_numpy()) @ q.T, 5)
-            block = pd.DataFrame({"q": np.repeat(np.arange(len(names)), len(pdf)), "score": scores.T.reshape(-1),
-                                  **{c: np.tile(pdf[c].to_numpy(), len(names)) for c in keep}})
+            scores = np.round(np.stack(pdf["v"].to_numpy()) @ q.T, 5) + 0.0
+            if wanted is not None:
+                scores[hidden(pdf["labels"])] = -np.inf
+            # A row below the top_k-th best (of the groups' best) of its batch cannot count; equal scores stay for the sort.
+            heads = scores
+            if len(keep) > 1:
+                code = pd.factorize(pdf[keep[1]])[0]
+                order = np.argsort(code, kind="stable")
+                heads = np.maximum.reduceat(scores[order], np.searchsorted(code[order], np.arange(code.max() + 1)), axis=0)
+            enough = scores > -np.inf
+            if len(heads) > top_k:
+                enough &= scores >= np.partition(heads, len(heads) - top_k, axis=0)[len(heads) - top_k]
+            query, row = np.nonzero(enough.T)
+            block = pd.DataFrame({"q": query, "score": scores[row, query], **{c: pdf[c].to_numpy()[row] for c in keep}})
             best = block if best is None else pd.concat([best, block])
             best = best.sort_values(["q", "score", key], ascending=[True, False, True], kind="stable")
             if len(keep) > 1:
@@ -310,14 +367,36 @@ def _local_topk(names: list, q: np.ndarray, keep: list[str], top_k: int):
 
 
 def dense_search(chunks: DataFrame, index: DataFrame, queries: DataFrame, *, top_k: int = 10, source_type: str | None = None,
-                 adc_id: str | None = None, topic: str | None = None) -> DataFrame:
-    """Dense search over ``index(chunk_id, vector)``. Filters run before scoring; every document counts with its best chunk."""
+                 adc_id: str | None = None, topic: str | None = None, required_entities: DataFrame | None = None,
+                 question_topics: DataFrame | None = None) -> DataFrame:
+    """Dense search over ``index(chunk_id, vector)``. Filters run before scoring; every document counts with its best chunk.
+
+    ``required_entities`` and ``question_topics`` are filters per question as in :func:`sparse_search`.
+    """
+    topics = _topics(queries, topic, question_topics)
     allowed = filter_chunks(chunks, source_type, adc_id)
-    if topic is not None:
-        narrowed = allowed.filter(F.array_contains("metadata.literature_topics", topic))
-        allowed = allowed if narrowed.isEmpty() else narrowed
-    members = allowed.select("chunk_id", "retrieval_document_id")
-    return dense_topk(index.join(members, "chunk_id"), queries, top_k, group="retrieval_document_id")
+    if required_entities is None and topics is None:
+        return dense_topk(index.join(allowed.select("chunk_id", "retrieval_document_id"), "chunk_id"), queries, top_k, group="retrieval_document_id")
+    nothing = F.array().cast("array<string>")
+    marked = lambda mark, c: F.transform(F.coalesce(F.col(c), nothing), lambda x: F.concat(F.lit(mark), x))
+    members = allowed.select("chunk_id", "retrieval_document_id",
+                             F.concat(marked("entity:", "metadata.adc_ids"), marked("topic:", "metadata.literature_topics")).alias("labels"))
+    asked = queries
+    if required_entities is not None:
+        asked = asked.join(required_entities.select("question_id", F.concat(F.lit("entity:"), "entity_id").alias("__entity")), "question_id", "left")
+    else:
+        asked = asked.withColumn("__entity", F.lit(None).cast("string"))
+    if topics is not None:
+        named = asked.select("question_id", "__entity").join(topics.select("question_id", F.concat(F.lit("topic:"), "topic").alias("__topic")), "question_id")
+        wanted = named.select("__entity", "__topic").distinct()
+        seen = members.select("labels", F.explode("labels").alias("__topic")).join(wanted, "__topic").filter(
+            F.col("__entity").isNull() | F.expr("array_contains(labels, __entity)")).select("__entity", "__topic").distinct()
+        met = named.alias("n").join(seen.alias("s"), (F.col("n.__topic") == F.col("s.__topic")) & F.col("n.__entity").eqNullSafe(F.col("s.__entity")), "left_semi")
+        asked = asked.join(met.select("question_id", "__topic"), "question_id", "left")
+    else:
+        asked = asked.withColumn("__topic", F.lit(None).cast("string"))
+    asked = asked.withColumn("needs", F.array_compact(F.array("__entity", "__topic")))
+    return dense_topk(index.join(members, "chunk_id"), asked, top_k, group="retrieval_document_id", labels="labels")
 
 
 def fuse(sparse: DataFrame, dense: DataFrame, *, top_k: int = 10, sparse_weight: float = 6.0, dense_weight: float = 1.0,
@@ -341,6 +420,15 @@ def hybrid_search(chunks: DataFrame, index: DataFrame, questions: DataFrame, que
     return fuse(sparse, dense, top_k=top_k, sparse_weight=sparse_weight, dense_weight=dense_weight)
 
 
+def with_chunk(results: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Fused rows name documents only; give each the first chunk of its document."""
+    if "chunk_id" in results.columns:
+        return results
+    first = chunks.join(results.select("retrieval_document_id").distinct(), "retrieval_document_id", "left_semi").groupBy(
+        "retrieval_document_id").agg(F.min("chunk_id").alias("chunk_id"))
+    return results.join(first, "retrieval_document_id")
+
+
 def search(mode: str, chunks: DataFrame, questions: DataFrame, *, index: DataFrame | None = None, dimension: int = 384,
            top_k: int = 10, **options) -> DataFrame:
     """``sparse``, ``dense`` or ``hybrid`` with the hashing embedder for the questions."""
@@ -352,6 +440,7 @@ def search(mode: str, chunks: DataFrame, questions: DataFrame, *, index: DataFra
         raise RuntimeError("a vector index is needed")
     queries = questions.select("question_id", hashing_embedding(F.col("question"), dimension).alias("vector"))
     if mode == "dense":
+        options.pop("question_entities", None)  # the boost belongs to the sparse list
         return dense_search(chunks, index, queries, top_k=top_k, **options)
     return hybrid_search(chunks, index, questions, queries, top_k=top_k, **options)
 

@@ -88,24 +88,20 @@ def answer_questions(questions: DataFrame, store: Store, policy: Policy, now: Co
 
 
 def _literature(plans: DataFrame, store: Store, mode: str, top_k: int, index: DataFrame | None) -> DataFrame:
-    """Identifier search first, then ranked search; a single named entity and a topic narrow the search."""
+    """Identifier search first, then one ranked search for all other questions.
+
+    A single named entity and a topic narrow the search of their question; chunks of any named entity come first.
+    """
     asked = plans.select("question_id", "question")
     exact = written(retrieval.identifier_search(store.chunks, asked, source_type="pubmed", top_k=top_k))
     rest = plans.join(exact.select("question_id").distinct(), "question_id", "left_anti")
-    single = F.when(F.size("entity_ids") == 1, F.element_at("entity_ids", 1))
-    rest = written(rest.select("question_id", "question", "topic", single.alias("only")))
-    keys = [(r["topic"], r["only"] is not None) for r in rest.select("topic", F.when(F.col("only").isNotNull(), 1).alias("only")).distinct().collect()]
+    rest = written(rest.select("question_id", "question", "topic", "entity_ids"))
+    hits = retrieval.search(
+        mode, store.chunks, rest.select("question_id", "question"), index=index, top_k=top_k, source_type="pubmed",
+        question_topics=rest.select("question_id", "topic"), question_entities=rest.select("question_id", F.explode("entity_ids").alias("entity_id")),
+        required_entities=rest.filter("size(entity_ids) = 1").select("question_id", F.element_at("entity_ids", 1).alias("entity_id")))
     columns = ["question_id", "rank", "score", "chunk_id"]
-    found = exact.select(*columns)
-    for topic, narrowed in keys:
-        part = rest.filter(F.col("topic").eqNullSafe(topic) & (F.col("only").isNotNull() if narrowed else F.col("only").isNull()))
-        options = {"source_type": "pubmed", "topic": topic, "top_k": top_k}
-        only = part.select("question_id", F.col("only").alias("entity_id")) if narrowed else None
-        if mode == "sparse":
-            hits = retrieval.sparse_search(store.chunks, part, required_entities=only, **options)
-        else:
-            hits = retrieval.search(mode, store.chunks, part, index=index, **options)
-        found = found.unionByName(hits.select(*columns))
+    found = exact.select(*columns).unionByName(retrieval.with_chunk(hits, store.chunks).select(*columns))
     rows = found.join(store.chunks.select("chunk_id", "retrieval_document_id", "source_type", "source_record_id", "title", "content"), "chunk_id")
     rows = retrieval.expand_context(rows, store.documents)
     out = answers.literature_answers(asked, rows, mode, top_k)

@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when the frame has at most ``max_rows`` rows; beyond that Spark picks a shuffled join.
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """At most ``max_rows`` rows and ``max_bytes`` bytes of text form. At most ``max_rows + 1`` rows are looked at."""
+    seen = df.limit(max_rows + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")).first()
+    return seen["n"] <= max_rows and seen["bytes"] <= max_bytes
+
 
-    The count stops after ``max_rows + 1`` rows.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast for a frame of a measured small size; beyond that Spark picks a shuffled join."""
+    return F.broadcast(df) if is_small(df, max_rows) else df
