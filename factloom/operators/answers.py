@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions import text as tx, vocabulary as v
 from factloom.operators import questions as qs, retrieval
 from factloom.operators.relational import first_per_group
+from factloom.operators.sizes import broadcast_if_small
 from factloom.operators.stages import written
 
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
@@ -50,22 +51,23 @@ def trial_items(plans: DataFrame, trials: DataFrame, links: DataFrame, limit: in
 
     ``trials`` holds text and text-array columns; ``links(entity_id, nct_id)``.
     """
+    fits = lambda df: df.filter(F.col("phase").isNull() | F.exists("phases", lambda p: F.contains(F.upper(p), F.col("phase"))))
     ids = plans.select("question_id", F.explode("trial_ids").alias("nct_id"))
-    by_entity = plans.filter("size(trial_ids) = 0").select("question_id", F.explode("entity_ids").alias("entity_id")).join(
-        links, "entity_id").select("question_id", "nct_id").distinct()
+    # The first trials of each wanted (entity, phase) are cut before they meet the questions.
+    wanted = plans.filter("size(trial_ids) = 0").select("question_id", "phase", F.coalesce("phase", F.lit("")).alias("__phase"), F.explode("entity_ids").alias("entity_id"))
+    linked = links.distinct().join(wanted.select("entity_id", "phase", "__phase").distinct(), "entity_id").join(trials.select("nct_id", "phases"), "nct_id")
+    firsts = first_per_group(fits(linked).select("entity_id", "__phase", "nct_id").distinct(), ["entity_id", "__phase"], [F.col("nct_id")], limit)
+    by_entity = wanted.join(firsts, ["entity_id", "__phase"]).select("question_id", "nct_id").distinct()
     named = ids.unionByName(by_entity).join(trials, "nct_id")
     info = plans.select("question_id", "predicates", "phase", "trial_ids", "entity_ids")
     chosen = named.join(info, "question_id")
     # Questions without any name share one list: the first trials of each phase.
-    phases = [None, *sorted({p for _, p in v.PHASE_MARKERS})]
-    heads = None
-    for phase in phases:
-        pool = trials if phase is None else trials.filter(F.array_contains(F.transform("phases", F.upper), phase))
-        top = pool.orderBy("nct_id").limit(limit).withColumn("__phase", F.lit(phase or ""))
-        heads = top if heads is None else heads.unionByName(top)
+    known = F.array(*[F.lit(p) for p in sorted({p for _, p in v.PHASE_MARKERS})])
+    of = F.filter(known, lambda k: F.exists(F.coalesce("phases", F.array().cast("array<string>")), lambda p: F.contains(F.upper(p), k)))
+    heads = first_per_group(trials.withColumn("__phase", F.explode(F.concat(F.array(F.lit("")), of))), ["__phase"], [F.col("nct_id")], limit).drop("position")
     open_plans = info.filter("size(trial_ids) = 0 AND size(entity_ids) = 0").withColumn("__phase", F.coalesce("phase", F.lit("")))
     chosen = chosen.unionByName(open_plans.join(heads, "__phase").drop("__phase"), allowMissingColumns=True)
-    matching = chosen.filter(F.col("phase").isNull() | F.exists("phases", lambda p: F.contains(F.upper(p), F.col("phase"))))
+    matching = fits(chosen)
     rows = first_per_group(matching, ["question_id"], [F.col("nct_id")], limit)
 
     def value(name: str) -> Column:
@@ -95,28 +97,20 @@ def change_items(plans: DataFrame, events: DataFrame, now: Column, limit: int =
     p = plans.withColumn("__sig", F.sha2(F.concat_ws("\u001f", F.col("days").cast("string"), F.array_join(F.array_sort("entity_ids"), ","),
                                                      F.array_join(F.array_sort("targets"), ",")), 256))
     selections = p.groupBy("__sig").agg(F.first("days").alias("days"), F.first("entity_ids").alias("want_ids"), F.first("targets").alias("want_targets"))
-    recent = events.withColumn("__at", F.try_to_timestamp("detected_at")).filter((F.col("__at") <= now) & (F.col("__at") >= now - F.expr("INTERVAL 30 DAYS")))
-    # Equi-join on the entity; selections without entities look at the newest events only.
-    per_entity = selections.filter("size(want_ids) > 0").select("*", F.explode("want_ids").alias("entity_id"))
-    hits = recent.select("*", F.explode("entity_ids").alias("entity_id")).join(per_entity, "entity_id").drop("entity_id")
-    hits = hits.dropDuplicates(["__sig", "event_id"])
+    # A selection is a union of parts (entity or any, target or any, window); the newest events of each part hold the newest of the union.
+    some = lambda items: F.when(F.size(items) > 0, F.transform(items, F.lower)).otherwise(F.array(F.lit("")))
+    parts = selections.select("__sig", "days", "want_targets", F.explode(F.when(F.size("want_ids") > 0, F.col("want_ids")).otherwise(F.array(F.lit("")))).alias("__entity"))
+    parts = parts.select("__sig", "days", "__entity", F.explode(some("want_targets")).alias("__target")).distinct()
+    wanted = parts.select("days", "__entity", "__target").distinct()
+    none = F.array().cast("array<string>")
+    recent = events.withColumn("__at", F.try_to_timestamp("detected_at")).filter(F.col("__at") <= now)
+    recent = recent.select("*", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.coalesce("entity_ids", none)))).alias("__entity"))
+    recent = recent.select("*", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.transform(F.coalesce("targets", none), F.lower)))).alias("__target"))
     in_window = (F.unix_micros(now) - F.unix_micros("__at")) <= F.col("days").cast("bigint") * F.lit(86_400_000_000)
-    wanted = lambda df: df.filter(in_window & ((F.size("want_targets") == 0) | F.arrays_overlap(
-        F.transform("targets", F.lower), F.transform("want_targets", F.lower))))
     order = [F.desc("__at"), F.desc("event_id")]
-    chosen = first_per_group(wanted(hits), ["__sig"], order, limit)
-    free = selections.filter("size(want_ids) = 0")
-    heads = None
-    for days in (1, 7, 30):
-        for target in (None, *v.TARGETS):
-            pool = recent.filter((F.unix_micros(now) - F.unix_micros("__at")) <= days * 86_400_000_000)
-            pool = pool if target is None else pool.filter(F.array_contains(F.transform("targets", F.lower), target.lower()))
-            top = pool.orderBy(*order).limit(limit).withColumn("__head", F.lit(f"{days}:{target or ''}"))
-            heads = top if heads is None else heads.unionByName(top)
-    keys = F.when(F.size("want_targets") == 0, F.array(F.lit(""))).otherwise(F.col("want_targets"))
-    open_rows = free.select("*", F.explode(keys).alias("__t")).withColumn("__head", F.concat_ws(":", F.col("days").cast("string"), "__t")).join(
-        heads, "__head").dropDuplicates(["__sig", "event_id"]).drop("__head", "__t")
-    chosen = chosen.unionByName(first_per_group(open_rows, ["__sig"], order, limit))
+    heads = first_per_group(recent.join(broadcast_if_small(wanted), ["__entity", "__target"]).filter(in_window), ["__entity", "__target", "days"], order, limit)
+    met = parts.join(heads.drop("position"), ["__entity", "__target", "days"]).drop("__entity", "__target", "days").dropDuplicates(["__sig", "event_id"])
+    chosen = first_per_group(met, ["__sig"], order, limit)
     subject = F.coalesce(F.nullif(F.array_join("entity_names", ", "), F.lit("")), F.col("subject_id"))
     text = F.concat(subject, F.lit(" 在 "), "detected_at", F.lit(" 检测到 "), "event_type", F.lit("："), "old_text", F.lit(" → "), "new_text", F.lit("。"))
     rows = p.select("question_id", "__sig").join(chosen, "__sig").select(

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import stats, text as tx
@@ -144,33 +143,51 @@ def with_exact_test(counts: DataFrame) -> DataFrame:
         "p_value", F.round(stats.exact_mcnemar("system_only", "discordant"), 6))
 
 
+def bootstrap_positions(confidence: float, iterations: int) -> tuple[int, int]:
+    """Places, from 0, of the two bounds in the sorted differences of all iterations."""
+    if not 0 < confidence < 1 or iterations < 1:
+        raise ValueError("invalid confidence or iterations")
+    alpha = (1 - confidence) / 2
+    place = lambda x: max(0, min(iterations - 1, x))
+    return place(math.floor(alpha * iterations)), place(math.ceil((1 - alpha) * iterations) - 1)
+
+
+#: Quadruples of draws that one row makes.
+DRAW_BLOCK = 4096
+
+
 def bootstrap_interval(counts: DataFrame, groups: Sequence[str], *, confidence: float = 0.95, iterations: int = 10_000,
                        seed: int = 0) -> DataFrame:
-    """Percentile interval of the rate difference.
+    """Percentile interval of the rate difference over resampled pairs.
 
-    A resample of pairs only matters through its four cell counts, so each iteration draws one multinomial from the
-    counts. The work does not depend on the number of questions. Draws are seeded by group and iteration; they do not
-    follow the sequence of any other generator.
+    A draw only needs the cell it falls in, so pairs are numbered by cell: system only, baseline only, the rest. The four draws
+    ``4 j .. 4 j + 3`` of an iteration are the four 32-bit words of the MD5 of ``seed:groups:iteration:j``, scaled to the number of
+    pairs, so any engine can repeat them. Draws are cut into rows of bounded length, spread over the tasks and added up.
     """
-    if not 0 < confidence < 1 or iterations < 1:
-        raise ValueError("invalid confidence or iterations")
-    alpha = (1 - confidence) / 2
-    low = max(0, min(iterations - 1, int(np.floor(alpha * iterations))))
-    high = max(0, min(iterations - 1, int(np.ceil((1 - alpha) * iterations)) - 1))
-
-    @F.pandas_udf("struct<lower:double,upper:double>")
-    def draw(n: pd.Series, plus: pd.Series, minus: pd.Series, salt: pd.Series) -> pd.DataFrame:
-        rows = []
-        for total, p, m, s in zip(n, plus, minus, salt):
-            rng = np.random.default_rng([seed, int(s) & 0xFFFFFFFF])
-            cells = rng.multinomial(int(total), [p / total, m / total, (total - p - m) / total], size=iterations)
-            diffs = np.sort((cells[:, 0] - cells[:, 1]) / total)
-            rows.append((round(float(diffs[low]), 6), round(float(diffs[high]), 6)))
-        return pd.DataFrame(rows, columns=["lower", "upper"])
-
-    salt = F.xxhash64(*[F.col(g) for g in groups]) if groups else F.lit(0)
-    return counts.withColumn("__ci", draw("question_count", "system_only", "baseline_only", salt)).select(
-        *counts.columns, F.col("__ci.lower").alias("ci_lower"), F.col("__ci.upper").alias("ci_upper"))
+    low, high = bootstrap_positions(confidence, iterations)
+    n, plus, minus = (F.col(c).cast("bigint") for c in ("question_count", "system_only", "baseline_only"))
+    name = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(g).cast("string"), F.lit("")) for g in groups])
+    base = counts.select(*groups, n.alias("__n"), plus.alias("__p"), minus.alias("__m"), name.alias("__name"), F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("__i"))
+    quads = F.floor((F.col("__n") + 3) / 4).cast("int")
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a set number: the rows are small, their work is not
+    base = base.repartition(tasks, "__i").select("*", F.explode(F.sequence(F.lit(0), F.floor((quads - 1) / DRAW_BLOCK).cast("int"))).alias("__b"))
+
+    def quad(acc: Column, j: Column) -> Column:
+        digest = F.md5(F.concat_ws(":", "__name", F.col("__i").cast("string"), j.cast("string")))
+        for k in range(4):
+            at = F.shiftright(F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("bigint") * F.col("__n"), 32)
+            cell = F.when(at < F.col("__p"), 1).when(at < F.col("__p") + F.col("__m"), -1).otherwise(0)
+            acc = acc + F.when(j.cast("bigint") * 4 + k < F.col("__n"), cell).otherwise(0)
+        return acc
+
+    block = F.sequence(F.col("__b") * DRAW_BLOCK, F.least(quads, (F.col("__b") + 1) * DRAW_BLOCK) - 1)
+    drawn = base.select("__name", "__n", "__i", F.aggregate(block, F.lit(0), quad).alias("d"))
+    sums = drawn.groupBy("__name", "__n", "__i").agg(F.sum("d").alias("d")).groupBy("__name", "__n", "d").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("__name").orderBy("d"))
+    bound = lambda place: F.min(F.when(F.col("upto") > place, F.col("d")))
+    found = sums.withColumn("upto", upto).groupBy("__name", "__n").agg(bound(low).alias("l"), bound(high).alias("h"))
+    share = lambda c: F.round(F.col(c).cast("double") / F.col("__n").cast("double"), 6)
+    return counts.withColumn("__name", name).join(found, "__name").select(*counts.columns, share("l").alias("ci_lower"), share("h").alias("ci_upper"))
 
 
 def confusion(pairs: DataFrame, left: str, right: str) -> DataFrame:

@@ -180,14 +180,6 @@ def _only_required(scored: DataFrame, required: DataFrame) -> DataFrame:
         F.col("__only").isNull() | F.coalesce(F.expr("array_contains(metadata.adc_ids, __only)"), F.lit(False))).drop("__only")
 
 
-def _on_topic(scored: DataFrame, topics: DataFrame) -> DataFrame:
-    """Rows on the topic of their question; a topic without any row is ignored for that question."""
-    j = scored.join(topics.select("question_id", F.col("topic").alias("__topic")), "question_id", "left")
-    fits = F.coalesce(F.expr("array_contains(metadata.literature_topics, __topic)"), F.lit(False))
-    met = j.filter(fits).select("question_id", F.lit(True).alias("__met")).distinct()
-    return j.join(met, "question_id", "left").filter(F.col("__met").isNull() | fits).drop("__topic", "__met")
-
-
 def _topics(questions: DataFrame, topic: str | None, question_topics: DataFrame | None) -> DataFrame | None:
     if topic is not None:
         return questions.select("question_id", F.lit(topic).alias("topic"))
@@ -209,15 +201,21 @@ def sparse_search(chunks: DataFrame, questions: DataFrame, *, top_k: int = 10, w
     allowed = filter_chunks(chunks, source_type, adc_id)
     info = allowed.select("chunk_id", "retrieval_document_id", *(["metadata"] if "metadata" in chunks.columns else []))
     scored = bm25_scores(chunks, questions, weights, allowed if source_type is not None or adc_id is not None else None)
-    narrowed = required_entities is not None or topics is not None
-    if narrowed:
-        scored = scored.join(info, "chunk_id")
+    if required_entities is not None or topics is not None:
+        scored = scored.join(info.select("chunk_id", "metadata"), "chunk_id")
     if required_entities is not None:
         scored = _only_required(scored, required_entities)
+    fits = F.lit(False)
+    if topics is not None:
+        scored = scored.join(topics.select("question_id", F.col("topic").alias("__topic")), "question_id", "left")
+        fits = F.coalesce(F.expr("array_contains(metadata.literature_topics, __topic)"), F.lit(False))
+    # The best rows on and off the topic are cut apart, so that the cut comes before the shuffle; then those on it win if there are any.
+    scored = scored.select("question_id", "chunk_id", "score", fits.alias("__fits"))
+    window = Window.partitionBy("question_id", "__fits").orderBy(F.desc("score"), F.col("chunk_id"))
+    best = scored.withColumn("__fetch", F.row_number().over(window)).filter(F.col("__fetch") <= fetch)
     if topics is not None:
-        scored = _on_topic(scored, topics)
-    best = top_rows(scored, fetch, [F.desc("score"), F.col("chunk_id")], "__fetch").drop("__fetch")
-    best = (best if narrowed else best.join(info, "chunk_id")).withColumn("entity_hit", F.lit(False))
+        best = best.withColumn("__met", F.bool_or("__fits").over(Window.partitionBy("question_id"))).filter(F.col("__fits") | ~F.col("__met")).drop("__met")
+    best = best.drop("__fits", "__fetch").join(info, "chunk_id").withColumn("entity_hit", F.lit(False))
     if question_entities is not None:
         named = question_entities.groupBy("question_id").agg(F.collect_set("entity_id").alias("__named"))
         best = best.join(named, "question_id", "left").withColumn(

@@ -386,7 +386,7 @@ def budgeted_context(spark, sf):
         F.md5("s.excerpt").alias("excerpt_md5"))
 
 
-@query(SPARSE_SQL + NUMBERED_SQL + """,
+PICKED_SQL = """,
 terms AS (SELECT CAST(item_id AS VARCHAR) AS question_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 1)) AS ts FROM benchmark),
 un AS (SELECT question_id, source_index, cid, list_filter(list_transform(regexp_split_to_array(regexp_replace(ex, '([.!?。！？])\\s+', '\\1' || chr(10), 'g'), '\\n+'),
    lambda x: trim(x)), lambda x: x <> '') AS us FROM num),
@@ -394,13 +394,47 @@ u1 AS (SELECT question_id, source_index, cid, CAST(unnest(generate_series(0, len
 sc2 AS (SELECT u1.*, len(list_filter(ts, lambda w: contains(lower(unit), w))) AS score FROM u1 JOIN terms USING (question_id)),
 dd AS (SELECT *, row_number() OVER (PARTITION BY question_id, trim(regexp_replace(lower(unit), '\\s+', ' ', 'g')) ORDER BY score DESC, source_index, unit_index) AS dup
    FROM sc2 WHERE score > 0),
-pk AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, source_index, unit_index) AS position FROM dd WHERE dup = 1)
+pk AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, source_index, unit_index) AS position FROM dd WHERE dup = 1)"""
+
+
+@query(SPARSE_SQL + NUMBERED_SQL + PICKED_SQL + """
 SELECT question_id, string_agg('- 证据摘录：' || rtrim(substr(unit, 1, 420)) || ' [' || cid || ']', chr(10) ORDER BY position) AS answer FROM pk WHERE position <= 4 GROUP BY 1""")
 def extractive_sentences(spark, sf):
     return answers.extract_answers(numbered_sources(spark, sf), benchmark_questions(spark, sf)).select("question_id", "answer")
 
 
-@query()
+def _anchors_sql() -> str:
+    said = lambda text, group: "(" + " OR ".join(f"contains({text}, '{m}')" for m in group) + ")"
+    return " OR ".join(f"({said('low', g)} AND NOT {said('ev', g)})" for g in v.TOPIC_ANCHORS)
+
+
+LITERATURE_SQL = SPARSE_SQL + NUMBERED_SQL + PICKED_SQL + f""",
+al AS (SELECT s.question_id, arg_min(s.score, s.rank) AS top_score, trim(regexp_replace(replace(lower(string_agg(concat_ws(' ', s.document_id, s.document_id, d.source, d.text),
+   ' ' ORDER BY s.rank)), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g')) AS ev FROM sparse s JOIN documents d ON CAST(d.doc_id AS VARCHAR) = s.document_id WHERE s.rank <= 5 GROUP BY 1),
+qs AS (SELECT CAST(item_id AS VARCHAR) AS question_id, replace(lower(text), 'ß', 'ss') AS low, list_transform(list_concat(
+   regexp_extract_all(text, '(?i)\\bPMID\\s*:?[ \\t]*(\\d+)\\b', 1), regexp_extract_all(text, '(?i)\\b(NCT\\d{{8}})\\b', 1),
+   list_filter(regexp_extract_all(text, '\\b[A-Za-z]{{2,}}[- ]?\\d{{2,}}[A-Za-z0-9-]*\\b'), lambda x: NOT regexp_matches(x, '(?i)^(PMID\\b|NCT\\d{{8}}\\b)'))),
+   lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))) AS ids FROM benchmark),
+guard AS (SELECT question_id, CASE WHEN top_score IS NULL THEN 'no_retrieval_results' WHEN top_score < 0.5 THEN 'low_retrieval_relevance'
+   WHEN len(list_filter(ids, lambda x: x <> '' AND NOT contains(ev, x))) > 0 THEN 'specific_identifier_not_found' WHEN {_anchors_sql()} THEN 'topic_not_supported' END AS why
+   FROM qs LEFT JOIN al USING (question_id)),
+cl AS (SELECT question_id, cid, position, '证据摘录：' || rtrim(substr(unit, 1, 420)) || ' [' || cid || ']' AS claim, ex FROM pk JOIN num USING (question_id, cid) WHERE position <= 4),
+ct AS (SELECT *, replace(lower(ex), 'ß', 'ss') AS ev, list_distinct(list_filter(list_transform(regexp_extract_all(
+   {_connector_sql("ltrim(trim(regexp_replace(replace(lower(claim), 'ß', 'ss'), '\\[[^\\]]+\\]', ' ', 'g')), '-*•0123456789.、 ')")},
+   '[a-z][a-z0-9]*(?:-[a-z0-9]+)*|\\d+(?:\\.\\d+)?|[\\x{{4e00}}-\\x{{9fff}}]{{2,}}'), lambda w: trim(w, '-')), lambda w: length(w) >= 2 AND NOT list_contains(
+   ['{"', '".join(v.SUPPORT_NOISE)}'], w))) AS terms FROM cl),
+cs AS (SELECT *, len(terms) > 0 AND len(list_filter(terms, lambda w: NOT contains(ev, w))) = 0 AS ok FROM ct),
+kept AS (SELECT question_id, count(*) FILTER (WHERE ok) AS n, count(*) FILTER (WHERE NOT ok) AS withheld, string_agg('- ' || claim, chr(10) ORDER BY position) FILTER (WHERE ok)
+   AS shown FROM cs GROUP BY 1),
+ci AS (SELECT question_id, string_agg(cid, ',' ORDER BY p) AS citations FROM (SELECT question_id, cid, min(position) AS p FROM cs WHERE ok GROUP BY 1, 2) GROUP BY 1),
+fin AS (SELECT g.question_id, coalesce(why, CASE WHEN kept.n IS NULL THEN 'model_refusal' WHEN kept.n = 0 THEN 'text_support_validation_failed' END) AS no, n, withheld, shown, citations
+   FROM guard g LEFT JOIN kept USING (question_id) LEFT JOIN ci USING (question_id))
+SELECT question_id, CASE WHEN no IS NOT NULL THEN 'refused' WHEN withheld > 0 THEN 'partial' ELSE 'answered' END AS status,
+  coalesce(no, CASE WHEN withheld > 0 THEN 'partial_evidence' END) AS refusal_reason, CASE WHEN no IS NULL THEN shown END AS answer,
+  CASE WHEN no IS NULL THEN n ELSE 0 END AS supported_claims, CASE WHEN no IS NULL THEN citations END AS citations FROM fin"""
+
+
+@query(LITERATURE_SQL)
 def literature_answers(spark, sf):
     found = sparse_results(spark, sf, 5)
     docs = t(spark, sf, "documents").select(

@@ -115,9 +115,22 @@ def holm_adjust(spark, sf):
     return stats.holm_adjust(tested, "p_value", ["lang"], ["source"]).withColumn("adjusted", F.round("adjusted", 6))
 
 
-@query()
+LOW, HIGH = ev.bootstrap_positions(0.95, 10_000)
+
+
+@query("WITH " + PAIR_SQL.replace("GROUPS", "lang") + f""",
+it AS (SELECT *, unnest(range(10000)) AS i FROM pc),
+q AS (SELECT *, unnest(range((question_count + 3) // 4)) AS j FROM it),
+h AS (SELECT *, md5('0:' || lang || ':' || i || ':' || j) AS h FROM q),
+w AS (SELECT *, unnest([0, 1, 2, 3]) AS k FROM h),
+u AS (SELECT *, (CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) * question_count) >> 32 AS pick FROM w WHERE 4 * j + k < question_count),
+s AS (SELECT lang, i, sum(CASE WHEN pick < system_only THEN 1 WHEN pick < system_only + baseline_only THEN -1 ELSE 0 END) AS d FROM u GROUP BY 1, 2),
+r AS (SELECT lang, d, row_number() OVER (PARTITION BY lang ORDER BY d) - 1 AS place FROM s),
+b AS (SELECT lang, max(d) FILTER (WHERE place = {LOW}) AS l, max(d) FILTER (WHERE place = {HIGH}) AS h FROM r GROUP BY 1)
+SELECT lang, round(CAST(system_only - baseline_only AS DOUBLE) / question_count, 6) AS difference, round(CAST(l AS DOUBLE) / question_count, 6) AS ci_lower,
+  round(CAST(h AS DOUBLE) / question_count, 6) AS ci_upper FROM pc JOIN b USING (lang)""")
 def bootstrap_intervals(spark, sf):
-    return ev.bootstrap_interval(ev.paired_counts(label_pairs(spark, sf), ["lang"]), ["lang"], iterations=2000).select(
+    return ev.bootstrap_interval(ev.paired_counts(label_pairs(spark, sf), ["lang"]), ["lang"]).select(
         "lang", "difference", "ci_lower", "ci_upper")
 
 

@@ -106,6 +106,39 @@ def sparse_entity_boost(spark, sf):
     return found.select("question_id", F.col("retrieval_document_id").alias("document_id"), "entity_hit", "score", "rank")
 
 
+FILTER_SQL = """
+asked AS (SELECT CAST(item_id AS VARCHAR) AS question_id, CASE WHEN item_id % 3 = 0 THEN 'src' || (item_id % 20) END AS source_only,
+   CASE WHEN item_id % 2 = 0 THEN ['de', 'en', 'fr', 'no such language'][item_id // 2 % 4 + 1] END AS topic FROM benchmark)"""
+
+
+def filtered_questions(spark, sf):
+    """Every third question is limited to one source (as entity) and every second to one language (as topic)."""
+    k = F.col("item_id")
+    topics = F.element_at(F.array(*[F.lit(x) for x in ("de", "en", "fr", "no such language")]), (F.floor(k / 2) % 4 + 1).cast("int"))
+    q = t(spark, sf, "benchmark").select(
+        k.cast("string").alias("question_id"), F.when(k % 3 == 0, F.concat(F.lit("src"), (k % 20).cast("string"))).alias("entity_id"),
+        F.when(k % 2 == 0, topics).alias("topic"))
+    return q.filter("entity_id IS NOT NULL").select("question_id", "entity_id"), q.filter("topic IS NOT NULL").select("question_id", "topic")
+
+
+def labelled_chunks(spark, sf):
+    d = t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "lang", "source")
+    meta = F.struct(F.array("source").alias("adc_ids"), F.array("lang").alias("literature_topics")).alias("metadata")
+    return document_chunks(spark, sf).join(d.select("chunk_id", meta), "chunk_id")
+
+
+@query(SPARSE_SQL.split("sparse AS (")[0] + FILTER_SQL + """,
+m AS (SELECT sc.question_id, document_id, score, topic, d.lang = topic AS fits FROM sc JOIN documents d ON CAST(d.doc_id AS VARCHAR) = document_id JOIN asked USING (question_id)
+   WHERE source_only IS NULL OR d.source = source_only),
+n AS (SELECT *, bool_or(fits) OVER (PARTITION BY question_id) AS met FROM m)
+SELECT question_id, document_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, document_id) AS rank
+  FROM n WHERE topic IS NULL OR fits OR NOT coalesce(met, false)) WHERE rank <= 10""")
+def sparse_filters(spark, sf):
+    only, topics = filtered_questions(spark, sf)
+    found = r.sparse_search(labelled_chunks(spark, sf), benchmark_questions(spark, sf), top_k=10, required_entities=only, question_topics=topics)
+    return found.select("question_id", F.col("retrieval_document_id").alias("document_id"), "score", "rank")
+
+
 @query("""
 WITH q AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'What does PMID: ' || (o_orderkey % 900) || ' report? see pmid '
    || (o_orderkey % 700 + 1) ELSE 'no identifier here ' || o_orderkey END AS question FROM orders),
@@ -194,6 +227,21 @@ def dense_search_questions(spark, sf):
     return dense_documents(spark, sf, 10).select("question_id", F.col("retrieval_document_id").alias("document_id"), "score", "rank")
 
 
+@query("WITH " + DENSE_DOC_SQL.split("densed AS (")[0] + FILTER_SQL + """,
+m AS (SELECT a.question_id, document_id, score, topic, d.lang = topic AS fits FROM alld a JOIN documents d ON CAST(d.doc_id AS VARCHAR) = document_id
+   JOIN asked ON asked.question_id = a.question_id WHERE source_only IS NULL OR d.source = source_only),
+n AS (SELECT *, bool_or(fits) OVER (PARTITION BY question_id) AS met FROM m)
+SELECT question_id, document_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, document_id) AS rank
+  FROM n WHERE topic IS NULL OR fits OR NOT coalesce(met, false)) WHERE rank <= 10""")
+def dense_filters(spark, sf):
+    only, topics = filtered_questions(spark, sf)
+    chunks = labelled_chunks(spark, sf)
+    index = chunks.select("chunk_id", r.hashing_embedding(F.col("content")).alias("vector"))
+    queries = benchmark_questions(spark, sf).select("question_id", r.hashing_embedding(F.col("question")).alias("vector"))
+    found = r.dense_search(chunks, index, queries, top_k=10, required_entities=only, question_topics=topics)
+    return found.select("question_id", F.col("retrieval_document_id").alias("document_id"), "score", "rank")
+
+
 def hybrid_results(spark, sf):
     return r.fuse(sparse_results(spark, sf), dense_documents(spark, sf, 60), top_k=10)
 

@@ -137,3 +137,22 @@ def test_source_budget(spark):
     df = spark.createDataFrame(rows, "question_id string, rank int, source_type string, retrieval_document_id string, content string")
     got = answers.number_sources(df, max_sources=5, per_source=40, total=90).first().sources
     assert [(s.citation_id, s.excerpt) for s in got] == [("S1", "a" * 40), ("S2", "b" * 30), ("S3", "c" * 20)]
+
+
+def test_filters_of_each_question(spark, chunks, questions):
+    index = retrieval.build_vector_index(chunks)
+    info = {r.chunk_id: r for r in chunks.collect()}
+    first, *others = list(QUERIES)
+    entity = sorted({e for r in info.values() for e in r.metadata.adc_ids})[0]
+    only = spark.createDataFrame([(first, entity)], "question_id string, entity_id string")
+    topics = spark.createDataFrame([(q, "safety") for q in others] + [(first, "no such topic")], "question_id string, topic string")
+    for mode in ("sparse", "dense"):
+        found = retrieval.search(mode, chunks, questions, index=index, top_k=4, required_entities=only, question_topics=topics).collect()
+        free = retrieval.search(mode, chunks, questions, index=index, top_k=4, required_entities=only).collect()
+        ids = lambda rows: {(r.question_id, r["rank"], r.chunk_id) for r in rows if r.question_id == first}
+        assert ids(found) == ids(free)  # a topic that nothing has is ignored
+        assert all(entity in info[r.chunk_id].metadata.adc_ids for r in found if r.question_id == first)
+        assert all("safety" in info[r.chunk_id].metadata.literature_topics for r in found if r.question_id in others)
+    fused = retrieval.search("hybrid", chunks, questions, index=index, top_k=4, required_entities=only, question_topics=topics,
+                             question_entities=only)
+    assert set(r.chunk_id for r in retrieval.with_chunk(fused, chunks).collect()) <= set(info)
