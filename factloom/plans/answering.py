@@ -336,7 +336,7 @@ def _connector_sql(expr: str) -> str:
 
 
 SUPPORT_SQL = "WITH " + CITED_SQL + f""",
-src AS (SELECT question_id, [{{'id': 'S1', 't': substr(text, 1, 400)}}, {{'id': 'S2', 't': substr(text, 200, 600)}}, {{'id': 'S3', 't': substr(text, 500, 2000)}}] AS s FROM base),
+src AS (SELECT question_id, [{{'id': 'S1', 't': substr(text, 1, 400)}}, {{'id': 'S2', 't': substr(text, 200, 600)}}, {{'id': 'S3', 't': substr(text, 500)}}] AS s FROM base),
 one AS (SELECT question_id, CAST(unnest(generate_series(0, len(cs) - 1)) AS INTEGER) AS claim_index, unnest(cs) AS claim FROM claims WHERE len(cs) > 0),
 x AS (SELECT one.*, s, list_distinct(list_transform(regexp_extract_all(claim, '\\[S(\\d+)\\]', 1), lambda n: 'S' || n)) AS cited FROM one JOIN src USING (question_id)),
 y AS (SELECT *, replace(lower(array_to_string(list_transform(list_filter(s, lambda e: list_contains(cited, e.id)), lambda e: e.t), ' ')), 'ß', 'ss') AS ev,
@@ -351,8 +351,8 @@ SELECT question_id, claim_index, CAST(len(terms) AS BIGINT) AS term_count, CAST(
 
 @query(SUPPORT_SQL)
 def text_support_check(spark, sf):
-    cut = lambda name, start, n: F.struct(F.lit(name).alias("citation_id"), F.substring("text", start, n).alias("excerpt"))
-    a = cited_answers(spark, sf).withColumn("sources", F.array(cut("S1", 1, 400), cut("S2", 200, 600), cut("S3", 500, 2000)))
+    cut = lambda name, start, n: F.struct(F.lit(name).alias("citation_id"), F.substring(F.col("text"), F.lit(start), n).alias("excerpt"))
+    a = cited_answers(spark, sf).withColumn("sources", F.array(cut("S1", 1, F.lit(400)), cut("S2", 200, F.lit(600)), cut("S3", 500, F.length("text"))))
     return answers.claim_support(a).select(
         "question_id", "claim_index", F.size("terms").cast("bigint").alias("term_count"), F.size("missing_terms").cast("bigint").alias("missing_count"),
         F.coalesce("reason", F.lit("supported")).alias("verdict"))
