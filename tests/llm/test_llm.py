@@ -282,6 +282,21 @@ def test_op10_main_text(spark):
     assert templates.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_op10_template_from_classes(spark):
+    """Tokens of valid, nested classes only; text of all pages of a host is dropped inside an article as well."""
+    page = "<body><article><div class=text>%s</div><div class=box>Read it all</div>%s</article><div class=foot-line>Site</div></body>"
+    pages = [(k, f"http://c/{k}", page % ("".join(f"<p>Text {k} part {i}</p>" for i in range(1 + k % 3)), "<div class=extra>Extra</div>" if k % 2 else "")) for k in range(8)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    [found] = templates.templates(frame).collect()
+    even = [("body",), ("body", "article"), ("body", "article", "div.text"), ("body", "article", "div.box"), ("body", "div.foot-line")]
+    assert set(found.template) == {templates.path_id(p) for p in even}  # p repeats unevenly, div.extra shares its vector with no other token
+    assert templates.path_id(even[3]) in found.constant
+    assert templates.nested([(1, 0), (2, 1), (4, 3)]) == {1, 2}
+    for r in templates.extracted(frame).collect():
+        k = r.page_id
+        assert r.text == "\n\n".join([f"Text {k} part {i}" for i in range(1 + k % 3)] + ["Extra"] * (k % 2))
+
+
 def test_parse_stands_broken_markup():
     for text in ("<", "<p", "a < b", "</p></div>", "<div><p>x</div>y", "<script>never closed", "<!-- open", "<p class='a>b</p>", "&#xD800; &am &bogus;"):
         parse(text)
