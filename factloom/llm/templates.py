@@ -1,20 +1,21 @@
 """Main text of pages by deducing each host's template from equivalence classes of tokens.
 
 A token is an element with the path it stands in. Its occurrence vector says how often it occurs in each page of the host; the vectors are
-never gathered: a page adds one hash of itself and the count to the token's signature. Tokens
+never gathered: a page adds one hash of itself and the count to the token's signature. Pages of one host with equal html count once. Tokens
 of one host with equal signatures form a class. A class is valid if it has at least ``least_tokens`` tokens and stands in at least ``least_pages`` pages
 and a share ``least_share`` of the host's, equally often in each. The valid classes are the template as far as they nest: a token belongs to it if the token
 around it does, up to the root. A slot is the text of a template token outside of the template tokens within it, so elements that come and go or repeat
 unevenly are text of the slot they stand in.
 
-A slot whose text is the same in nearly all pages of the host (a share ``nearly``) is template text and dropped, inside an article as well. The names of elements are looked at afterwards: what lies in an
+A slot whose text is the same in nearly all pages of the host (a share ``nearly``) is template text and dropped, inside an article as well. Only where
+such slots hold more text than all others the pages are variants of one page, and they are kept. The names of elements are looked at afterwards: what lies in an
 element that is named as menu, header, footer, sidebar, notice, advert, form or comments is dropped, and of a page with an article (or main) element what
 lies outside. In other pages slots that are mostly links are dropped, and so are elements outside of the template that are mostly links in the page itself.
 All other slots are the text. A page without a template of its host, because the host has too few pages, is judged by its own elements in the same way. A rule
 that would leave nothing of a page is not applied to it.
 
 A host's template holds at most (elements of a page / ``least_share``) tokens, however many pages the host has. A page is read twice, where it lies;
-between the two its tokens are written as numbers, and the templates are joined to both by host.
+between the two its tokens are shuffled as numbers, once for pages of equal html, and the templates are joined to both by host.
 
 Cases: a null or empty html gives an empty text; a null url or one without a host belongs to the host ''; unclosed, crossing or cut-off
 elements end where their parents do; rows with one page_id stay apart; an empty table gives no rows; other columns are ignored.
@@ -141,9 +142,9 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, least_tokens: int = LEAST_TOKENS, nearly: float = NEARLY) -> DataFrame:
     """(host, template, constant, links): the nested tokens of the host's valid classes, and its slots with template text and with links."""
-    read = pages.select(host_of().alias("host"), F.xxhash64("page_id", "url", "html").alias("page"), "html")
+    read = pages.select(host_of().alias("host"), F.xxhash64("html").alias("page"), "html")
     contents = read.mapInArrow(_contents, "host string, page long, tokens array<struct<path: long, parent: long, times: int, chars: long, linked: long, text_hash: long>>").where(F.size("tokens") > 0)
-    contents = written(contents)
+    contents = written(contents.dropDuplicates(["host", "page"]))
     sizes = contents.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least_pages)
     signature = F.sum(F.xxhash64("page", "times").bitwiseAND(F.lit((1 << 31) - 1))).alias("signature")  # no overflow below 2 ** 32 pages
     counted = contents.select("host", "page", F.inline("tokens")).where("times > 0").groupBy("host", "path").agg(
@@ -157,7 +158,7 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
     slots = texts.groupBy("host", "slot").agg(F.max("n").alias("same"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")).join(template.select("host", "pages"), "host")
     judged = slots.select("host", "slot", "chars", (F.col("same") >= F.col("pages") * nearly).alias("constant"), (F.col("linked") * 2 > F.col("chars")).alias("links"))
     named = judged.groupBy("host").agg(
-        F.collect_list(F.when(F.col("constant"), F.col("slot"))).alias("constant"), F.collect_list(F.when(F.col("links"), F.col("slot"))).alias("links"))
+        F.when(F.sum(F.when(F.col("constant"), F.col("chars")).otherwise(-F.col("chars"))) <= 0, F.collect_list(F.when(F.col("constant"), F.col("slot")))).alias("constant"), F.collect_list(F.when(F.col("links"), F.col("slot"))).alias("links"))
     return template.join(named, "host", "left").select("host", "template", "constant", "links")
 
 

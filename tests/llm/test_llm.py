@@ -297,6 +297,19 @@ def test_op10_template_from_classes(spark):
         assert r.text == "\n\n".join([f"Text {k} part {i}" for i in range(1 + k % 3)] + ["Extra"] * (k % 2))
 
 
+def test_op10_keeps_text_without_article(spark):
+    """Copies count once, rare layouts and all unlinked slots are kept, and so are variants of one page."""
+    body = lambda *parts: "<body>" + "".join(f"<div class={name}><p>{text}</p></div>" for name, text in parts) + "</body>"
+    copies = [(k, f"http://d/{k}", body(("story", "All of the story"), ("box", "a box"))) for k in range(4)]
+    mixed = [(10 + k, f"http://e/{k}", body(("content", f"Content {k}"), ("more", f"More {k}"), ("box", "same box"))) for k in range(5)]
+    mixed += [(20 + k, f"http://e/c{k}", body(("rare", "Copied thrice"))) for k in range(3)] + [(30, "http://e/r", body(("other", "Rare layout"), ("more", "More of it")))]
+    variants = [(40 + k, f"http://f/{k}", body(("story", "A long story that is told again"), ("seen", f"{k} views"))) for k in range(3)]
+    got = {r.page_id: r.text for r in templates.extracted(spark.createDataFrame(copies + mixed + variants, "page_id long, url string, html string")).collect()}
+    want = {k: "All of the story\n\na box" for k in range(4)} | {20 + k: "Copied thrice" for k in range(3)} | {30: "Rare layout\n\nMore of it"}
+    want |= {10 + k: f"Content {k}\n\nMore {k}\n\nsame box" for k in range(5)} | {40 + k: f"A long story that is told again\n\n{k} views" for k in range(3)}
+    assert got == want  # same box stands in 5 of 7 different pages only
+
+
 def test_parse_stands_broken_markup():
     for text in ("<", "<p", "a < b", "</p></div>", "<div><p>x</div>y", "<script>never closed", "<!-- open", "<p class='a>b</p>", "&#xD800; &am &bogus;"):
         parse(text)
