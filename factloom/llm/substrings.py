@@ -1,9 +1,9 @@
-"""Repeated passages by relative Lempel-Ziv parsing against blocks of an index of all earlier text.
+"""Repeated passages by an exact index of windows over all earlier text, in place of a relative Lempel-Ziv parse.
 
-A phrase is a window of ``WINDOW`` words. The first place of each phrase, by (doc_id, start), is the reference; a document is parsed
-greedily into factors, runs of its words that continue one reference place word by word. A factor of a whole phrase or more is a
-duplicate span. Where one factor ends and the next begins, the phrases that lie across the boundary are looked up as well, so a word is
-removed exactly if some phrase that covers it also starts earlier.
+A phrase is a window of ``WINDOW`` words. The first place of each phrase, by (doc_id, start), is the reference. Every phrase is looked up,
+and a word is removed exactly if some phrase that covers it also starts earlier. No greedy parse decides anything: its factors depend on where earlier
+ones end, and a phrase across the boundary of two factors would need a lookup of its own. ``factors`` are only the runs of
+phrases that continue one reference place word by word, named afterwards.
 
 1. Anchors: of the ``GRAM``-word grams in a phrase the one of least hash; equal phrases have equal anchors at equal places, and only
    about one gram in eight is an anchor. Anchors that occur once rule out their phrases. Grams are dealt over blocks of the index; a task
