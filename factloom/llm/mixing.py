@@ -8,7 +8,8 @@ that five halvings can ask for.
 Each source gets its weight's part of the token budget. It is read in passes; in each the documents stand in a pseudo-random order of their
 own (a hash of seed, pass and document). Whole passes come first, the last is kept up to the document that reaches the budget. The place
 in a source's stream, as a part of its budget, names the block, so each block holds all sources in their weights and is put in an order of
-its own. Running sums go over hash ranges of two levels, so that no window holds a whole source.
+its own. Running sums go over hash ranges of two levels, so that no window holds a whole source. Rows without tokens can crowd in one block; a block of
+more than ``BLOCK_ROWS`` rows is put in order by ranges of its hash.
 
 Tokens are words ``[^\\x20\\x09-\\x0D]+``.
 
@@ -28,6 +29,7 @@ from factloom.operators.stages import written
 
 STEPS = 20
 BLOCK_TOKENS = 100_000
+BLOCK_ROWS = 1 << 16
 NONE = "\x00none"
 
 
@@ -110,7 +112,20 @@ def kept_rows(planned: DataFrame) -> DataFrame:
     return planned.where("total IS NULL OR pass < passes OR start < rest")
 
 
-def blocks(docs: DataFrame, budget: int | None = None, max_repeats: float | None = 4.0, min_entropy: float | None = None, seed: int = 0, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def in_ranges(placed: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The rows with the range of their order_key in a crowded block (0 in others), and (block, range, before): the rows of a crowded block in earlier ranges.
+
+    Both small tables have at most (rows / ``block_rows``) blocks and twice as many ranges.
+    """
+    crowded = written(placed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows).select("block", F.expr(f"n div {block_rows}L + 1").alias("ranges")))
+    number = F.expr("shiftright(order_key, 30) * ranges div 1073741824L")  # the key has 60 bits
+    dealt = placed.join(F.broadcast(crowded), "block", "left").withColumn("range", F.coalesce(number, F.lit(0).cast("long")))
+    sizes = dealt.where("ranges IS NOT NULL").groupBy("block", "range").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("block").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.drop("ranges"), sizes.select("block", "range", F.sum("n").over(earlier).alias("before"))
+
+
+def blocks(docs: DataFrame, budget: int | None = None, max_repeats: float | None = 4.0, min_entropy: float | None = None, seed: int = 0, block_tokens: int = BLOCK_TOKENS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The mixture in order: doc_id, source, pass, n_tokens, block and place (in its block)."""
     slim = written(counted(docs))
     weighed = weights(slim, budget, max_repeats, min_entropy)
@@ -120,9 +135,12 @@ def blocks(docs: DataFrame, budget: int | None = None, max_repeats: float | None
     at = F.floor((F.col("pass") * F.col("total") + F.col("start")).cast("double") * F.lit(float(count)) / F.col("quota")).cast("long")
     placed = kept.withColumn("block", F.coalesce(F.least(at, F.lit(count - 1).cast("long")), F.lit(0).cast("long")))
     key = _hash(F.lit(f"{seed}:order"), F.col("pass").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    order = Window.partitionBy("block").orderBy(key, F.col("doc_id").asc_nulls_first(), "tokens")
-    return placed.select(
-        "doc_id", F.when(F.col("source") != NONE, F.col("source")).alias("source"), F.col("pass"), F.col("tokens").alias("n_tokens"), "block", (F.row_number().over(order) - 1).cast("long").alias("place"))
+    placed = written(placed.select("doc_id", "source", "pass", "tokens", "block", key.alias("order_key")))
+    dealt, before = in_ranges(placed, block_rows)
+    order = Window.partitionBy("block", "range").orderBy("order_key", F.col("doc_id").asc_nulls_first(), "tokens")
+    numbered = dealt.withColumn("inner", F.row_number().over(order) - 1).join(F.broadcast(before), ["block", "range"], "left")
+    return numbered.select(
+        "doc_id", F.when(F.col("source") != NONE, F.col("source")).alias("source"), F.col("pass"), F.col("tokens").alias("n_tokens"), "block", (F.col("inner") + F.coalesce("before", F.lit(0))).cast("long").alias("place"))
 
 
 def mixed(docs: DataFrame, budget: int | None = None, max_repeats: float | None = 4.0, min_entropy: float | None = None, seed: int = 0) -> DataFrame:

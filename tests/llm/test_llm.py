@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import attention, components, decontaminate, edit_counts, mixing, ngram_join, quality_rules, queries, substrings, templates, token_files, tokens, warc
 from factloom.llm.html import parse
@@ -117,6 +118,19 @@ def test_op2_budget_and_repeats(docs, empty):
     assert mixing.blocks(empty).count() == 0 and mixing.mixed(empty).columns == empty.columns
 
 
+def test_op2_orders_crowded_blocks_by_ranges(spark):
+    """A source without tokens has all its rows in one block; the places are those of one window, whose groups stay bounded."""
+    rows = [(i, None if i % 2 else "", "empty", "en", 0, 0.5) for i in range(400)] + [(400 + i, "word " * 9, "en", "full", 45, 0.5) for i in range(40)]
+    frame = spark.createDataFrame([(i, t, "en", "none" if i < 400 else "full", n, x) for i, t, _, _, n, x in rows], DOCS)
+    whole, cut = (sorted(map(tuple, mixing.blocks(frame, block_tokens=90, block_rows=n).collect()), key=str) for n in (1 << 16, 20))
+    assert whole == cut and max(sum(r[4] == block for r in cut) for block in {r[4] for r in cut}) >= 400
+    for block in {r[4] for r in cut}:
+        assert sorted(r[5] for r in cut if r[4] == block) == list(range(sum(r[4] == block for r in cut)))
+    keys = spark.range(400).select(F.lit(0).cast("long").alias("block"), F.expr("cast(conv(substr(md5(string(id)), 1, 15), 16, 10) as bigint)").alias("order_key"))
+    dealt, _ = mixing.in_ranges(keys, 20)
+    assert max(r["count"] for r in dealt.groupBy("range").count().collect()) <= 60
+
+
 def test_op3_round_trip(docs, empty, tokenizer):
     got = sorted(collected(token_files.tokenized(docs, queries.tokenizer_path(), with_ids=True)), key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == sorted((r[0] for r in rows()), key=lambda i: (i is not None, i))
