@@ -119,5 +119,70 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM worded d LEFT JOIN words USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+LEXICAL_SCAN = rf"""
+WITH occurring AS (SELECT doc_id, unnest({TERMS}) AS term FROM documents),
+lengths AS (SELECT doc_id, count(*)::BIGINT AS n FROM occurring GROUP BY doc_id),
+whole AS (SELECT count(*)::BIGINT AS documents, sum(n)::BIGINT AS length FROM lengths),
+asked AS (SELECT item_id, term, count(*)::BIGINT AS repeats FROM (SELECT item_id, unnest({TERMS}) AS term FROM benchmark) GROUP BY item_id, term),
+counts AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM occurring SEMI JOIN asked USING (term) GROUP BY doc_id, term),
+weights AS (SELECT term, floor(1000 * ln((2 * documents + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM counts, whole GROUP BY term, documents),
+norms AS (SELECT doc_id, 100 - 75 + (75 * n * documents) // length AS m FROM lengths, whole),
+parts AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * m)) AS part FROM counts JOIN weights USING (term) JOIN norms USING (doc_id)),
+scored AS (SELECT item_id, doc_id, sum(repeats * part)::BIGINT AS score FROM parts JOIN asked USING (term) GROUP BY item_id, doc_id HAVING sum(repeats * part) > 0)
+SELECT * FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored) WHERE rank <= 10
+"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}))::VARCHAR || ':' || {value}, '-')"
+
+
+def _row(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text))) + ")"
+
+
+# crc32 over the characters of a number: the register goes through eight shifts for each.
+_CRC32 = """xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+  lambda r, c: list_reduce(range(8), lambda s, i: xor(s >> 1, 3988292384 * (s & 1)), xor(r, c)), 4294967295::BIGINT), 4294967295)"""
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Nodes (tree, level, idx, digest, n nodes of the level) and runs of children."""
+    return f"""
+{name}_nodes AS (
+  SELECT tree, 0 AS level, idx, digest, n FROM {leaves}
+  UNION ALL
+  SELECT tree, level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (any_value(n) + 2) // 3 FROM {name}_nodes WHERE n > 1 GROUP BY tree, level, idx // 3),
+{name}_runs AS (SELECT tree, level, idx // 3 AS run, list(digest ORDER BY idx) AS d FROM {name}_nodes WHERE n > 1 GROUP BY tree, level, idx // 3),
+{name}_steps AS (
+  SELECT l.tree, l.idx, r.level, (idx // pow(3, level)::BIGINT % 3)::VARCHAR || array_to_string(list_concat(d[1:idx // pow(3, level)::BIGINT % 3], d[idx // pow(3, level)::BIGINT % 3 + 2:]), '') AS step
+  FROM {leaves} l JOIN {name}_runs r ON l.tree IS NOT DISTINCT FROM r.tree AND r.run = l.idx // pow(3, level + 1)::BIGINT)"""
+
+
+MERKLE = f"""
+WITH RECURSIVE hashed AS (
+  SELECT doc_id, source AS tree, {_row("text")} AS digest, CASE WHEN ({_CRC32}) % 2 = 0 THEN {_row("replace(text, chr(10), '')")} END AS tampered FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM hashed),
+{_tree("low", "leaves")},
+subroots AS (SELECT tree AS name, digest FROM low_nodes WHERE n = 1),
+tops AS (SELECT 0 AS tree, name, digest, row_number() OVER (ORDER BY name NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM subroots),
+{_tree("high", "tops")},
+whole AS (SELECT digest AS root FROM high_nodes WHERE n = 1),
+steps AS (
+  SELECT tree, idx, level, step FROM low_steps
+  UNION ALL
+  SELECT l.tree, l.idx, 1000 + h.level, h.step FROM leaves l JOIN tops t ON l.tree IS NOT DISTINCT FROM t.name JOIN high_steps h ON h.idx = t.idx),
+proofs AS (SELECT tree, idx, list(step ORDER BY level) AS steps FROM steps GROUP BY tree, idx),
+proven AS (
+  SELECT doc_id, l.digest AS leaf, s.digest AS subroot, root, coalesce(tampered, l.digest) AS start, coalesce(steps, []) AS steps
+  FROM leaves l JOIN subroots s ON l.tree IS NOT DISTINCT FROM s.name CROSS JOIN whole LEFT JOIN proofs p ON l.tree IS NOT DISTINCT FROM p.tree AND l.idx = p.idx),
+folded AS (
+  SELECT *, list_reduce(steps, lambda d, x: sha256(substr(x, 2, 64 * x[1]::INTEGER) || d || substr(x, 2 + 64 * x[1]::INTEGER)), start) AS folded_root FROM proven)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda x: substr(x, 2)), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
 ORACLES: dict[str, str] = {
-    "op2_mixing": MIXING, "op5_ngram_join": NGRAM_JOIN, "op6_substring_dedup": SUBSTRINGS, "op7_quality_rules": QUALITY_RULES, "op8_warc": WARC, "op9_decontamination": DECONTAMINATION}
+    "op2_mixing": MIXING, "op5_ngram_join": NGRAM_JOIN, "op6_substring_dedup": SUBSTRINGS, "op7_quality_rules": QUALITY_RULES, "op8_warc": WARC, "op9_decontamination": DECONTAMINATION,
+    "op12_lexical_scan": LEXICAL_SCAN, "op13_merkle_manifest": MERKLE}

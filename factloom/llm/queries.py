@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import attention, decontaminate, edit_counts, mixing, ngram_join, quality_rules, substrings, templates, token_files, warc
+from factloom.llm import attention, decontaminate, edit_counts, joined_bpe, lexical_scan, merkle, mixing, ngram_join, quality_rules, substrings, templates, token_files, warc
 from factloom.llm.oracles import ORACLES
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -77,6 +77,26 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.extracted(table(spark, sf_dir, "pages"))
 
 
+def op11_joined_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = joined_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return coded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_lexical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_scan.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and proofs of all documents, and what a row without its line ends folds to where the id's CRC is even."""
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.replace("text", F.lit("\n")) if c == "text" else F.col(c) for c in merkle.FIELDS]
+    other = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, merkle.row_digest(*fields))
+    rows = merkle.manifest(docs, other)
+    root = merkle.folded(F.coalesce("other", "leaf"), F.col("proof"))
+    proofs = rows.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), root.alias("folded_root"))
+    return proofs.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +104,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_edit_counts, op2_mixing, op3_token_files, op4_quality_attention, op5_ngram_join, op6_substring_dedup, op7_quality_rules, op8_warc, op9_decontamination, op10_main_text, pipeline)
+    found = (op1_edit_counts, op2_mixing, op3_token_files, op4_quality_attention, op5_ngram_join, op6_substring_dedup, op7_quality_rules, op8_warc, op9_decontamination, op10_main_text, op11_joined_bpe, op12_lexical_scan, op13_merkle_manifest, pipeline)
     return {f.__name__: f for f in found}
 
 
