@@ -42,6 +42,58 @@ def json_string(value: Column) -> Column:
     return F.concat(F.lit('"'), F.when(value.rlike("[\\x00-\\x1F]"), escaped).otherwise(plain), F.lit('"'))
 
 
+# Strings, numbers, and all between them.
+_JSON_TOKEN = r'"(?:[^"\\]|\\.)*"|-?\d[\d.eE+-]*|[^"\d-]+'
+# Marks of string and number values while a value passes through VARIANT.
+_TEXT, _NUMBER = "\u0001t", "\u0001n"
+
+
+def json_number(token: Column) -> Column:
+    """Canonical text of a JSON number: whole numbers as they are, others as the shortest decimal that reads back the same."""
+    whole = F.when(token == "-0", F.lit("0")).otherwise(token)
+    x = token.cast("double")
+    shown = F.abs(x).cast("string")
+    mantissa, power = F.regexp_replace(F.split(shown, "E")[0], r"\.0$", ""), F.coalesce(F.get(F.split(shown, "E"), F.lit(1)).cast("int"), F.lit(0))
+    plain = F.regexp_replace(F.regexp_replace(shown.cast("decimal(38,20)").cast("string"), r"0+$", ""), r"\.$", ".0")
+    short = F.concat(mantissa, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), F.lit("0")))
+    size = F.abs(x)
+    text = F.when(size == 0, F.lit("0.0")).when((size >= 1e-4) & (size < 1e16), plain).otherwise(short)
+    return F.when(token.rlike(r"^-?\d+$"), whole).otherwise(F.concat(F.when(token.startswith("-"), "-").otherwise(""), text))
+
+
+def _json_text(token: Column) -> Column:
+    """The string that a JSON string stands for."""
+    bare = F.substr(token, F.lit(2), F.length(token) - 2)
+    return F.when(F.contains(token, F.lit("\\")), F.get(F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>"), F.lit(0))).otherwise(bare)
+
+
+def canonical_json(text: Column, strip=None) -> Column:
+    """Canonical text of any JSON value: keys sorted at every depth, no space between tokens, strings and numbers in one form.
+
+    Text that is no JSON, or an object that names a key twice, gives null. ``strip`` is applied to string values. Objects are sorted by Spark's
+    VARIANT type; strings and numbers pass it as marked strings, so that ``8`` and ``8.0`` stay apart.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(_JSON_TOKEN), F.lit(0))
+    def is_key(all_tokens: Column, i: Column) -> Column:
+        return F.coalesce(F.get(all_tokens, i + 1).rlike(r"^\s*:"), F.lit(False))
+
+    def marked(t: Column, i: Column) -> Column:
+        value = _json_text(t) if strip is None else strip(_json_text(t))
+        return (F.when(t.startswith('"') & ~is_key(tokens, i), json_string(F.concat(F.lit(_TEXT), value)))
+                .when(t.rlike(r"^-?\d"), F.concat(F.lit('"\\u0001n'), json_number(t), F.lit('"'))).otherwise(t))
+
+    ordered = F.to_json(F.try_parse_json(F.array_join(F.transform(tokens, marked), "")))
+    again = F.regexp_extract_all(ordered, F.lit(_JSON_TOKEN), F.lit(0))
+
+    def plain(t: Column, i: Column) -> Column:
+        value = _json_text(t)
+        rest = F.substr(value, F.lit(3))
+        return (F.when(~t.startswith('"'), t).when(is_key(again, i), F.when(F.contains(t, F.lit("\\u")), json_string(value)).otherwise(t))
+                .when(value.startswith(_NUMBER), rest).otherwise(json_string(rest)))
+
+    return F.when(F.try_parse_json(text).isNotNull(), F.array_join(F.transform(again, plain), ""))
+
+
 def value_hash(value_json: Column | str) -> Column:
     return F.sha2(_col(value_json), 256)
 

@@ -92,6 +92,67 @@ def card_fields(subjects: DataFrame, facts: DataFrame, evidence: DataFrame, snap
         F.when(missing, "not_applicable").otherwise(review_status(F.col("__reviews"))).alias("review_status"))
 
 
+def _page(key: Column, size: Column, limit: int) -> Column:
+    """The page of an item: items are dealt by a hash of their key to as many pages as ``limit`` items for each ask for."""
+    number = F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint")
+    return F.pmod(number, F.ceil(size / F.lit(limit))).cast("int")
+
+
+def nested_facts(rows: DataFrame, limit: int = 50) -> DataFrame:
+    """Facts with their evidence as an array: rows of one fact and page; ``rows`` as :func:`fact_rows` with freshness.
+
+    A fact with more than about ``limit`` pieces of evidence has them on several pages, each an own row, so no array grows with the evidence of a fact.
+    Evidence is ordered by source and time inside its page. ``evidence_count`` counts all pages.
+    """
+    has = F.col("fact_evidence_id").isNotNull()
+    size = rows.groupBy("fact_id").agg(F.greatest(F.count_if(has), F.lit(1)).alias("__size"), F.count_if(has).alias("evidence_count"))
+    item = F.struct("source", "observed_at", "fact_evidence_id", "source_record_id", "source_locator", "evidence_text", "source_url", "freshness_status", "is_stale",
+                    F.col("evidence_review_status").alias("review_status"))
+    paged = rows.join(size, "fact_id").withColumn("evidence_page", _page(F.coalesce("fact_evidence_id", "fact_id"), F.col("__size"), limit))
+    fact = ["fact_id", "subject_id", "predicate", "normalized_value_json", "display_value", "status", "valid_from", "valid_to", "review_status"]
+    return paged.groupBy("fact_id", "evidence_page").agg(
+        *[F.first(c).alias(c) for c in fact[1:]], F.first("evidence_count").alias("evidence_count"), F.array_sort(F.collect_list(F.when(has, item))).alias("evidence"))
+
+
+def nested_cards(facts: DataFrame, evidence: DataFrame, snapshots: DataFrame | None, policy: Policy, now: Column, *, active: bool = True,
+                 fact_limit: int = 50, evidence_limit: int = 50) -> DataFrame:
+    """Fields with their facts, each with its evidence, nested: one row for each subject, field and page of facts.
+
+    Further evidence pages of a fact are further items of the field. ``fact_count``, ``evidence_count`` and the collapsed ``review_status`` are those of the whole field.
+    """
+    held = freshness(fact_rows(facts, evidence, snapshots, active), policy, now)
+    items = nested_facts(held, evidence_limit)
+    field = ["subject_id", "predicate"]
+    whole = items.groupBy(*field).agg(
+        F.count(F.lit(1)).alias("__size"), F.countDistinct("fact_id").alias("fact_count"), F.sum(F.size("evidence")).alias("field_evidence"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array_distinct(F.array_append(F.transform("evidence", lambda e: e["review_status"]), F.col("review_status"))))))).alias("__reviews"))
+    item = F.struct("display_value", "fact_id", "evidence_page", "normalized_value_json", "status", "valid_from", "valid_to", "review_status", "evidence_count", "evidence")
+    paged = items.join(whole, field).withColumn("page", _page(F.concat_ws(":", "fact_id", F.col("evidence_page").cast("string")), F.col("__size"), fact_limit))
+    return paged.groupBy(*field, "page").agg(
+        F.first("fact_count").alias("fact_count"), F.first("field_evidence").alias("evidence_count"), F.first(review_status(F.col("__reviews"))).alias("review_status"),
+        F.array_sort(F.collect_list(item)).alias("facts"))
+
+
+def brief_json(nested: DataFrame) -> DataFrame:
+    """The nested rows as canonical JSON: (subject_id, predicate, page, body)."""
+    body = ids.canonical_json(F.to_json(F.struct("predicate", "page", "fact_count", "evidence_count", "review_status", "facts"), {"ignoreNullFields": "false"}))
+    return nested.select("subject_id", "predicate", "page", body.alias("body"))
+
+
+def brief_lines(nested: DataFrame, policy: Policy) -> DataFrame:
+    """Markdown lines of the evidence of each field: (subject_id, predicate, page, line, text)."""
+    names = F.create_map(*[F.lit(x) for s, p in policy.sources.items() for x in (s, p["display_name"])])
+    fact = F.posexplode("facts").alias("f_pos", "f")
+    rows = nested.select("subject_id", "predicate", "page", fact).select("subject_id", "predicate", "page", "f_pos", "f.display_value", F.posexplode_outer("f.evidence").alias("e_pos", "e"))
+    head = F.concat(F.lit("#### "), "predicate", F.lit("："), "display_value")
+    proof = F.concat(F.lit("- **"), F.coalesce(names[F.col("e.source")], F.col("e.source")), F.lit("** / `"), F.col("e.source_record_id"), F.lit("`；观测时间："), F.col("e.observed_at"),
+                     F.lit("；审核："), F.col("e.review_status"), F.lit("；[打开来源]("), F.col("e.source_url"), F.lit(")"))
+    quote = F.concat(F.lit("  - 证据："), F.col("e.evidence_text"))
+    lines = F.array_compact(F.concat(F.when(F.coalesce("e_pos", F.lit(0)) == 0, F.array(head)).otherwise(F.array().cast("array<string>")), F.array(proof, quote)))
+    return rows.select("subject_id", "predicate", "page", "f_pos", "e_pos", F.posexplode(lines).alias("l_pos", "text")).select(
+        "subject_id", "predicate", "page", F.struct("f_pos", F.coalesce("e_pos", F.lit(0)).alias("e_pos"), "l_pos").alias("line"), "text")
+
+
 def field_history(facts: DataFrame) -> DataFrame:
     """Closed and outranked values per field with their validity."""
     past = facts.filter("valid_to IS NOT NULL OR status = 'superseded'")

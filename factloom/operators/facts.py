@@ -45,7 +45,11 @@ def value_struct(predicate: Column, value_json: Column, display: Column) -> Colu
 
 
 def _values(predicate: str, column: str, kind: str) -> Column:
-    """Value array of one field. Kinds: text, number, texts, or ``objects:<member>`` for one-member objects."""
+    """Value array of one field.
+
+    Kinds: text, number, texts, ``objects:<member>`` for one-member objects, nested (any struct, map or array as one value) or nesteds (an array of
+    such values).
+    """
     name, c = F.lit(predicate), F.col(column)
     none = F.array().cast(VALUES_TYPE)
     if kind == "number":
@@ -55,6 +59,11 @@ def _values(predicate: str, column: str, kind: str) -> Column:
         shown = tx.strip(c)
         return F.when(F.coalesce(shown, F.lit("")) != "",
                       F.array(value_struct(name, ids.json_string(shown), shown))).otherwise(none)
+    if kind in ("nested", "nesteds"):
+        whole = lambda x: ids.canonical_json(F.to_json(x, {"ignoreNullFields": "false"}), tx.strip)
+        if kind == "nested":
+            return F.when(c.isNotNull(), F.array(value_struct(name, whole(c), whole(c)))).otherwise(none)
+        return F.coalesce(F.transform(F.array_compact(c), lambda x: value_struct(name, whole(x), whole(x))), none)
     items = F.coalesce(c, F.array().cast("array<string>"))
     if kind == "texts":
         return F.transform(items, lambda v: value_struct(name, ids.json_string(tx.strip(v)), tx.strip(v)))
@@ -162,15 +171,10 @@ def require_valid(observations: DataFrame, policy: Policy, snapshots: DataFrame
         raise ValueError("; ".join(f"{r.reason}: {r.subject_id} {r.predicate} {r.source}" for r in bad))
 
 
-def affected_history(history: DataFrame, batch: DataFrame) -> DataFrame:
-    """Old observations of the subjects and fields that a batch touches: what has to be reconciled again."""
-    return history.join(batch.select(*KEY).distinct(), KEY, "left_semi")
-
-
 # ---------------------------------------------------------------- steps
 
 
-def _with_evidence(observations: DataFrame) -> DataFrame:
+def with_evidence(observations: DataFrame) -> DataFrame:
     def full(v: Column) -> Column:
         value_hash = F.sha2(v["value_json"], 256)
         quote = F.coalesce(v["evidence_text"], F.concat("predicate", F.lit(": "), v["display_value"]))
@@ -193,12 +197,20 @@ def _ids(evidence: str) -> Column:
 
 def change_steps(observations: DataFrame, block: int = scan.DEFAULT_BLOCK) -> DataFrame:
     """Observations that change the evidence of their source record, with the evidence held before the step."""
-    seen = scan.neighbour(written(_with_evidence(observations)), RECORD, "seq", {"before": "evidence"}, block=block)
-    seen = seen.withColumn("before", F.coalesce("before", F.filter("evidence", lambda e: F.lit(False))))
-    return seen.filter(_ids("evidence") != _ids("before"))
+    return with_previous(with_evidence(observations), block).filter(changes_evidence())
+
 
+def with_previous(observations: DataFrame, block: int = scan.DEFAULT_BLOCK) -> DataFrame:
+    """Every observation (with evidence) and what its source record held before it."""
+    seen = scan.neighbour(written(observations), RECORD, "seq", {"before": "evidence"}, block=block)
+    return seen.withColumn("before", F.coalesce("before", F.filter("evidence", lambda e: F.lit(False))))
 
-def _value_rows(steps: DataFrame) -> DataFrame:
+
+def changes_evidence() -> Column:
+    return _ids("evidence") != _ids("before")
+
+
+def value_rows(steps: DataFrame) -> DataFrame:
     """One row per step and value held before or after it, with the support change and the evidence that comes or goes."""
     step_values = F.array_distinct(F.transform(F.concat("before", "evidence"), lambda e: e["value_hash"]))
     r = steps.withColumn("value_hash", F.explode(step_values))
@@ -221,11 +233,14 @@ class Reconciled:
     policy: Policy
     block: int
     fold_block: int
+    #: Events of earlier steps are left out; they are only there to start from.
+    since: int | None = None
 
     @cached_property
     def events(self) -> DataFrame:
         """Built when first asked for."""
-        return change_events(self.steps, self.policy, self.block, self.fold_block)
+        events = change_events(self.steps, self.policy, self.block, self.fold_block)
+        return events if self.since is None else events.filter(F.col("seq") >= self.since)
 
 
 def reconcile(observations: DataFrame, policy: Policy, block: int = scan.DEFAULT_BLOCK,
@@ -236,7 +251,7 @@ def reconcile(observations: DataFrame, policy: Policy, block: int = scan.DEFAULT
     its fact. ``events``: value changes and conflict edges. ``steps``: the observations that changed something.
     """
     steps = written(change_steps(observations, block))
-    values = written(_with_opener(_value_rows(steps), policy, block))
+    values = written(_with_opener(value_rows(steps), policy, block))
     evidence = written(_evidence(values, block))
     facts = _facts(values, evidence, policy)
     return Reconciled(facts, evidence, steps, policy, block, fold_block)
@@ -249,7 +264,10 @@ def _with_opener(values: DataFrame, policy: Policy, block: int) -> DataFrame:
     fact_id = ids.prefixed_id("fact_", 32, *KEY, "value_hash", "observed_at", F.coalesce("snapshot_id", "source"))
     opener = F.struct(F.col("seq").alias("seq"), fact_id.alias("fact_id"), F.col("observed_at").alias("valid_from"),
                       F.col("review_status").alias("review_status"))
-    v = scan.running_last(v, on, "seq", {"fact": F.when(opens, opener)}, block)
+    fact = F.when(opens, opener)
+    if "stored_fact" in v.columns:  # values that were open before the first step keep their fact
+        fact = F.coalesce(F.col("stored_fact"), fact)
+    v = scan.running_last(v, on, "seq", {"fact": fact}, block)
     return v.withColumn("closes", (F.col("delta") == -1) & (F.col("support") == 0))
 
 
@@ -281,7 +299,12 @@ def _facts(values: DataFrame, evidence: DataFrame, policy: Policy) -> DataFrame:
         ids.digest(*KEY, "normalized_value_json", kind, F.lit(policy.version)).alias("content_hash"), "opened_seq")
 
 
-def _evidence(values: DataFrame, block: int) -> DataFrame:
+_BODY = ("fact_id", "value_hash", "snapshot_id", "source_url", "confidence", "extractor", "review_status", "observed_at",
+         "source_locator", "evidence_text", "content_hash")
+
+
+def _evidence(values: DataFrame, block: int, stored: DataFrame | None = None) -> DataFrame:
+    """Evidence intervals; ``stored`` has evidence that was current before the first step."""
     common = [*RECORD, "seq", "observed_at"]
     brought = values.select(*common, "value_hash", "snapshot_id", "source_url", "confidence", "extractor", "review_status",
                             "fact", F.explode("opened").alias("e"))
@@ -289,14 +312,15 @@ def _evidence(values: DataFrame, block: int) -> DataFrame:
                     "review_status", "observed_at", "e.source_locator", "e.evidence_text", "e.content_hash")
     opened = brought.select(*common, F.col("e.evidence_id").alias("evidence_id"), body.alias("__open"))
     closed = values.select(*common, F.explode("closed").alias("evidence_id"))
+    if stored is not None:
+        kept = F.struct(F.col("opened_seq").alias("seq"), *[F.col(c) for c in _BODY])
+        opened = opened.unionByName(stored.select(*RECORD, F.col("opened_seq").alias("seq"), "observed_at", F.col("fact_evidence_id").alias("evidence_id"), kept.alias("__open")))
     both = opened.unionByName(closed, allowMissingColumns=True)
     on = [*RECORD, "evidence_id"]
     spans = scan.running_last(written(both), on, "seq", {"span": F.col("__open")}, block)
     ends = F.max(F.when(F.col("__open").isNull(), F.col("observed_at"))).alias("valid_to")
     spans = spans.groupBy(*on, F.col("span.seq").alias("opened_seq")).agg(F.first("span").alias("o"), ends)
-    names = ["fact_id", "value_hash", "snapshot_id", "source_url", "confidence", "extractor", "review_status", "observed_at",
-             "source_locator", "evidence_text", "content_hash"]
-    return spans.select(F.col("evidence_id").alias("fact_evidence_id"), *RECORD, *[F.col(f"o.{n}").alias(n) for n in names],
+    return spans.select(F.col("evidence_id").alias("fact_evidence_id"), *RECORD, *[F.col(f"o.{n}").alias(n) for n in _BODY],
                         "valid_to", F.col("valid_to").isNull().alias("is_current"), "opened_seq")
 
 

@@ -131,18 +131,25 @@ def phrase_counts(chunks: DataFrame, phrases: DataFrame, weights: dict[str, floa
     return written(found.groupBy("chunk_id", "tokens", "phrase").agg(F.sum(weight).alias("f")))
 
 
-def bm25_scores(chunks: DataFrame, questions: DataFrame, weights: dict[str, float] | None = None, allowed: DataFrame | None = None) -> DataFrame:
+def bm25_scores(chunks: DataFrame, questions: DataFrame, weights: dict[str, float] | None = None, allowed: DataFrame | None = None,
+                index=None) -> DataFrame:
     """``(question_id, chunk_id, score)`` of every chunk that contains a phrase of the question.
 
+    ``index`` is a :class:`~factloom.operators.inverted_index.StoredIndex` of the chunks: counts are then read from the buckets of
+    the questions' tokens, and the texts of the chunks are not looked at.
+
     Counts are brought together by chunk, the phrase table of the questions is broadcast when it is small, and the scores
     of a chunk are added up where it lies; a cut to the best rows can follow in the same task. A larger phrase table is
     joined on (phrase, salt), so a phrase that occurs in a third of the corpus is spread over many tasks. ``allowed``
     (chunk_id) limits what is scored, not the corpus statistics.
     """
     phrases = written(query_phrases(questions))
-    counts = phrase_counts(chunks, phrases, COLUMN_WEIGHTS if weights is None else weights)
-    whole, hits = F.col("phrase") == WHOLE, counts.filter(F.col("phrase") != WHOLE)
-    stats = counts.agg(F.count_if(whole).cast("double").alias("chunk_count"), F.avg(F.when(whole, F.col("tokens").cast("double"))).alias("mean_tokens"))
+    if index is None:
+        counts = phrase_counts(chunks, phrases, COLUMN_WEIGHTS if weights is None else weights)
+        whole, hits = F.col("phrase") == WHOLE, counts.filter(F.col("phrase") != WHOLE)
+        stats = counts.agg(F.count_if(whole).cast("double").alias("chunk_count"), F.avg(F.when(whole, F.col("tokens").cast("double"))).alias("mean_tokens"))
+    else:
+        hits, stats = written(index.hits(phrases, weights)), index.stats()
     found_in = hits.groupBy("phrase").agg(F.count(F.lit(1)).cast("double").alias("n"))
     idf = F.ln((F.col("chunk_count") - F.col("n") + F.lit(0.5)) / (F.col("n") + F.lit(0.5)))
     rated = written(phrases.join(found_in, "phrase").join(F.broadcast(stats)).select(
@@ -189,18 +196,18 @@ def _topics(questions: DataFrame, topic: str | None, question_topics: DataFrame
 def sparse_search(chunks: DataFrame, questions: DataFrame, *, top_k: int = 10, weights: dict[str, float] | None = None,
                   source_type: str | None = None, adc_id: str | None = None, topic: str | None = None,
                   question_entities: DataFrame | None = None, required_entities: DataFrame | None = None,
-                  question_topics: DataFrame | None = None) -> DataFrame:
+                  question_topics: DataFrame | None = None, index=None) -> DataFrame:
     """BM25 search with filters, over-fetch, entity boost and one chunk per document.
 
     A topic without any match is ignored for that question; ``question_topics(question_id, topic)`` names one per question.
     ``question_entities(question_id, entity_id)`` names the entities of each question; chunks linked to one of them come
-    first. ``required_entities(question_id, entity_id)`` limits a question to chunks linked to its one entity.
+    first. ``required_entities(question_id, entity_id)`` limits a question to chunks linked to its one entity. ``index`` is a stored index of the chunks.
     """
     fetch = max(10 * top_k, 60)
     topics = _topics(questions, topic, question_topics)
     allowed = filter_chunks(chunks, source_type, adc_id)
     info = allowed.select("chunk_id", "retrieval_document_id", *(["metadata"] if "metadata" in chunks.columns else []))
-    scored = bm25_scores(chunks, questions, weights, allowed if source_type is not None or adc_id is not None else None)
+    scored = bm25_scores(chunks, questions, weights, allowed if source_type is not None or adc_id is not None else None, index)
     if required_entities is not None or topics is not None:
         scored = scored.join(info.select("chunk_id", "metadata"), "chunk_id")
     if required_entities is not None:

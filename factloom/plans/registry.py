@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.plans import answering, evaluation, maintenance, relational, retrieval, temporal, text
+from factloom.plans import answering, claims, evaluation, maintenance, relational, retrieval, temporal, text
 
-MODULES = [relational, text, temporal, maintenance, retrieval, answering, evaluation]
+MODULES = [relational, text, temporal, maintenance, retrieval, answering, evaluation, claims]
 
 
 def queries():

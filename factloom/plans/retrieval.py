@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from factloom.operators import entities, evaluation, retrieval as r
+from factloom.operators.inverted_index import StoredIndex
+from factloom.operators.stages import checkpoint_folder
 from factloom.plans.common import table as t
 from factloom.plans.text import CHUNK_SQL, DICTIONARY_SQL, benchmark_dictionary, retrieval_documents
 from factloom.functions import text as tx
@@ -49,6 +53,41 @@ def postings_stats(spark, sf):
     return per.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("occurrences"), F.max("tf").alias("max_tf"))
 
 
+INDEX_SQL = f"""
+WITH x AS (SELECT doc_id, unnest({TOKENS_SQL}) AS token FROM documents),
+c AS (SELECT token, doc_id, count(*) AS n FROM x GROUP BY 1, 2)
+SELECT token, count(*) AS documents, CAST(sum(n) AS BIGINT) AS occurrences FROM c GROUP BY 1"""
+
+
+def _new_index(spark):
+    return StoredIndex(spark, f"{checkpoint_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}")
+
+
+@query(INDEX_SQL)
+def index_build(spark, sf):
+    """A stored index of all documents, and what it says of each token."""
+    index = _new_index(spark)
+    index.update(document_chunks(spark, sf))
+    return index.terms()
+
+
+def earlier_chunks(spark, sf):
+    """The documents as they may have been before: some not there yet, some with other texts, some that are gone now."""
+    chunks, k = document_chunks(spark, sf), F.crc32("chunk_id")
+    before = chunks.where(k % 5 != 0).withColumn("content", F.when(k % 7 == 0, F.reverse("content")).otherwise(F.col("content")))
+    gone = chunks.where(k % 11 == 0).withColumn("chunk_id", F.concat(F.lit("gone-"), "chunk_id"))
+    return before.unionByName(gone)
+
+
+@query(INDEX_SQL)
+def index_update(spark, sf):
+    """An index of earlier texts brought to the present ones: the same as a new index of these."""
+    index = _new_index(spark)
+    index.update(earlier_chunks(spark, sf))
+    index.update(document_chunks(spark, sf))
+    return index.terms()
+
+
 BM25_SQL = f"""
 tok AS (SELECT doc_id, source, {TOKENS_SQL} AS w FROM documents),
 st AS (SELECT CAST(count(*) AS DOUBLE) AS n_docs, avg(CAST(len(w) AS DOUBLE)) AS avgdl FROM tok),
@@ -106,6 +145,16 @@ def sparse_entity_boost(spark, sf):
     return found.select("question_id", F.col("retrieval_document_id").alias("document_id"), "entity_hit", "score", "rank")
 
 
+@query(SPARSE_SQL + " SELECT question_id, document_id, score, rank FROM sparse WHERE rank <= 10")
+def index_search(spark, sf):
+    """The same search from a stored index: only the buckets of the questions' tokens are read."""
+    index = _new_index(spark)
+    chunks = document_chunks(spark, sf)
+    index.update(chunks)
+    found = r.sparse_search(chunks, benchmark_questions(spark, sf), top_k=10, index=index)
+    return found.select("question_id", F.col("retrieval_document_id").alias("document_id"), "score", "rank")
+
+
 FILTER_SQL = """
 asked AS (SELECT CAST(item_id AS VARCHAR) AS question_id, CASE WHEN item_id % 3 = 0 THEN 'src' || (item_id % 20) END AS source_only,
    CASE WHEN item_id % 2 = 0 THEN ['de', 'en', 'fr', 'no such language'][item_id // 2 % 4 + 1] END AS topic FROM benchmark)"""

@@ -6,12 +6,15 @@ tenth ``k`` takes the value back and every seventh gives two values.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from factloom.functions import ids
-from factloom.operators import cards, facts
+from factloom.operators import cards, fact_batch, facts
 from factloom.operators.scan import neighbour
 from factloom.operators.relational import latest_per_key
+from factloom.operators.stages import checkpoint_folder, written
 from factloom.plans.common import table as t
 from factloom.policy import Policy, parse_policy, load_policy
 
@@ -131,6 +134,34 @@ def fact_evidence_intervals(spark, sf):
         "fact_opened_seq")
 
 
+BATCH_CUT_SQL = "(SELECT max(event_id) * 7 // 10 FROM events)"
+
+
+def batch_on_store(spark, sf):
+    """The store of all observations up to a cut, written, and the later ones applied to it as a batch."""
+    policy, seen = event_policy(), written(observations(spark, sf))
+    cut = seen.agg(F.max("seq")).first()[0] * 7 // 10
+    before = facts.reconcile(seen.filter(F.col("seq") < cut), policy)
+    path = f"{checkpoint_folder(spark).rstrip('/')}/facts-{uuid.uuid4().hex}"
+    fact_batch.write_state(before.facts, before.evidence, path)
+    batch = seen.filter(F.col("seq") >= cut)
+    open_facts, current = fact_batch.read_open(spark, path, batch)
+    return before, fact_batch.apply_batch(open_facts, current, batch, policy)
+
+
+@query("WITH " + STEPS_SQL + """
+SELECT 'fact_' || substr(sha256('user' || chr(31) || subject_id || chr(31) || predicate || chr(31) || sha256(val) || chr(31)
+   || valid_from || chr(31) || opener), 1, 32) AS fact_id, fact.subject_id, fact.predicate, val AS value, valid_from,
+  valid_to, CASE WHEN closed_seq IS NOT NULL THEN 'superseded' ELSE st.status END AS status, opened_seq
+FROM fact LEFT JOIN st USING (subject_id, predicate, val)""")
+def fact_batch_store(spark, sf):
+    """Old store and batch together: the same facts as one fold over everything."""
+    before, applied = batch_on_store(spark, sf)
+    f, _ = fact_batch.merged(before.facts, before.evidence, applied)
+    return f.select("fact_id", "subject_id", "predicate", F.col("normalized_value_json").alias("value"), "valid_from",
+                    "valid_to", "status", "opened_seq")
+
+
 EVENT_SQL = """,
 open_before AS (SELECT s.seq, s.subject_id, s.predicate, s.source, f.val, min(r.rnk) AS rnk FROM steps s
    JOIN fact f ON f.subject_id = s.subject_id AND f.predicate = s.predicate AND f.opened_seq < s.seq
@@ -164,6 +195,17 @@ UNION ALL SELECT seq, subject_id, predicate, source, observed_at, 'fact.conflict
    FROM j WHERE was AND NOT now)"""
 
 
+@query(CHANGES_SQL + f""",
+e AS (SELECT seq, subject_id, predicate, source, ids, old_ids, unnest(list_distinct(ids)) AS id FROM steps),
+brought AS (SELECT * FROM e WHERE NOT list_contains(old_ids, id)),
+cut AS (SELECT {BATCH_CUT_SQL} AS c),
+n AS (SELECT (SELECT count(*) FROM steps, cut WHERE seq >= c) AS processed, (SELECT count(*) FROM obs, cut WHERE seq >= c) AS given)
+SELECT processed AS groups_processed, given - processed AS idempotent_groups, (SELECT count(*) FROM fact, cut WHERE opened_seq >= c) AS facts_created,
+  (SELECT count(*) FROM brought, cut WHERE seq >= c) AS evidence_created, (SELECT count(*) FROM ev, cut WHERE seq >= c) AS changes_created FROM n""")
+def fact_batch_counters(spark, sf):
+    return batch_on_store(spark, sf)[1].counters
+
+
 @query(CHANGES_SQL + """
 SELECT seq, subject_id, predicate, source, observed_at AS detected_at, event_type, severity, '[' || old_list || ']' AS old_value,
   '[' || new_list || ']' AS new_value FROM ev""")

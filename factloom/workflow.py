@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import ids, text as tx
-from factloom.operators import cards, corpus, entities, facts, merge, relational, retrieval, runs
+from factloom.operators import cards, corpus, entities, fact_batch, facts, merge, relational, retrieval, runs
 from factloom.operators.service import Store
 from factloom.operators.stages import written
 from factloom.policy import Policy, load_policy
 from factloom.sources import articles, files, pages, studies
 
 SOURCE_ORDER = ("curated_seed", "adcdb", "clinicaltrials", "pubmed")
+RECORD_BITS = 36
 
 
 @dataclass(frozen=True)
@@ -26,6 +27,8 @@ class Refreshed:
     tables: dict[str, DataFrame]
     gates: DataFrame
     passed: bool
+    #: Counters of the fact batch; none for a first version.
+    counters: DataFrame | None = None
 
 
 def _catalogue(spark: SparkSession, raw: str) -> tuple[DataFrame, DataFrame]:
@@ -74,7 +77,8 @@ def refresh(spark: SparkSession, raw: str, run_id: str, run_number: int, observe
 
     snapshots = _snapshots(trials, "clinicaltrials", "nct_id", "checksum", "source_url", "raw_path", observed_at, "studies_v1").unionByName(
         _snapshots(papers, "pubmed", "source_record_id", "checksum", "source_url", "raw_path", observed_at, "articles_v1"))
-    seq = lambda source: F.lit(run_number * 10 + SOURCE_ORDER.index(source)).cast("bigint")
+    # Runs and sources are ordered by the upper bits; the lower ones tell the records of one source apart.
+    seq = lambda source: F.lit((run_number * 10 + SOURCE_ORDER.index(source)) << RECORD_BITS).cast("bigint")
     batch = [
         facts.catalogue_observations(catalogue.withColumn("seq", seq("curated_seed")), at),
         facts.trial_observations(trials.withColumn("seq", seq("clinicaltrials")), at, ids.snapshot_id(F.lit("clinicaltrials"), "nct_id", "checksum")),
@@ -83,10 +87,18 @@ def refresh(spark: SparkSession, raw: str, run_id: str, run_number: int, observe
         snapshots = snapshots.unionByName(_snapshots(registry, "adcdb", "adcdb_id", "checksum", "detail_url", "detail_url", observed_at, "pages_v1"))
         batch.append(facts.registry_observations(registry.withColumn("seq", seq("adcdb")), at, ids.snapshot_id(F.lit("adcdb"), "adcdb_id", "checksum")))
     snapshots = written(merge.append_snapshots(old("snapshots"), snapshots) if old else snapshots)
-    observed = written(relational.union_all(batch))
+    observed = relational.union_all(batch)
+    observed = written(observed.withColumn("seq", F.col("seq") + F.pmod(F.xxhash64(*facts.RECORD), F.lit(1 << RECORD_BITS))))
     facts.require_valid(observed, policy, snapshots)
-    history = written(old("observations").unionByName(observed) if old else observed)
-    store = facts.reconcile(history, policy)
+    history = old("observations").unionByName(observed) if old else observed
+    if old:
+        applied = fact_batch.apply_batch(old("facts"), old("evidence"), observed, policy)
+        known, proof = fact_batch.merged(old("facts"), old("evidence"), applied)
+        known, proof, told, counters = written(known), written(proof), old("events").unionByName(applied.events), applied.counters
+    else:
+        store = facts.reconcile(observed, policy)
+        known, proof, told = store.facts, store.evidence, store.events
+        counters = None
 
     links = entities.mention_links(
         papers.withColumn("full_text", F.concat_ws("\n", "title", "abstract")), dictionary, record_type="document", source="pubmed", key="document_id",
@@ -129,12 +141,12 @@ def refresh(spark: SparkSession, raw: str, run_id: str, run_number: int, observe
     run_events = runs.source_events(log, members)
 
     faults = [("duplicate_trials", trials.groupBy("nct_id").count().filter("count > 1")),
-              ("orphan_evidence", relational.orphans(store.evidence, store.facts, ["fact_id"], ["fact_id"]))]
+              ("orphan_evidence", relational.orphans(proof, known, ["fact_id"], ["fact_id"]))]
     gates = written(runs.refresh_gates(log, members, run_id, required, max_drop=max_drop, max_missing=max_missing, integrity=faults))
     tables = {"catalogue": catalogue, "aliases": aliases, "dictionary": dictionary, "trials": trials, "publications": papers, "snapshots": snapshots,
-              "observations": history, "facts": store.facts, "evidence": store.evidence, "events": store.events, "run_events": run_events, "links": links,
+              "observations": history, "facts": known, "evidence": proof, "events": told, "run_events": run_events, "links": links,
               "topics": topics, "documents": documents, "chunks": chunks, "index": retrieval.build_vector_index(chunks), "runs": log, "members": members}
-    return Refreshed(tables, gates, bool(runs.gates_passed(gates).first()[0]))
+    return Refreshed(tables, gates, bool(runs.gates_passed(gates).first()[0]), counters)
 
 
 def publish(spark: SparkSession, root: str, run_id: str, result: Refreshed, policy: Policy | None = None) -> str:

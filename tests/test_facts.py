@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom import schemas
-from factloom.operators import facts
+from factloom.operators import fact_batch, facts
 from factloom.policy import load_policy, parse_policy
 import json
 from pathlib import Path
@@ -159,3 +159,39 @@ def test_policy_references():
         change(broken)
         with pytest.raises(ValueError):
             parse_policy(broken)
+
+
+def test_a_batch_on_a_stored_state_equals_one_fold(spark, tmp_path):
+    rng, policy = random.Random(11), load_policy()
+    rows = [observation(i, f"s{rng.randrange(4)}", rng.choice(FIELDS), rng.choice(SOURCES), rng.sample(["1", "2", "3"], rng.randrange(3)), rng.choice(["https://x", "https://y"]), f"r{rng.randrange(2)}")
+            for i in range(1, 241)]
+    rows = [r for r in rows if not (r[2] == "trial.overall_status" and r[3] == "curated_seed")]
+    table = spark.createDataFrame(rows, schemas.OBSERVATION)
+    whole = facts.reconcile(table, policy, 20, 10)
+    show = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    store, events, cuts = None, None, (0, 120, 125, 241)
+    for number, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        batch = table.where((F.col("seq") >= low) & (F.col("seq") < high))
+        if store is None:
+            first = facts.reconcile(batch, policy)
+            store, events = (first.facts, first.evidence), first.events
+            continue
+        fact_batch.write_state(*store, str(tmp_path / f"state{number}"), buckets=8)
+        applied = fact_batch.apply_batch(*fact_batch.read_open(spark, str(tmp_path / f"state{number}"), batch, buckets=8), batch, policy, 20, 10)
+        counters = applied.counters.first()
+        assert counters.groups_processed + counters.idempotent_groups == batch.count()
+        assert counters.changes_created == applied.events.count()
+        store, events = fact_batch.merged(*store, applied), events.unionByName(applied.events)
+    assert show(store[0]) == show(whole.facts)
+    assert show(store[1]) == show(whole.evidence)
+    assert show(events) == show(whole.events)
+
+
+def test_a_batch_must_come_later_and_may_be_empty(spark):
+    policy = load_policy()
+    table = spark.createDataFrame([observation(5, "a", "adc.dar", "adcdb", ["1"])], schemas.OBSERVATION)
+    store = facts.reconcile(table, policy)
+    with pytest.raises(ValueError):
+        fact_batch.apply_batch(store.facts, store.evidence, table, policy)
+    nothing = fact_batch.apply_batch(store.facts, store.evidence, table.limit(0), policy)
+    assert tuple(nothing.counters.first()) == (0, 0, 0, 0, 0) and nothing.facts.isEmpty() and nothing.events.isEmpty()
