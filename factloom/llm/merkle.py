@@ -67,13 +67,17 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(batch), pid, dtype=np.int32)), pa.array(rows)], names=[*batch.schema.names, "pid", "row"])
 
 
-def placed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+def placed(rows: DataFrame, keys: Sequence[str], few: int | None = None) -> DataFrame:
     """The rows with ``idx`` (place in their tree by ``keys``, nulls first) and ``n`` (rows of the tree).
 
     Rows are sorted by ranges of (tree, keys), so a large tree lies in many ranges; only one row for each tree and range is summed up.
+    ``few``: the rows are one tree of so many rows, which fit in one task.
     """
     order = [F.col(c).asc_nulls_first() for c in ("tree", *keys)]
     fields = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    if few is not None:
+        sorted_rows = rows.repartition(1).sortWithinPartitions(*order).mapInArrow(_numbered, f"{fields}, pid int, row long")
+        return sorted_rows.select(*rows.columns, F.col("row").alias("idx"), F.lit(few).cast("long").alias("n"))
     numbered = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_numbered, f"{fields}, pid int, row long"))
     ranges = numbered.groupBy("tree", "pid").agg(F.count(F.lit(1)).alias("size"), F.min("row").alias("first"))
     tree = Window.partitionBy("tree")
@@ -142,15 +146,17 @@ def _up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flushed()
 
 
-def swept(nodes: DataFrame, round_nodes: int = ROUND_NODES) -> list[DataFrame]:
-    """The rounds of the upward sweep; each is written."""
-    rounds: list[DataFrame] = []
-    ranges = None
+def swept(nodes: DataFrame, round_nodes: int = ROUND_NODES, ranges: int | None = None) -> list[tuple[DataFrame, bool]]:
+    """The rounds of the upward sweep, written, and whether one task did them. ``ranges`` of the first round: as Spark chooses, or one for few nodes."""
+    rounds: list[tuple[DataFrame, bool]] = []
     while True:
         order = [F.col("tree").asc_nulls_first(), F.col("last"), F.col("level")]
-        dealt = nodes.repartitionByRange(ranges, *order) if ranges else nodes.repartitionByRange(*order)
-        rounds.append(written(dealt.sortWithinPartitions(*order).mapInArrow(_up, SWEPT)))
-        waiting = rounds[-1].where(F.col("kind") == OUT)
+        if ranges == 1:
+            dealt = nodes.repartition(1)
+        else:
+            dealt = nodes.repartitionByRange(ranges, *order) if ranges else nodes.repartitionByRange(*order)
+        rounds.append((written(dealt.sortWithinPartitions(*order).mapInArrow(_up, SWEPT)), ranges == 1))
+        waiting = rounds[-1][0].where(F.col("kind") == OUT)
         left = waiting.count()
         if not left:
             return rounds
@@ -193,18 +199,19 @@ def _down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=[*(f.name for f in list(_ARROW)[2:]), "proof", "top"])
 
 
-def delivered(rounds: list[DataFrame], ends: DataFrame) -> DataFrame:
+def delivered(rounds: list[tuple[DataFrame, bool]], ends: DataFrame) -> DataFrame:
     """The leaves with their proofs; ``ends`` has (of, proof): what follows the proof up to the root of each tree."""
     below = None
-    for swept_round in reversed(rounds):
+    for swept_round, single in reversed(rounds):
         roots = swept_round.where(F.col("kind") == ROOT).join(ends.withColumnRenamed("proof", "rest"), F.col("tree").eqNullSafe(F.col("of")))
         rows = swept_round.where(F.col("kind").isin(RUN, NODE)).withColumns({"proof": F.lit(None).cast("string"), "top": F.lit(None).cast("string")})
         rows = rows.unionByName(roots.withColumns({"kind": F.lit(END), "proof": F.col("rest"), "top": F.col("digest")}).select(*rows.columns))
         if below is not None:
             rows = rows.unionByName(below.withColumns({"pid": F.col("origin"), "kind": F.lit(END)}).select(*rows.columns))
         order = [F.col("pid"), F.col("tree"), F.col("last").desc(), F.col("level").desc(), F.col("kind")]
-        below = rows.repartition("pid").sortWithinPartitions(*order).mapInArrow(_down, PROVEN)
-        below = written(below) if swept_round is not rounds[0] else below
+        dealt = rows.repartition(1) if single else rows.repartition("pid")
+        below = dealt.sortWithinPartitions(*order).mapInArrow(_down, PROVEN)
+        below = written(below) if swept_round is not rounds[0][0] else below
     return below
 
 
@@ -213,9 +220,9 @@ def _leaves(rows: DataFrame) -> DataFrame:
     return rows.select("tree", "n", F.lit(0).alias("level"), "idx", F.col("idx").alias("last"), "digest", F.lit(None).cast("int").alias("origin"), "doc_id", "other")
 
 
-def _roots(rounds: list[DataFrame]) -> DataFrame:
-    out = rounds[0].where(F.col("kind") == ROOT)
-    for more in rounds[1:]:
+def _roots(rounds: list[tuple[DataFrame, bool]]) -> DataFrame:
+    out = rounds[0][0].where(F.col("kind") == ROOT)
+    for more, _ in rounds[1:]:
         out = out.unionByName(more.where(F.col("kind") == ROOT))
     return out.select("tree", "digest")
 
@@ -227,7 +234,10 @@ def manifest(docs: DataFrame, other: Column | None = None, fields: Sequence[str]
     rows = written(digests.withColumn("tie", F.monotonically_increasing_id()))  # equal rows are dealt apart
     rounds = swept(_leaves(placed(rows, ("doc_id", "digest", "tie"))), round_nodes)
     subroots = _roots(rounds).select(F.lit(None).cast("string").alias("tree"), F.col("tree").alias("name"), "digest", F.lit(None).cast("long").alias("doc_id"), F.col("tree").alias("other"))
-    above = swept(_leaves(placed(subroots, ("name",))), round_nodes)
+    subroots = written(subroots)
+    sources = subroots.count()
+    few = sources if sources <= round_nodes else None
+    above = swept(_leaves(placed(subroots, ("name",), few)), round_nodes, 1 if few is not None else None)
     top = _roots(above).first()  # one digest
     whole = F.lit(top.digest if top else None).cast("string")
     ends = delivered(above, _roots(above).select(F.col("tree").alias("of"), F.lit("").alias("proof")))
