@@ -78,15 +78,20 @@ named AS (
   SELECT lang, source, u.rule AS rule, u.v AS v FROM (
     SELECT lang, source, unnest([{{'rule': 'symbols', 'v': symbols}}, {{'rule': 'dup_lines', 'v': dup_lines}}, {{'rule': 'word_length', 'v': word_length}}]) AS u FROM valued WHERE n_words > 0)),
 bucketed AS (SELECT lang, source, rule, v - v % pow(2, greatest(0, length(bin(v)) - 7))::BIGINT AS bucket FROM named),
-own AS (SELECT lang, source, rule, count(*) AS size, quantile_disc(bucket, 0.25) AS q25, quantile_disc(bucket, 0.75) AS q75 FROM bucketed GROUP BY lang, source, rule),
-whole AS (SELECT lang, rule, quantile_disc(bucket, 0.25) AS q25, quantile_disc(bucket, 0.75) AS q75 FROM bucketed GROUP BY lang, rule),
+summed AS (
+  SELECT lang, source, rule, bucket, sum(count(*)) OVER (PARTITION BY lang, source, rule ORDER BY bucket) AS upto, sum(count(*)) OVER (PARTITION BY lang, source, rule) AS size,
+    CASE rule WHEN 'symbols' THEN 50 WHEN 'dup_lines' THEN 10 ELSE 20 END AS tail FROM bucketed GROUP BY lang, source, rule, bucket),
+summed_lang AS (
+  SELECT lang, rule, bucket, sum(count(*)) OVER (PARTITION BY lang, rule ORDER BY bucket) AS upto, sum(count(*)) OVER (PARTITION BY lang, rule) AS size,
+    CASE rule WHEN 'symbols' THEN 50 WHEN 'dup_lines' THEN 10 ELSE 20 END AS tail FROM bucketed GROUP BY lang, rule, bucket),
+own AS (SELECT lang, source, rule, any_value(size) AS size, min(CASE WHEN upto * 1000 >= size * tail THEN bucket END) AS low, min(CASE WHEN upto * 1000 >= size * (1000 - tail) THEN bucket END) AS high FROM summed GROUP BY lang, source, rule),
+whole AS (SELECT lang, rule, min(CASE WHEN upto * 1000 >= size * tail THEN bucket END) AS low, min(CASE WHEN upto * 1000 >= size * (1000 - tail) THEN bucket END) AS high FROM summed_lang GROUP BY lang, rule),
 used AS (
-  SELECT o.lang, o.source, o.rule, CASE WHEN size < 50 THEN w.q25 ELSE o.q25 END AS q25, CASE WHEN size < 50 THEN w.q75 ELSE o.q75 END AS q75,
-    CASE o.rule WHEN 'symbols' THEN 30000 WHEN 'dup_lines' THEN 100000 ELSE 1500 END AS least
+  SELECT o.lang, o.source, o.rule, CASE WHEN size < 50 THEN w.low ELSE least(o.low, w.low) END AS low, CASE WHEN size < 50 THEN w.high ELSE greatest(o.high, w.high) END AS high
   FROM own o JOIN whole w ON o.lang IS NOT DISTINCT FROM w.lang AND o.rule = w.rule),
 bounds AS (
-  SELECT lang, source, max(CASE WHEN rule = 'symbols' THEN q75 + 3 * greatest(q75 - q25, least) END) AS s, max(CASE WHEN rule = 'dup_lines' THEN q75 + 3 * greatest(q75 - q25, least) END) AS d,
-    max(CASE WHEN rule = 'word_length' THEN q75 + 3 * greatest(q75 - q25, least) END) AS h, max(CASE WHEN rule = 'word_length' THEN q25 - 3 * greatest(q75 - q25, least) END) AS l
+  SELECT lang, source, max(CASE WHEN rule = 'symbols' THEN high + high // 8 END) AS s, max(CASE WHEN rule = 'dup_lines' THEN high + high // 8 END) AS d,
+    max(CASE WHEN rule = 'word_length' THEN high + high // 8 END) AS h, max(CASE WHEN rule = 'word_length' THEN low - low // 8 END) AS l
   FROM used GROUP BY lang, source),
 judged AS (
   SELECT v.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce(symbols > s, false) OR coalesce(dup_lines > d, false) OR coalesce(word_length > h, false) OR coalesce(word_length < l, false) AS out
