@@ -31,15 +31,23 @@ def evidence_mention_id(*parts: Column | str) -> Column:
     return prefixed_id("ev_", 24, *parts)
 
 
+# Control characters whose escape has a letter among its hexadecimal digits; Spark writes it in upper case.
+_LETTERED = [chr(c) for c in range(32) if f"{c:02x}" != f"{c:02X}" and chr(c) not in "\n\r\f"]
+
+
 def json_string(value: Column) -> Column:
     """Canonical JSON text of one string: quotes, backslashes and control characters escaped, other text kept."""
-    escaped = F.replace(value, F.lit("\\"), F.lit("\\\\"))
-    escaped = F.replace(escaped, F.lit('"'), F.lit('\\"'))
-    named = {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
-    plain = escaped
-    for code in range(32):
-        escaped = F.replace(escaped, F.lit(chr(code)), F.lit(named.get(chr(code), f"\\u{code:04x}")))
-    return F.concat(F.lit('"'), F.when(value.rlike("[\\x00-\\x1F]"), escaped).otherwise(plain), F.lit('"'))
+    def text(x: Column) -> Column:
+        listed = F.to_json(F.array(x))
+        return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+    def one(c: Column) -> Column:
+        escape = F.concat(F.lit("\\u00"), F.lower(F.hex(c)))
+        bare = text(c)
+        return F.when(c.isin(*_LETTERED), escape).otherwise(F.substr(bare, F.lit(2), F.length(bare) - 2))
+
+    by_character = F.concat(F.lit('"'), F.array_join(F.transform(F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0)), one), ""), F.lit('"'))
+    return F.when(value.rlike("[" + "".join(f"\\x{ord(c):02X}" for c in _LETTERED) + "]"), by_character).when(value.isNotNull(), text(value))
 
 
 # Strings, numbers, and all between them.
@@ -73,25 +81,29 @@ def canonical_json(text: Column, strip=None) -> Column:
     Text that is no JSON, or an object that names a key twice, gives null. ``strip`` is applied to string values. Objects are sorted by Spark's
     VARIANT type; strings and numbers pass it as marked strings, so that ``8`` and ``8.0`` stay apart.
     """
-    tokens = F.regexp_extract_all(text, F.lit(_JSON_TOKEN), F.lit(0))
-    def is_key(all_tokens: Column, i: Column) -> Column:
-        return F.coalesce(F.get(all_tokens, i + 1).rlike(r"^\s*:"), F.lit(False))
+    def is_key(tokens: Column, i: Column) -> Column:
+        return F.coalesce(F.get(tokens, i + 1).rlike(r"^\s*:"), F.lit(False))
+
+    def rewritten(value: Column, change) -> Column:
+        """The value with ``change(tokens, token, place)`` for each token; the tokens are cut once."""
+        cut = F.array(F.regexp_extract_all(value, F.lit(_JSON_TOKEN), F.lit(0)))
+        return F.get(F.transform(cut, lambda tokens: F.array_join(F.transform(tokens, lambda t, i: change(tokens, t, i)), "")), F.lit(0))
 
-    def marked(t: Column, i: Column) -> Column:
+    def marked(tokens: Column, t: Column, i: Column) -> Column:
         value = _json_text(t) if strip is None else strip(_json_text(t))
         return (F.when(t.startswith('"') & ~is_key(tokens, i), json_string(F.concat(F.lit(_TEXT), value)))
                 .when(t.rlike(r"^-?\d"), F.concat(F.lit('"\\u0001n'), json_number(t), F.lit('"'))).otherwise(t))
 
-    ordered = F.to_json(F.try_parse_json(F.array_join(F.transform(tokens, marked), "")))
-    again = F.regexp_extract_all(ordered, F.lit(_JSON_TOKEN), F.lit(0))
-
-    def plain(t: Column, i: Column) -> Column:
+    def plain(tokens: Column, t: Column, i: Column) -> Column:
         value = _json_text(t)
         rest = F.substr(value, F.lit(3))
-        return (F.when(~t.startswith('"'), t).when(is_key(again, i), F.when(F.contains(t, F.lit("\\u")), json_string(value)).otherwise(t))
+        return (F.when(~t.startswith('"'), t).when(is_key(tokens, i), F.when(F.contains(t, F.lit("\\u")), json_string(value)).otherwise(t))
                 .when(value.startswith(_NUMBER), rest).otherwise(json_string(rest)))
 
-    return F.when(F.try_parse_json(text).isNotNull(), F.array_join(F.transform(again, plain), ""))
+    ordered = F.to_json(F.try_parse_json(rewritten(text, marked)))
+    # The parser stops behind the first value; only a text that is one value is one element both alone and before another.
+    elements = lambda ending: F.size(F.try_parse_json(F.concat(F.lit("["), text, F.lit(ending))).cast("array<variant>"))
+    return F.when((elements("]") == 1) & (elements(",0]") == 2), rewritten(ordered, plain))
 
 
 def value_hash(value_json: Column | str) -> Column:

@@ -35,9 +35,11 @@ def query(sql: str | None = None):
 
 
 def customer_questions(spark, sf):
+    """Questions of all forms; together they name every supplier."""
     k = F.col("c_custkey")
+    n = t(spark, sf, "supplier").agg(F.max("s_suppkey") + 1).first()[0]
     name = lambda x: F.concat(F.lit("Supplier#"), F.lpad(x.cast("string"), 9, "0"))
-    fill = {"{a}": name(k % 10), "{b}": name((k * 7 + 3) % 10), "{n}": F.concat(F.lit("NCT"), F.lpad((k % 500).cast("string"), 8, "0"))}
+    fill = {"{a}": name(k % n), "{b}": name((k * 7 + 3) % n), "{n}": F.concat(F.lit("NCT"), F.lpad((k % 500).cast("string"), 8, "0"))}
     text = F.lit("")
     for i, form in enumerate(FORMS):
         filled = F.lit(form)
@@ -63,8 +65,9 @@ def _form_sql(form: str) -> str:
 
 
 QUESTIONS_SQL = """
-qq AS (SELECT c_custkey AS k, 'Supplier#' || lpad(CAST(c_custkey % 10 AS VARCHAR), 9, '0') AS a, 'Supplier#' || lpad(CAST((c_custkey * 7 + 3) % 10
-   AS VARCHAR), 9, '0') AS b, 'NCT' || lpad(CAST(c_custkey % 500 AS VARCHAR), 8, '0') AS n FROM customer),
+sn AS (SELECT max(s_suppkey) + 1 AS sn FROM supplier),
+qq AS (SELECT c_custkey AS k, 'Supplier#' || lpad(CAST(c_custkey % sn AS VARCHAR), 9, '0') AS a, 'Supplier#' || lpad(CAST((c_custkey * 7 + 3) % sn
+   AS VARCHAR), 9, '0') AS b, 'NCT' || lpad(CAST(c_custkey % 500 AS VARCHAR), 8, '0') AS n FROM customer, sn),
 q AS (SELECT CAST(k AS VARCHAR) AS question_id, CASE k % 12 """ + " ".join(
     f"WHEN {i} THEN {_form_sql(form)}" for i, form in enumerate(FORMS)) + """ END AS question FROM qq),
 ql AS (SELECT *, lower(replace(replace(replace(question, '？', '?'), '，', ','), '：', ':')) AS l FROM q),
@@ -153,8 +156,9 @@ def question_router(spark, sf):
 # ---------------------------------------------------------------- structured answers
 
 FIELD_PLANS_SQL = """,
-cq AS (SELECT CAST(c_custkey AS VARCHAR) AS question_id, CAST(c_custkey % 15 AS VARCHAR) AS e1, CAST((c_custkey + 4) % 15 AS VARCHAR) AS e2,
-   ['user.click', 'user.purchase', CASE WHEN c_custkey % 2 = 0 THEN 'user.refund' ELSE 'user.view' END, 'user.colour'] AS preds FROM customer),
+un AS (SELECT max(user_id) + 1 AS un FROM events),
+cq AS (SELECT CAST(c_custkey AS VARCHAR) AS question_id, CAST(c_custkey % un AS VARCHAR) AS e1, CAST((c_custkey + 4) % un AS VARCHAR) AS e2,
+   ['user.click', 'user.purchase', CASE WHEN c_custkey % 2 = 0 THEN 'user.refund' ELSE 'user.view' END, 'user.colour'] AS preds FROM customer, un),
 pl AS (SELECT question_id, CAST(unnest([1, 2]) AS INT) AS e_pos, unnest([e1, e2]) AS subject_id, preds FROM cq),
 pp AS (SELECT question_id, e_pos, subject_id, CAST(unnest([1, 2, 3, 4]) AS INT) AS p_pos, unnest(preds) AS predicate FROM pl),
 lab AS (SELECT * FROM (VALUES ('user.click', 'Click'), ('user.view', 'View'), ('user.purchase', 'Purchase'), ('user.refund', 'Refund')) l(predicate, label)),
@@ -182,8 +186,9 @@ LEFT JOIN ga USING (question_id)"""
 
 
 def field_plans(spark, sf):
-    k = F.col("c_custkey")
-    e = F.array((k % 15).cast("string"), ((k + 4) % 15).cast("string"))
+    """Two users for each question; together the questions ask for all users there can be."""
+    k, n = F.col("c_custkey"), t(spark, sf, "events").agg(F.max("user_id") + 1).first()[0]
+    e = F.array((k % n).cast("string"), ((k + 4) % n).cast("string"))
     return t(spark, sf, "customer").select(
         k.cast("string").alias("question_id"), e.alias("entity_ids"), F.transform(e, lambda x: F.concat(F.lit("User "), x)).alias("entity_names"),
         F.array(F.lit("user.click"), F.lit("user.purchase"), F.when(k % 2 == 0, "user.refund").otherwise("user.view"), F.lit("user.colour")).alias("predicates"))

@@ -354,18 +354,20 @@ def retrieval_report(spark, sf):
 
 
 PASSAGE_SQL = """
-bn AS (SELECT CAST(item_id AS VARCHAR) AS question_id, array_to_string((string_split(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g')),
-   ' '))[1:8], ' ') AS head FROM benchmark),
+bn AS (SELECT CAST(item_id AS VARCHAR) AS question_id, string_split(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM benchmark),
+bw AS (SELECT DISTINCT question_id, array_to_string(w[i:i + 7], ' ') AS piece FROM (SELECT question_id, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS i FROM bn)),
 dn AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, ' ' || trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g')) || ' ' AS n FROM documents),
-relevant AS (SELECT question_id, document_id FROM bn JOIN dn ON contains(n, ' ' || head || ' '))"""
+relevant AS (SELECT DISTINCT question_id, document_id FROM bw JOIN dn ON contains(n, ' ' || piece || ' '))"""
 
 
 def passage_relevance(spark, sf):
-    """Documents that hold the opening eight words of a benchmark item."""
-    words = F.slice(F.split(tx.normalize_text(F.col("text")), " "), 1, 8)
-    items = t(spark, sf, "benchmark").select(
+    """Documents that hold any eight words in a row of a benchmark item (an item of fewer words whole)."""
+    split = t(spark, sf, "benchmark").select("item_id", F.split(tx.normalize_text(F.col("text")), " ").alias("words"))
+    words = F.col("words")
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 7, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 8), " "))
+    items = split.select(
         F.lit("adc").alias("entity_type"), F.col("item_id").cast("string").alias("entity_id"),
-        F.col("item_id").cast("string").alias("canonical_name"), F.array_join(words, " ").alias("alias"), F.lit(0).alias("position"))
+        F.col("item_id").cast("string").alias("canonical_name"), F.posexplode(F.array_distinct(windows)).alias("position", "alias"))
     hits = entities.match_dictionary(t(spark, sf, "documents").select("doc_id", "text"), items, key="doc_id", text="text")
     return hits.select(F.col("entity_id").alias("question_id"), F.col("doc_id").cast("string").alias("document_id"))
 

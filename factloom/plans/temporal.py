@@ -240,10 +240,9 @@ def conflict_flags(spark, sf):
 
 
 @query("WITH " + STEPS_SQL + """
-SELECT subject_id, val AS value, CAST(rnk AS INTEGER) AS rank, status FROM st WHERE predicate = 'user.purchase'""")
+SELECT subject_id, predicate, val AS value, CAST(rnk AS INTEGER) AS rank, status FROM st""")
 def preferred_source_rank(spark, sf):
-    only = observations(spark, sf).filter("predicate = 'user.purchase'")
-    return facts.latest_state(only, event_policy()).select("subject_id", F.col("value_json").alias("value"), "rank", "status")
+    return facts.latest_state(observations(spark, sf), event_policy()).select("subject_id", "predicate", F.col("value_json").alias("value"), "rank", "status")
 
 
 @query("""

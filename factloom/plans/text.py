@@ -29,16 +29,23 @@ def query(sql: str | None = None):
     return register
 
 
+def _runs(words, n):
+    """All runs of ``n`` words with their places."""
+    places = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.struct((i - 1).alias("position"), F.array_join(F.slice(words, i, n), " ").alias("alias")))
+
+
 def benchmark_dictionary(spark, sf):
-    """Dictionary made of the first two words of every benchmark item, and of its third word."""
-    words = F.split(tx.normalize_text(F.col("text")), " ")
-    rows = t(spark, sf, "benchmark").select(
+    """Dictionary made of all pairs and all triples of neighbouring words of every benchmark item."""
+    items = t(spark, sf, "benchmark").select("item_id", F.split(tx.normalize_text(F.col("text")), " ").alias("words"))
+    words = F.col("words")
+    rows = items.select(
         F.element_at(F.array(F.lit("adc"), F.lit("target"), F.lit("payload")), (F.col("item_id") % 3 + 1).cast("int"))
         .alias("entity_type"),
         (F.col("item_id") / 2).cast("bigint").cast("string").alias("entity_id"),
         F.concat(F.lit("Item "), (F.col("item_id") / 2).cast("bigint").cast("string")).alias("canonical_name"),
-        F.posexplode(F.array(F.array_join(F.slice(words, 1, 2), " "), F.element_at(words, 3))).alias("position", "alias"),
-    )
+        F.explode(F.concat(_runs(words, 2), _runs(words, 3))).alias("r"),
+    ).select("entity_type", "entity_id", "canonical_name", F.col("r.position").alias("position"), F.col("r.alias").alias("alias"))
     return rows.groupBy("entity_type", "entity_id", "canonical_name", "alias").agg(F.min("position").alias("position"))
 
 
@@ -46,7 +53,8 @@ DICTIONARY_SQL = """
 norm AS (SELECT item_id, string_split(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM benchmark),
 dict AS (SELECT entity_type, entity_id, 'Item ' || entity_id AS canonical_name, alias, min(position) AS position FROM (
   SELECT (['adc', 'target', 'payload'])[item_id % 3 + 1] AS entity_type, CAST(item_id // 2 AS VARCHAR) AS entity_id,
-    unnest([{'alias': w[1] || ' ' || w[2], 'position': 0}, {'alias': w[3], 'position': 1}], recursive := true) FROM norm)
+    unnest(list_concat(list_transform(range(1, len(w)), lambda i: {'alias': w[i] || ' ' || w[i + 1], 'position': i - 1}),
+      list_transform(range(1, len(w) - 1), lambda i: {'alias': w[i] || ' ' || w[i + 1] || ' ' || w[i + 2], 'position': i - 1})), recursive := true) FROM norm)
   GROUP BY ALL),
 docs AS (SELECT doc_id, source, text, ' ' || trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g')) || ' ' AS n
   FROM documents),

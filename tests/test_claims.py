@@ -38,7 +38,7 @@ def test_canonical_json_is_that_of_a_plain_encoder(spark):
     rng = random.Random(4)
     values = [some_value(rng, 4) for _ in range(200)]
     rows = [(json.dumps(v, ensure_ascii=bool(i % 2), indent=rng.choice([None, 1])), json.dumps(stripped(v), ensure_ascii=False, sort_keys=True, separators=(",", ":"))) for i, v in enumerate(values)]
-    rows += [("{bad", None), ("", None), (None, None), ('{"a":1,"a":2}', None)]
+    rows += [("{bad", None), ("", None), (None, None), ('{"a":1,"a":2}', None), ("8 or so", None), ("1,2", None), ("1],[2", None), ("1,0],[2", None), (" 8.50 ", "8.5")]
     for r in spark.createDataFrame(rows, "t string, want string").select("t", "want", ids.canonical_json(F.col("t"), tx.strip).alias("got")).collect():
         assert r.got == r.want, r.t
 
@@ -91,3 +91,10 @@ def test_nested_cards_keep_all_evidence_on_pages(spark):
     assert body["fact_count"] == 11 and [list(f) for f in body["facts"]][0] == sorted(body["facts"][0])
     lines = [r.text for r in cards.brief_lines(whole, policy).orderBy("page", "line").collect()]
     assert sum(x.startswith("#### ") for x in lines) == 11 and sum(x.startswith("- **") for x in lines) == 50
+
+
+def test_every_character_of_a_string_is_escaped_as_by_a_plain_encoder(spark):
+    texts = [chr(c) for c in range(0x80)] + ["a\x1fb\\\"\n\x0b", "", "é日\U0001f600\x7f ", "\x0e" * 3, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", ids.json_string(F.col("t")).alias("j"))
+    for r in df.collect():
+        assert r.j == (None if r.t is None else json.dumps(r.t, ensure_ascii=False))
