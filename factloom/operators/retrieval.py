@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +26,8 @@ IDF_FLOOR = 1e-6
 COLUMN_WEIGHTS = {"title": 1.0, "content": 0.8, "entities": 1.0}
 RRF_CONSTANT = 60
 SALTS = 64
+#: Queries of so many bytes are broadcast; a cell of the grid beyond that holds as many bytes of queries and so many vectors, about.
+QUERY_BYTES, CELL_VECTORS = 64 << 20, 50_000
 
 # Query terms and the words that are added for them.
 TERM_EXPANSIONS = {
@@ -297,78 +299,91 @@ def fold_case(text: Column) -> Column:
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, top_k: int, *, key: str = "chunk_id", group: str | None = None,
-               vector: str = "vector", block: int = 1024, labels: str | None = None) -> DataFrame:
+               vector: str = "vector", block: int = 1024, labels: str | None = None, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """Exact top ``top_k`` by dot product for every query, as ``(question_id, key[, group], score, rank)``.
 
     With ``group`` only the best row of every group counts. With ``labels`` (an array column of the vectors) a query sees only
-    rows that carry all labels of its ``needs``. Queries travel to the tasks in blocks of about ``block`` vectors, one block
-    at a time on the driver; a task multiplies its rows with the block and hands on its own best rows only, so the product of
-    queries and corpus is never written. Each block is one pass over the vectors.
+    rows that carry all labels of its ``needs``. Queries of at most ``query_bytes`` (measured) are broadcast: one pass over the vectors, whatever
+    their number. More queries are joined as rows: blocks of queries and groups of vectors meet in a grid, each cell in a task of its own, and nothing
+    passes the driver. In both ways a task multiplies ``block`` queries at a time and hands on its own best rows only.
     """
     needs = F.col("needs") if labels else F.array().cast("array<string>")
     numbered = written(queries.select("question_id", F.col(vector).cast("array<double>").alias("v"), needs.alias("needs")))
-    blocks = max(1, -(-numbered.count() // block))
     keep = [key, *([group] if group else [])]
     slim = vectors.select(*keep, F.col(vector).cast("array<double>").alias("v"), *([F.col(labels).alias("labels")] if labels else []))
     schema = T.StructType([T.StructField("question_id", queries.schema["question_id"].dataType),
                            *[T.StructField(c, slim.schema[c].dataType) for c in keep], T.StructField("score", T.DoubleType())])
-    result = None
-    for number in range(blocks):
-        part = numbered.filter(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == number).toPandas()
-        if len(part):
-            names, wanted = part["question_id"].tolist(), [list(n) for n in part["needs"]] if labels else None
-            found = slim.mapInPandas(_local_topk(names, np.stack(part["v"].to_numpy()), keep, top_k, wanted), schema)
-            result = found if result is None else result.unionByName(found)
-    if result is None:
+    asked = numbered.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("v") * 8 + F.octet_length(F.to_json("needs")) + 64), F.lit(0)).alias("bytes")).first()
+    if not asked.n:
         return queries.sparkSession.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))
+    if asked.bytes <= query_bytes:
+        shared = queries.sparkSession.sparkContext.broadcast(_query_blocks(numbered.toPandas(), block, bool(labels)))
+        result = slim.mapInPandas(lambda batches: _local_topk(batches, shared.value, keep, top_k), schema)
+    else:
+        result = _grid_topk(slim, numbered, -(-asked.bytes // query_bytes), keep, top_k, block, bool(labels), schema)
     if group:
         first = F.min_by(F.struct(key, "score"), F.struct(-F.col("score"), F.col(key))).alias("b")
         result = result.groupBy("question_id", group).agg(first).select("question_id", group, "b.*")
     return top_rows(result, top_k, [F.desc("score"), F.col(key)])
 
 
-def _local_topk(names: list, q: np.ndarray, keep: list[str], top_k: int, wanted: list[list[str]] | None = None):
-    """Best rows of one task for a block of queries, kept up to date batch by batch."""
-    key = keep[0]
+def _query_blocks(part: pd.DataFrame, block: int, labelled: bool) -> list[tuple[list, np.ndarray, list | None]]:
+    """(ids, vectors, needed labels) of ``block`` queries at a time."""
+    pieces = [part.iloc[i:i + block] for i in range(0, len(part), block)]
+    return [(p["question_id"].tolist(), np.stack(p["v"].to_numpy()), [list(n) for n in p["needs"]] if labelled else None) for p in pieces]
+
+
+def _grid_topk(slim: DataFrame, queries: DataFrame, query_groups: int, keep: list[str], top_k: int, block: int, labelled: bool, schema: T.StructType) -> DataFrame:
+    """Local best rows of each cell of (group of vectors, group of queries)."""
+    vector_groups = max(1, -(-slim.count() // CELL_VECTORS))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = slim.withColumn("__g", F.pmod(F.xxhash64(keep[0]), F.lit(vector_groups))).withColumn("__b", numbers(query_groups))
+    right = queries.withColumn("__b", F.pmod(F.xxhash64("question_id"), F.lit(query_groups))).withColumn("__g", numbers(vector_groups))
 
-    def hidden(labels: pd.Series) -> np.ndarray:
-        """Rows by queries: true where a row lacks a label that the query needs."""
-        sets = [set(x) if x is not None else set() for x in labels]
+    def cell(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        found = list(_local_topk([rows], _query_blocks(asked, block, labelled), keep, top_k)) if len(rows) and len(asked) else []
+        return pd.concat(found) if found else pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema})
+
+    return left.groupBy("__g", "__b").cogroup(right.groupBy("__g", "__b")).applyInPandas(cell, schema)
+
+
+def _best_rows(best: pd.DataFrame | None, pdf: pd.DataFrame, names: list, q: np.ndarray, wanted: list | None, keep: list[str], top_k: int) -> pd.DataFrame:
+    """The best rows of a block of queries after one more batch of vectors."""
+    key = keep[0]
+    scores = np.round(np.stack(pdf["v"].to_numpy()) @ q.T, 5) + 0.0
+    if wanted is not None:  # rows that lack a label that the query needs are not seen
+        sets = [set(x) if x is not None else set() for x in pdf["labels"]]
         lacks = {w: np.fromiter((w not in s for s in sets), bool, len(sets)) for w in {w for ws in wanted for w in ws}}
-        out = np.zeros((len(sets), len(names)), dtype=bool)
         for i, ws in enumerate(wanted):
             for w in ws:
-                out[:, i] |= lacks[w]
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            scores = np.round(np.stack(pdf["v"].to_numpy()) @ q.T, 5) + 0.0
-            if wanted is not None:
-                scores[hidden(pdf["labels"])] = -np.inf
-            # A row below the top_k-th best (of the groups' best) of its batch cannot count; equal scores stay for the sort.
-            heads = scores
-            if len(keep) > 1:
-                code = pd.factorize(pdf[keep[1]])[0]
-                order = np.argsort(code, kind="stable")
-                heads = np.maximum.reduceat(scores[order], np.searchsorted(code[order], np.arange(code.max() + 1)), axis=0)
-            enough = scores > -np.inf
-            if len(heads) > top_k:
-                enough &= scores >= np.partition(heads, len(heads) - top_k, axis=0)[len(heads) - top_k]
-            query, row = np.nonzero(enough.T)
-            block = pd.DataFrame({"q": query, "score": scores[row, query], **{c: pdf[c].to_numpy()[row] for c in keep}})
-            best = block if best is None else pd.concat([best, block])
-            best = best.sort_values(["q", "score", key], ascending=[True, False, True], kind="stable")
-            if len(keep) > 1:
-                best = best.groupby(["q", keep[1]], sort=False).head(1)
-            best = best.groupby("q", sort=False).head(top_k)
-        if best is not None:
-            yield pd.DataFrame({"question_id": [names[i] for i in best["q"]], **{c: best[c].to_numpy() for c in keep},
-                                "score": best["score"].to_numpy()})
-    return run
+                scores[lacks[w], i] = -np.inf
+    # A row below the top_k-th best (of the groups' best) of its batch cannot count; equal scores stay for the sort.
+    heads = scores
+    if len(keep) > 1:
+        code = pd.factorize(pdf[keep[1]])[0]
+        order = np.argsort(code, kind="stable")
+        heads = np.maximum.reduceat(scores[order], np.searchsorted(code[order], np.arange(code.max() + 1)), axis=0)
+    enough = scores > -np.inf
+    if len(heads) > top_k:
+        enough &= scores >= np.partition(heads, len(heads) - top_k, axis=0)[len(heads) - top_k]
+    query, row = np.nonzero(enough.T)
+    found = pd.DataFrame({"q": query, "score": scores[row, query], **{c: pdf[c].to_numpy()[row] for c in keep}})
+    best = found if best is None else pd.concat([best, found])
+    best = best.sort_values(["q", "score", key], ascending=[True, False, True], kind="stable")
+    if len(keep) > 1:
+        best = best.groupby(["q", keep[1]], sort=False).head(1)
+    return best.groupby("q", sort=False).head(top_k)
+
+
+def _local_topk(batches: Iterable[pd.DataFrame], blocks: list[tuple[list, np.ndarray, list | None]], keep: list[str], top_k: int) -> Iterator[pd.DataFrame]:
+    """Best rows of one task for all blocks of queries, kept up to date batch by batch."""
+    best: list[pd.DataFrame | None] = [None] * len(blocks)
+    for pdf in batches:
+        if len(pdf):
+            best = [_best_rows(held, pdf, *one, keep, top_k) for held, one in zip(best, blocks, strict=True)]
+    for held, (names, _, _) in zip(best, blocks, strict=True):
+        if held is not None:
+            yield pd.DataFrame({"question_id": [names[i] for i in held["q"]], **{c: held[c].to_numpy() for c in keep}, "score": held["score"].to_numpy()})
 
 
 def dense_search(chunks: DataFrame, index: DataFrame, queries: DataFrame, *, top_k: int = 10, source_type: str | None = None,

@@ -94,6 +94,9 @@ def test_dense_and_hybrid(spark, chunks, questions):
         assert [r.chunk_id for r in sorted((r for r in found if r.question_id == q), key=lambda r: r["rank"])] == want
     blocks = retrieval.dense_topk(index, questions.select("question_id", retrieval.hashing_embedding(F.col("question")).alias("vector")), 4, block=1)
     whole = retrieval.dense_topk(index, questions.select("question_id", retrieval.hashing_embedding(F.col("question")).alias("vector")), 4)
+    grid = retrieval.dense_topk(index, questions.select("question_id", retrieval.hashing_embedding(F.col("question")).alias("vector")), 4, query_bytes=4_000)
+    assert sorted(map(tuple, grid.collect())) == sorted(map(tuple, whole.collect()))
+    assert "FlatMapCoGroupsInPandas" in grid._jdf.queryExecution().toString()
     assert blocks.exceptAll(whole).isEmpty() and blocks.count() == whole.count()
     s = spark.createDataFrame([("q", "a", 1), ("q", "b", 2)], "question_id string, retrieval_document_id string, rank int")
     d = spark.createDataFrame([("q", "c", 1), ("q", "b", 2)], "question_id string, retrieval_document_id string, rank int")
