@@ -139,7 +139,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
 
         for batch in batches:
             keys = batch.column("doc_id")
-            for row, end, texts in steps(batch.column("text"), 8_000_000):
+            for row, end, texts in steps(batch.column("text")):
                 if stream is None:
                     path = task_file(folder, ".s8b")
                     fs, place = resolved(path)
@@ -153,6 +153,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
                 doc_ids, nulls = part.fill_null(0).to_numpy(zero_copy_only=False), part.is_null().to_numpy(zero_copy_only=False)
                 edge = np.concatenate([[0], np.cumsum(counts)])
                 at = 0
+                del ids
                 while at < len(texts):  # whole documents, BLOCK_IDS ids or a little more
                     stop = min(len(texts), int(np.searchsorted(edge, edge[at] + BLOCK_IDS)))
                     stop = max(stop, at + 1)

@@ -28,19 +28,22 @@ def _byte_table(seed: int) -> np.ndarray:
     return _splitmix(np.arange(256, dtype=np.uint64) + np.uint64(1000 * (seed + 1)))
 
 
+#: Powers that are kept between steps; those of a longer text are made for it and given back.
+KEPT_POWERS = 1 << 21
 _POWERS: dict[int, np.ndarray] = {}
 BASES = (0x9E6C63D0676A9A99, 0xD6E8FEB86659FD93)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """base ** i mod 2 ** 64 for i < n; grown by doubling and kept."""
+    """base ** i mod 2 ** 64 for i < n; as many as a step needs are kept."""
     got = _POWERS.get(base)
     if got is None or len(got) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = n if n > KEPT_POWERS else min(KEPT_POWERS, 1 << max(16, (n - 1).bit_length()))
         got = np.full(size, base, dtype=np.uint64)
         got[0] = 1
-        got = np.multiply.accumulate(got)
-        _POWERS[base] = got
+        np.multiply.accumulate(got, out=got)
+        if size <= KEPT_POWERS:
+            _POWERS[base] = got
     return got[:n]
 
 
