@@ -13,6 +13,9 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 CLOSES_P = BLOCK - {"body", "head", "html"}
 LEFT_OUT = frozenset("aside button datalist dialog footer form header input label menu nav select textarea head".split())
 WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus foot footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related replies share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split())
+# Parts of class names and ids that say nothing of the content.
+NEUTRAL = frozenset("area article bar block bottom box column container content entry fixed float global group holder home inner item items js layout left links list main mobile module outer page panel post primary reader region right row section secondary site slot sticky sub tertiary top unit user wrap wrapper".split())
+COMMENTS = frozenset("comment comments disqus replies".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -26,15 +29,21 @@ class Element:
     step: str
     left_out: bool
     main: bool
+    #: named by a class or an id, or a form: what a whole page may stand in as well
+    loose: bool = False
+    comments: bool = False
+    number: int = 0
 
 
 @dataclass
 class Block:
     path: tuple[str, ...]
     text: str
-    left_out: bool
+    #: numbers of the elements around it that are named as no main text
+    named: tuple[int, ...]
     in_main: bool
     linked: int = 0
+    left_out: bool = False
 
 
 @dataclass
@@ -47,10 +56,13 @@ class Page:
 def _element(name: str, attributes: str) -> Element:
     got = {m[1].lower(): next(v for v in m.groups()[1:] if v is not None) for m in ATTRIBUTE.finditer(attributes)} if attributes and attributes.strip() else {}
     classes, own_id, role = got.get("class", ""), got.get("id", ""), got.get("role", "").lower()
-    words = {w.lower() for w in PARTS.findall(f"{classes} {own_id}")} if got else set()
+    names = [{w.lower() for w in PARTS.findall(c)} - NEUTRAL for c in (*classes.split(), own_id)] if got else []
+    told = {w for parts in names if parts and parts <= WORDS for w in parts}  # every part of a name says so, but for the neutral ones
     step = name + "".join("." + re.sub(r"\d+", "#", c) for c in sorted(classes.split())) + ("#" + re.sub(r"\d+", "#", own_id) if own_id else "")
     main = name in ("article", "main") or role in ("main", "article")
-    return Element(name, step, name in LEFT_OUT or role in ROLES or (bool(words & WORDS) and name not in ("html", "body", "article", "main")), main)
+    firm = (name in LEFT_OUT and name != "form") or role in ROLES
+    loose = not firm and (name == "form" or (bool(told) and name not in ("html", "body", "article", "main")))
+    return Element(name, step, firm or loose, main, loose, bool(told & COMMENTS))
 
 
 def parse(source: str) -> Page:
@@ -58,20 +70,23 @@ def parse(source: str) -> Page:
     page, stack, parts = Page(), [], []
     state = {"linked": 0}
     at, n = 0, len(source)
-    left_out = in_main = in_link = 0
+    in_main = in_link = 0
+    around: list[Element] = []  # the elements around the place that are named as no main text
+    seen: list[Element] = []
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                page.blocks.append(Block(tuple(e.step for e in stack), text, left_out > 0, in_main > 0, state["linked"]))
+                page.blocks.append(Block(tuple(e.step for e in stack), text, tuple(e.number for e in around), in_main > 0, state["linked"]))
             parts.clear()
             state["linked"] = 0
 
     def pop() -> None:
-        nonlocal left_out, in_main, in_link
+        nonlocal in_main, in_link
         e = stack.pop()
-        left_out -= e.left_out
+        if e.left_out:
+            around.pop()
         in_main -= e.main
         in_link -= e.name == "a"
 
@@ -122,7 +137,10 @@ def parse(source: str) -> Page:
                         break
         e = _element(name, attributes)
         stack.append(e)
-        left_out += e.left_out
+        if e.left_out:
+            e.number = len(seen)
+            seen.append(e)
+            around.append(e)
         in_main += e.main
         in_link += name == "a"
         if name in BLOCK:
@@ -131,4 +149,23 @@ def parse(source: str) -> Page:
         if match[3] is not None and attributes.endswith("/") and name not in BLOCK:
             pop()
     flush()
+    _judge(page, seen)
     return page
+
+
+def _judge(page: Page, named: list[Element]) -> None:
+    """Mark the blocks in elements named as no main text.
+
+    A name does not count where the element holds most of the page's article (comments excepted), or, in a page without one, where a class, an id or a form
+    holds most of all text: then it is around the page and not beside its text.
+    """
+    held, main, total = [0] * len(named), [0] * len(named), [0, 0]
+    for block in page.blocks:
+        total[0] += len(block.text)
+        total[1] += len(block.text) * block.in_main
+        for number in block.named:
+            held[number] += len(block.text)
+            main[number] += len(block.text) * block.in_main
+    void = {e.number for e in named if not e.comments and (2 * main[e.number] > total[1] if total[1] else e.loose and 2 * held[e.number] > total[0])}
+    for block in page.blocks:
+        block.left_out = any(number not in void for number in block.named)

@@ -7,12 +7,12 @@ and a share ``least_share`` of the host's, equally often in each. The valid clas
 around it does, up to the root. A slot is the text of a template token outside of the template tokens within it, so elements that come and go or repeat
 unevenly are text of the slot they stand in.
 
-A slot whose text is the same in nearly all pages of the host (a share ``nearly``) is template text and dropped, inside an article as well. Only where
-such slots hold more text than all others the pages are variants of one page, and they are kept. The names of elements are looked at afterwards: what lies in an
-element that is named as menu, header, footer, sidebar, notice, advert, form or comments is dropped, and of a page with an article (or main) element what
-lies outside. In other pages slots that are mostly links are dropped, and so are elements outside of the template that are mostly links in the page itself.
-All other slots are the text. A page without a template of its host, because the host has too few pages, is judged by its own elements in the same way. A rule
-that would leave nothing of a page is not applied to it.
+A slot whose text is the same in nearly all pages of the host (a share ``nearly``) is template text and dropped, inside an article as well. Only on a
+host on which no slot varies it cannot be told from the text. The names of elements are looked at afterwards: what lies in an element that is named as menu, header,
+footer, sidebar, notice, advert, form or comments is dropped, unless it is around the article or around most of the page. Of a page with an article (or main) element
+what lies outside is dropped, and an article is kept even if it is the same on all pages. In other pages slots that are mostly links are dropped, and so are elements
+outside of the template that are mostly links in the page itself. All other slots are the text; it may be empty. A page without a template of its host, because the host has
+too few pages, is judged by its own elements in the same way.
 
 A host's template holds at most (elements of a page / ``least_share``) tokens, however many pages the host has. A page is read twice, where it lies;
 between the two its tokens are shuffled as numbers, once for pages of equal html, and the templates are joined to both by host.
@@ -90,9 +90,8 @@ def page_tokens(page: Page) -> list[tuple[int, int, int, int, int, int]]:
     """(path, parent, times, chars, linked, text_hash) of each token and of the root, with the text that no token within it holds."""
     held = defaultdict(lambda: [0, 0, 0])
     for block in page.blocks:
-        if not block.left_out:
-            got = held[_around(block.path, page.opened)]
-            got[0], got[1], got[2] = got[0] + len(block.text), got[1] + block.linked, (got[2] + hash_text(block.text)) & (1 << 63) - 1
+        got = held[_around(block.path, page.opened)]
+        got[0], got[1], got[2] = got[0] + len(block.text), got[1] + block.linked, (got[2] + hash_text(block.text)) & (1 << 63) - 1
     rows = [(path_id(path), path_id(_around(path[:-1], page.opened)), times, *held.get(path, (0, 0, 0))) for path, times in page.opened.items()]
     return [*rows, (ROOT, ROOT, 0, *held[()])] if () in held else rows
 
@@ -157,8 +156,9 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
     texts = held.groupBy("host", "slot", "text_hash").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
     slots = texts.groupBy("host", "slot").agg(F.max("n").alias("same"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")).join(template.select("host", "pages"), "host")
     judged = slots.select("host", "slot", "chars", (F.col("same") >= F.col("pages") * nearly).alias("constant"), (F.col("linked") * 2 > F.col("chars")).alias("links"))
+    varies = F.bool_or(~F.col("constant"))
     named = judged.groupBy("host").agg(
-        F.when(F.sum(F.when(F.col("constant"), F.col("chars")).otherwise(-F.col("chars"))) <= 0, F.collect_list(F.when(F.col("constant"), F.col("slot")))).alias("constant"), F.collect_list(F.when(F.col("links"), F.col("slot"))).alias("links"))
+        F.when(varies, F.collect_list(F.when(F.col("constant"), F.col("slot")))).alias("constant"), F.collect_list(F.when(F.col("links"), F.col("slot"))).alias("links"))
     return template.join(named, "host", "left").select("host", "template", "constant", "links")
 
 
@@ -174,14 +174,12 @@ def _unlinked(blocks: list[Block], slots: list[int], template: Template) -> list
 
 def main_text(page: Page, template: Template) -> str:
     """The main text: the blocks of the slots that are neither template text nor, outside of an article, links."""
-    blocks = [b for b in page.blocks if not b.left_out]
-    known = {path[:k] for path in {b.path for b in blocks} for k in range(1, len(path) + 1) if path_id(path[:k]) in template.tokens} if template.tokens else set()
-    slots = [path_id(_around(b.path, known)) for b in blocks]
-    inside = [(b, slot) for b, slot in zip(blocks, slots, strict=True) if b.in_main] or list(zip(blocks, slots, strict=True))
-    kept = [(b, slot) for b, slot in inside if slot not in template.constant] or inside
-    found = [b for b, _ in kept]
-    if found and not found[0].in_main:
-        found = _unlinked(found, [slot for _, slot in kept], template) or found
+    known = {path[:k] for path in {b.path for b in page.blocks} for k in range(1, len(path) + 1) if path_id(path[:k]) in template.tokens} if template.tokens else set()
+    slots = [path_id(_around(b.path, known)) for b in page.blocks]
+    named = [(b, slot) for b, slot in zip(page.blocks, slots, strict=True) if not b.left_out]
+    own = [(b, slot) for b, slot in named if slot not in template.constant]
+    article = [(b, slot) for b, slot in own if b.in_main] or [(b, slot) for b, slot in named if b.in_main]
+    found = [b for b, _ in article] or _unlinked([b for b, _ in own], [slot for _, slot in own], template)
     return "\n\n".join(b.text for b in found)
 
 
