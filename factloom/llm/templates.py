@@ -8,9 +8,10 @@ around it does, up to the root. A slot is the text of a template token outside o
 unevenly are text of the slot they stand in.
 
 A slot whose text is the same in nearly all pages of the host (a share ``nearly``) is template text and dropped, inside an article as well. Only on a
-host on which no slot varies it cannot be told from the text. The names of elements are looked at afterwards: what lies in an element that is named as menu, header,
-footer, sidebar, notice, advert, form or comments is dropped, unless it is around the article or around most of the page. Of a page with an article (or main) element
-what lies outside is dropped, and an article is kept even if it is the same on all pages. In other pages slots that are mostly links are dropped, and so are elements
+host on which no slot varies it cannot be told from the text, and where such slots hold more text than all others it takes ``SURE`` times ``least_pages`` pages:
+fewer may be variants of one page. Elements count for the template whatever their names, but what lies in an element that is named as menu, header, footer, sidebar,
+notice, advert, form or comments is neither compared nor kept, unless the element is around the article or around most of the page. Of a page with an article (or main)
+element what lies outside is dropped, and an article is kept even if it is the same on all pages. In other pages slots that are mostly links are dropped, and so are elements
 outside of the template that are mostly links in the page itself. All other slots are the text; it may be empty. A page without a template of its host, because the host has
 too few pages, is judged by its own elements in the same way.
 
@@ -41,6 +42,8 @@ LEAST_PAGES = 3
 LEAST_SHARE = 0.3
 LEAST_TOKENS = 2
 NEARLY = 0.9
+#: So many times ``least_pages`` pages tell template text even where it is more than all other text.
+SURE = 2
 ROOT = 0
 
 TOKEN = pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("times", pa.int32()), ("chars", pa.int64()), ("linked", pa.int64()), ("text_hash", pa.int64())])
@@ -90,8 +93,9 @@ def page_tokens(page: Page) -> list[tuple[int, int, int, int, int, int]]:
     """(path, parent, times, chars, linked, text_hash) of each token and of the root, with the text that no token within it holds."""
     held = defaultdict(lambda: [0, 0, 0])
     for block in page.blocks:
-        got = held[_around(block.path, page.opened)]
-        got[0], got[1], got[2] = got[0] + len(block.text), got[1] + block.linked, (got[2] + hash_text(block.text)) & (1 << 63) - 1
+        if not block.left_out:
+            got = held[_around(block.path, page.opened)]
+            got[0], got[1], got[2] = got[0] + len(block.text), got[1] + block.linked, (got[2] + hash_text(block.text)) & (1 << 63) - 1
     rows = [(path_id(path), path_id(_around(path[:-1], page.opened)), times, *held.get(path, (0, 0, 0))) for path, times in page.opened.items()]
     return [*rows, (ROOT, ROOT, 0, *held[()])] if () in held else rows
 
@@ -155,10 +159,11 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
     held = contents.join(template, "host").select("host", "tokens", "template").mapInArrow(_slots, "host string, slot long, chars long, linked long, text_hash long")
     texts = held.groupBy("host", "slot", "text_hash").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
     slots = texts.groupBy("host", "slot").agg(F.max("n").alias("same"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")).join(template.select("host", "pages"), "host")
-    judged = slots.select("host", "slot", "chars", (F.col("same") >= F.col("pages") * nearly).alias("constant"), (F.col("linked") * 2 > F.col("chars")).alias("links"))
-    varies = F.bool_or(~F.col("constant"))
+    judged = slots.select("host", "pages", "slot", "chars", (F.col("same") >= F.col("pages") * nearly).alias("constant"), (F.col("linked") * 2 > F.col("chars")).alias("links"))
+    more = F.sum(F.when(F.col("constant"), F.col("chars")).otherwise(-F.col("chars"))) > 0
+    told = F.bool_or(~F.col("constant")) & (~more | (F.max("pages") >= SURE * least_pages))
     named = judged.groupBy("host").agg(
-        F.when(varies, F.collect_list(F.when(F.col("constant"), F.col("slot")))).alias("constant"), F.collect_list(F.when(F.col("links"), F.col("slot"))).alias("links"))
+        F.when(told, F.collect_list(F.when(F.col("constant"), F.col("slot")))).alias("constant"), F.collect_list(F.when(F.col("links"), F.col("slot"))).alias("links"))
     return template.join(named, "host", "left").select("host", "template", "constant", "links")
 
 

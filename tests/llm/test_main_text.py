@@ -82,7 +82,9 @@ def plain_templates(rows, least_pages=templates.LEAST_PAGES, least_share=templat
             for path, texts in slots.items():
                 held[path].append(tuple(sorted(texts)))
         constant = {s for s, texts in held.items() if max(texts.count(x) for x in set(texts)) >= nearly * len(pages)}
-        out[host] = ({templates.path_id(p) for p in nested}, {templates.path_id(s) for s in constant} if constant != set(held) else set())
+        chars = lambda slots: sum(len(t) for s in slots for page in held[s] for t in page)
+        told = constant != set(held) and (len(pages) >= 2 * least_pages or chars(constant) <= chars(set(held) - constant))
+        out[host] = ({templates.path_id(p) for p in nested}, {templates.path_id(s) for s in constant} if told else set())
     return out
 
 
