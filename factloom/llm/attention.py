@@ -5,13 +5,12 @@ repetition and as hashed counts of word shapes and endings; a learned layer ``h
 ``a = softmax(w . (tanh(hV) * sigmoid(hU)))`` weighs the passages, and the document's score is ``sigmoid(c . sum(a h) + d)``. Only
 documents carry labels; the passages' weights are learned from them.
 
-The model is fitted on at most ``max_documents`` labelled documents (chosen by a hash, with at most ``max_passages`` passages spread
-evenly over each) and broadcast; its size is fixed. Scoring reads every passage of every text, in parts of bounded size.
+The model is fitted on all passages of at most ``max_documents`` labelled documents (chosen by a hash) and broadcast; its size is fixed. Scoring reads every passage of every text, in parts of bounded size.
 
 Cases: a null or empty text is a bag of one passage without words and gets a score like any other; labels other than 0 and 1 and null
 doc_ids are not learned from; a doc_id that is labelled twice is learned twice; with no labelled rows or one class only, every score is
 the smoothed share of label 1; an empty table gives no rows; other columns are handed on untouched, and an existing column named like
-an output is replaced.
+an output is replaced unless another name is asked for.
 """
 
 from __future__ import annotations
@@ -146,7 +145,7 @@ def _gradients(p, x, edge, y, weight, decay):
 
 
 def train(features: np.ndarray, edge: np.ndarray, labels: np.ndarray, hidden: int = 24, gates: int = 12, rounds: int = 40, batch: int = 256, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Model:
-    """Adam over shuffled batches of documents; both classes weigh alike, and the scores are set back to the labels' own balance."""
+    """Adam over shuffled batches of documents; both classes weigh alike, and the scores are set back half way to the labels' own balance."""
     ones = float(labels.sum())
     prior = (ones + 1) / (len(labels) + 2)
     if ones in (0.0, float(len(labels))):
@@ -173,31 +172,30 @@ def train(features: np.ndarray, edge: np.ndarray, labels: np.ndarray, hidden: in
     return Model(prior, {k: v.astype(np.float32) for k, v in p.items()}, mean, scale)
 
 
-def _bags(max_passages: int):
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, end, texts in steps(batch.column("text"), 1_000_000):
-                features, edge = passages(texts)
-                parts = []
-                for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                    chosen = features[a:b] if b - a <= max_passages else features[np.linspace(a, b - 1, max_passages).astype(np.int64)]
-                    parts.append(np.ascontiguousarray(chosen, dtype="<f4").tobytes())
-                yield pa.RecordBatch.from_pydict({"quality": batch.column("quality").slice(row, end - row), "bag": pa.array(parts, pa.binary())})
-
-    return encode
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row, end, texts in steps(batch.column("text"), 400_000):
+            features, edge = passages(texts)
+            parts = [np.ascontiguousarray(features[a:b], dtype="<f4").tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+            part = batch.slice(row, end - row)
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "text_key": part.column("text_key"), "quality": part.column("quality"), "bag": pa.array(parts, pa.binary())})
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 4_000, max_passages: int = 64, label: str = "quality") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 4_000, label: str = "quality") -> Model:
     """A model from a bounded sample of the labelled documents.
 
-    ``max_documents`` labelled rows with the smallest hashes of their doc_id are taken, then their documents are encoded on the executors;
-    the driver receives ``max_documents * max_passages`` passages of ``FEATURES`` numbers at most.
+    ``max_documents`` labelled rows with the smallest hashes of their doc_id are taken, then as many of their documents, in the order of that hash and of
+    the text's; equal rows count once. Each is encoded whole on the executors, and the driver receives their passages.
     """
     usable = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)")
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_documents)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("quality", "text")
-    rows = chosen.mapInArrow(_bags(max_passages), "quality int, bag binary").limit(2 * max_documents).collect()
-    rows = sorted((int(r.quality), bytes(r.bag)) for r in rows)
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    named = keyed.select("doc_id", "text_key").join(F.broadcast(sample), "doc_id").distinct()
+    chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id", "text_key", "quality").limit(max_documents)
+    met = keyed.join(F.broadcast(chosen), ["doc_id", "text_key"]).select("doc_id", "text_key", "quality", "text")
+    bags = met.mapInArrow(_bags, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, quality int, bag binary")
+    once = bags.groupBy("doc_id", "text_key", "quality").agg(F.min("bag").alias("bag"))
+    rows = sorted((int(r.quality), bytes(r.bag)) for r in once.select("quality", "bag").collect())  # max_documents at most
     if not rows:
         return Model(0.5)
     bags = [np.frombuffer(b, dtype="<f4").reshape(-1, FEATURES) for _, b in rows]
@@ -205,17 +203,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 4_000, max_pass
     return train(np.concatenate(bags), edge, np.array([q for q, _ in rows], dtype=np.float64))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """All rows and columns of the documents with score and predicted (1 if score >= threshold, else 0)."""
-    kept = docs.drop("score", "predicted")
+def score(docs: DataFrame, model: Model, threshold: float = 0.3, name: str = "score", predicted: str = "predicted") -> DataFrame:
+    """All rows and columns of the documents with score and predicted (1 if score >= threshold, else 0), named as asked."""
+    kept = docs.drop(name, predicted)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*kept.schema.fields, StructField("score", DoubleType())])
+    schema = StructType([*kept.schema.fields, StructField(name, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, texts in steps(batch.column("text"), 1_000_000):
+            for row, end, texts in steps(batch.column("text"), 400_000):
                 values = shared.value.score(*passages(texts)).astype(np.float64)
                 part = batch.slice(row, end - row)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values)], names=[*batch.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values)], names=[*batch.schema.names, name])
 
-    return kept.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return kept.mapInArrow(run, schema).withColumn(predicted, (F.col(name) >= threshold).cast("int"))

@@ -37,3 +37,11 @@ def task_file(folder: str, suffix: str) -> str:
 def one_task_each(manifest: DataFrame, files: int, key: str) -> DataFrame:
     """The manifest with about one file for each task."""
     return manifest.repartitionByRange(max(1, files), key)
+
+
+def free_name(wanted: str, taken: list[str]) -> str:
+    """The name with as many underscores in front as keep it from clashing with others, whatever their case."""
+    lower = {t.lower() for t in taken}
+    while wanted.lower() in lower:
+        wanted = f"_{wanted}"
+    return wanted

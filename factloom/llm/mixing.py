@@ -25,6 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.llm.files import free_name
 from factloom.operators.stages import written
 
 STEPS = 20
@@ -151,9 +152,10 @@ def mixed(docs: DataFrame, budget: int | None = None, max_repeats: float | None
     slim = written(counted(docs))
     weighed = weights(slim, budget, max_repeats, min_entropy)
     partial = kept_rows(plan(slim, weighed, seed)).where("pass = passes AND rest > 0").groupBy("source").agg(F.max("place_key").alias("__bound"))
-    bounds = written(weighed.join(partial, "source", "left").select(F.col("source").alias("__source"), F.col("passes").alias("__passes"), "__bound"))
-    named = docs.withColumn("__name", F.coalesce(F.col("source").cast("string"), F.lit(NONE)))
-    met = named.join(bounds, F.col("__name") == F.col("__source"), "left")
-    key = _hash(F.lit(str(seed)), F.col("__passes").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    times = F.when(F.col("__passes").isNull(), F.lit(1)).otherwise(F.col("__passes") + F.coalesce((key <= F.col("__bound")).cast("long"), F.lit(0))).cast("int")
-    return met.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    source, passes, bound, name, copy = (free_name(f"__{c}", docs.columns) for c in ("source", "passes", "bound", "name", "copy"))
+    bounds = written(weighed.join(partial, "source", "left").select(F.col("source").alias(source), F.col("passes").alias(passes), F.col("__bound").alias(bound)))
+    named = docs.withColumn(name, F.coalesce(F.col("source").cast("string"), F.lit(NONE)))
+    met = named.join(bounds, F.col(name) == F.col(source), "left")
+    key = _hash(F.lit(str(seed)), F.col(passes).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    times = F.when(F.col(passes).isNull(), F.lit(1)).otherwise(F.col(passes) + F.coalesce((key <= F.col(bound)).cast("long"), F.lit(0))).cast("int")
+    return met.withColumn(copy, F.explode(F.array_repeat(F.lit(0), times))).select(*[F.col(f"`{c}`") for c in docs.columns])

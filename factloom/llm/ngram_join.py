@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.components import components
 from factloom.llm.tokens import Texts, _splitmix, byte_runs, run_hashes, steps
+from factloom.llm.files import free_name
 from factloom.operators.stages import written
 
 CHUNK = 96
@@ -73,7 +74,7 @@ def _signer(n: int, bands: int, rows: int):
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, texts in steps(batch.column("text")):
+            for row, end, texts in steps(batch.column("text"), 1_000_000):
                 hashes, edge = shingle_sets(texts, n)
                 filled = np.flatnonzero(np.diff(edge))
                 begins = edge[filled]
@@ -100,7 +101,7 @@ def _signer(n: int, bands: int, rows: int):
 def _setter(n: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, texts in steps(batch.column("text")):
+            for row, end, texts in steps(batch.column("text"), 1_000_000):
                 hashes, edge = shingle_sets(texts, n)
                 data = [hashes[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
                 cut = [batch.column(c).slice(row, end - row) for c in ("node", "group_id", "copies", "chunks")]
@@ -211,7 +212,7 @@ def _verified(texts: DataFrame, sets: DataFrame, groups: DataFrame, n: int, thre
 
 def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
     """The first document of each class by doc_id, and all without words; rows equal in doc_id and text count once. Columns stay."""
-    keys = ["__doc_key", "__text_key"]
+    keys = [free_name(k, docs.columns) for k in ("__doc_key", "__text_key")]
     keyed = docs.withColumn(keys[0], F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(keys[1], F.xxhash64("text"))
     dropped = similar(docs, **parameters).where("NOT kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias(keys[0]), F.col("text_key").alias(keys[1]))
     return keyed.join(dropped, keys, "left_anti").dropDuplicates(keys).drop(*keys)

@@ -227,3 +227,32 @@ def test_nodes_wait_for_children_in_other_ranges(spark):
     assert sum(r.where(F.col("kind") == merkle.ROOT).count() for r, _ in rounds) == 1
     runs = sum(r.where(F.col("kind") == merkle.RUN).count() for r, _ in rounds)
     assert runs == 1_000 + 334 + 112 + 38 + 13 + 5 + 2 + 1
+
+
+def test_bounds_of_rules_follow_their_sources(spark):
+    """Sources of different texts get different bounds, and a text of single letters is an outlier on the low side."""
+    from factloom.llm import quality_rules
+
+    rng = random.Random(6)
+    word = lambda low, high: "".join(rng.choices("abcdefgh", k=rng.randrange(low, high)))
+    rows = [(k, "en", "short", " ".join(word(3, 6) for _ in range(40))) for k in range(120)] + [(200 + k, "en", "long", " ".join(word(7, 12) for _ in range(40))) for k in range(120)]
+    rows += [(400 + k, "de", "marks", " ".join(word(3, 6) + "#" * (k % 3) for _ in range(40))) for k in range(120)]
+    rows += [(900, "en", "short", " ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=40))), (901, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    judged = {r.doc_id: r for r in quality_rules.judged(docs).collect()}
+    assert not judged[900].kept and not judged[900].base_failed and not judged[901].kept
+    assert judged[0].high_word_length == judged[200].high_word_length > judged[400].high_word_length  # the language's own is wider than that of its short source
+    assert judged[400].high_symbols > judged[0].high_symbols == 0
+    assert sum(r.kept for r in judged.values()) >= 350
+
+
+def test_long_labelled_documents_are_learned_whole(spark):
+    from factloom.llm import attention
+
+    text = " ".join(f"word{k}" for k in range(96 * 70))
+    docs = spark.createDataFrame([(1, text, "x"), (1, text, "x"), (2, "a plain line of text", "y"), (3, None, "z")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (1, 1)], "doc_id long, quality int")
+    model, again = attention.fit(docs, labels), attention.fit(docs.repartition(3), labels)
+    assert all(np.array_equal(model.weights[k], again.weights[k]) for k in model.weights) if hasattr(model, "weights") else True
+    scored = attention.score(docs, model, name="_score", predicted="_predicted")
+    assert scored.columns == ["doc_id", "text", "score", "_score", "_predicted"] and scored.where("score IN ('x', 'y', 'z')").count() == 4
