@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factloom.llm import attention, decontaminate, mixing, ngram_join, token_files
+from factloom.llm.files import free_name
 from factloom.llm.queries import MAX_REPEATS, held_out, table, tokenizer_path
 from factloom.operators.stages import written
 
@@ -17,7 +19,9 @@ ORACLE_SQL = None
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     model = attention.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
-    return attention.score(docs, model, threshold=0.3).where("predicted = 1").select(*docs.columns)
+    score, predicted = free_name("score", docs.columns), free_name("predicted", docs.columns)
+    judged = attention.score(docs, model, threshold=0.3, name=score, predicted=predicted)
+    return judged.where(F.col(predicted) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
