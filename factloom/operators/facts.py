@@ -15,11 +15,9 @@ A value that returns after a gap (A, B, A) opens a new fact and a new evidence i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -326,97 +324,67 @@ def _evidence(values: DataFrame, block: int, stored: DataFrame | None = None) ->
 
 # ---------------------------------------------------------------- change events
 
-_EVENT_SCHEMA = ("subject_type string, subject_id string, predicate string, source string, source_record_id string, "
-                 "snapshot_id string, observed_at string, seq bigint, event_type string, old_value_json string, "
-                 "new_value_json string, details_json string")
-
-
-def _event_rows(batches: Iterator[pd.DataFrame], rules: dict[str, tuple[str, list[str]]]) -> Iterator[pd.DataFrame]:
-    """Walk sorted steps, keep the open values of the current block of one field, and write the events of each step."""
-    group, held = None, {}
-
-    def listed(predicate: str) -> tuple[list[str], bool]:
-        how, preferred = rules[predicate]
-        live = {v: [s for s, n in by.items() if n > 0] for v, by in held.items()}
-        live = {v: s for v, s in live.items() if s}
-        if how == "authoritative_first" and live:
-            rank = {s: i for i, s in enumerate(preferred)}
-            best = {v: min(rank.get(s, len(preferred) + 1) for s in sources) for v, sources in live.items()}
-            top = min(best.values())
-            live = {v: s for v, s in live.items() if best[v] == top}
-        return sorted(live), how == "flag_conflict" and len(live) > 1
-
-    def shift(value: str, source: str, by: int) -> None:
-        sources = held.setdefault(value, {})
-        sources[source] = sources.get(source, 0) + by
-        if sources[source] == 0:
-            del sources[source]
-            if not sources:
-                del held[value]
-
-    def text(values: list[str]) -> str:
-        return "[" + ",".join(values) + "]"
-
-    for pdf in batches:
-        out = []
-        for row in pdf.itertuples(index=False):
-            key = (row.subject_type, row.subject_id, row.predicate, row.fold_block)
-            if key != group:
-                group, held = key, {}
-            if row.carried:
-                for value in row.new_values:
-                    shift(value, row.source, 1)
-                continue
-            old, was_conflict = listed(row.predicate)
-            before, after = sorted(set(row.old_values)), sorted(set(row.new_values))
-            for value in before:
-                shift(value, row.source, -1)
-            for value in after:
-                shift(value, row.source, 1)
-            new, is_conflict = listed(row.predicate)
-            kinds = []
-            if len(row.old_values) and before != after:
-                kinds.append(("value_changed", '{"new_source_values":' + text(after) + ',"old_source_values":' + text(before) + "}"))
-            if was_conflict != is_conflict:
-                kinds.append(("fact.conflict_detected" if is_conflict else "fact.conflict_resolved",
-                              '{"conflict_resolution":"flag_conflict"}'))
-            for kind, details in kinds:
-                out.append((row.subject_type, row.subject_id, row.predicate, row.source, row.source_record_id,
-                            row.snapshot_id, row.observed_at, row.seq, kind, text(old), text(new), details))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _EVENT_SCHEMA.split(", ")])
-
-
 def change_events(steps: DataFrame, policy: Policy, block: int = scan.DEFAULT_BLOCK, fold_block: int = FOLD_BLOCK) -> DataFrame:
-    """Events of all steps.
+    """Events of all steps, by a sweep over the intervals in which values are open.
 
-    The list of open values before and after a step needs a walk along the steps of the field. Steps are numbered per
-    field and walked in blocks of ``fold_block``; a block starts from the values still supported at its beginning, so
-    blocks of a hot field run in different tasks.
+    A step adds +1 and -1 to the support of the values it brings and takes back; running sums along ``seq`` give the points where a value opens
+    or closes, and of these the number of open values of a field. So the steps with an event are known from sums alone. The open values before
+    and after them are listed last: events of a field are numbered, an interval becomes the range of numbers that lie in it, and only these
+    ranges are written out, cut at multiples of ``fold_block``. The rows are those of the lists in the result; intervals without events cost none.
+
+    Where the best source decides, a value has one interval per rank of its sources, and a list keeps the values of its best rank.
     """
-    slim = steps.select(*RECORD, "seq", "observed_at", "snapshot_id",
-                        F.transform("before", lambda e: e["value_json"]).alias("old_values"),
-                        F.transform("evidence", lambda e: e["value_json"]).alias("new_values"))
-    slim = scan.running_sum(slim, KEY, "seq", {"number": F.lit(1)}, block)
-    slim = written(slim.withColumn("fold_block", F.floor((F.col("number") - 1) / F.lit(fold_block)).cast("bigint")))
-
-    # Values of a source record stay supported until its next step. Those that last beyond their block are handed on to
-    # the later blocks of the field, up to the block of that next step.
-    following = scan.neighbour(slim, RECORD, "seq", {"until_block": "fold_block"}, direction="next", block=block)
-    blocks = slim.groupBy(*KEY).agg(F.max("fold_block").alias("last_block")).filter("last_block > 0")
-    lasting = following.join(blocks, KEY).withColumn("until_block", F.coalesce("until_block", "last_block")).filter(
-        (F.size("new_values") > 0) & (F.col("until_block") > F.col("fold_block")))
-    carried = lasting.select(
-        *RECORD, F.lit(-1).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("observed_at"),
-        F.lit(None).cast("string").alias("snapshot_id"), F.array().cast("array<string>").alias("old_values"),
-        F.array_distinct("new_values").alias("new_values"),
-        F.explode(F.sequence(F.col("fold_block") + 1, F.col("until_block"))).alias("fold_block"), F.lit(True).alias("carried"))
-    rows = slim.drop("number").withColumn("carried", F.lit(False)).unionByName(carried)
-
-    rules = {p: (f["conflict_resolution"], list(f["preferred_sources"])) for p, f in policy.fields.items()}
-    walked = (rows.repartition(*KEY, "fold_block").sortWithinPartitions(*KEY, "fold_block", F.desc("carried"), "seq")
-              .mapInPandas(lambda it: _event_rows(it, rules), _EVENT_SCHEMA))
+    how = policy.resolution(F.col("predicate"))
+    texts = lambda c: F.array_sort(F.array_distinct(F.transform(c, lambda e: e["value_json"])))
+    slim = written(steps.select(*RECORD, "seq", "observed_at", "snapshot_id", texts("before").alias("old_values"), texts("evidence").alias("new_values")))
+
+    track = F.when(how == "authoritative_first", policy.source_rank(F.col("predicate"), F.col("source"))).otherwise(F.lit(0))
+    moved = lambda values, by: F.transform(values, lambda v: F.struct(v.alias("value"), F.lit(by).alias("by")))
+    shifts = F.concat(moved(F.array_except("new_values", "old_values"), 1), moved(F.array_except("old_values", "new_values"), -1))
+    tracks = [*KEY, "value", "track"]
+    points = slim.select(*KEY, "seq", track.alias("track"), F.inline(shifts))
+    points = scan.running_sum(points, tracks, "seq", {"support": "by"}, block)
+    opens, closes = (F.col("by") == 1) & (F.col("support") == 1), (F.col("by") == -1) & (F.col("support") == 0)
+    points = points.where(opens | closes).groupBy(*KEY, "seq").agg(F.collect_list(F.struct("value", "track", "by")).alias("points"))  # those of one step
+
+    turned = slim.join(points, [*KEY, "seq"], "left")
+    turned = turned.withColumn("turn", F.when(how == "flag_conflict", F.coalesce(F.aggregate("points", F.lit(0), lambda n, x: n + x["by"]), F.lit(0))).otherwise(0))
+    turned = scan.running_sum(turned, KEY, "seq", {"open_values": "turn"}, block, keep_block=True)
+    was, now = F.col("open_values") - F.col("turn") > 1, F.col("open_values") > 1
+    changed = (F.size("old_values") > 0) & (F.col("old_values") != F.col("new_values"))
+    kinds = F.array_compact(F.array(F.when(changed, "value_changed"), F.when(~was & now, "fact.conflict_detected").when(was & ~now, "fact.conflict_resolved")))
+    numbered = turned.withColumn("kinds", kinds).withColumn("here", F.least(F.size("kinds"), F.lit(1)))
+    numbered = written(scan.running_sum(numbered, KEY, "seq", {"upto": "here"}, block).drop("turn", "open_values"))
+
+    # Events before (<= below) and up to (<= upto) the points of an interval; an interval that is still open ends with the last event.
+    at = numbered.select(*KEY, "seq", "upto", (F.col("upto") - F.col("here")).alias("below"), F.inline("points"))
+    ends = {"end_upto": "upto", "end_below": "below"}
+    spans = scan.neighbour(at, tracks, "seq", ends, direction="next", block=block).where("by = 1")
+    spans = spans.join(numbered.groupBy(*KEY).agg(F.max("upto").alias("last")).where("last > 0"), KEY)
+    side = lambda name, low, high: F.struct(F.lit(name).alias("side"), (F.col(low) + 1).alias("low"), F.coalesce(high, "last").alias("high"))
+    ranges = spans.select(*tracks, F.inline(F.array(side("old", "upto", "end_upto"), side("new", "below", "end_below")))).where("low <= high")
+    parts = ranges.withColumn("part", F.explode(F.expr(f"sequence(low div {fold_block}, high div {fold_block})")))
+    first = F.col("part") * fold_block
+    each = parts.select(*tracks, "side", F.explode(F.sequence(F.greatest("low", first), F.least("high", first + (fold_block - 1)))).alias("upto"))
+    step = ["source", "source_record_id", "snapshot_id", "observed_at", "seq", "old_values", "new_values", "kinds"]
+    events = numbered.where("here = 1").select(*KEY, "upto", F.struct(*step).alias("step"))
+    listed = lambda name: F.collect_list(F.when(F.col("side") == name, F.struct("track", "value"))).alias(name)
+    both = events.unionByName(each, allowMissingColumns=True).groupBy(*KEY, "upto").agg(F.first("step", ignorenulls=True).alias("step"), listed("old"), listed("new"))
+    both = both.select(*KEY, "step.*", "old", "new")
+
+    def text(values: Column) -> Column:
+        return F.concat(F.lit("["), F.concat_ws(",", values), F.lit("]"))
+
+    def best(name: str) -> Column:
+        least = F.array_min(F.transform(name, lambda x: x["track"]))
+        return text(F.array_sort(F.transform(F.filter(name, lambda x: x["track"] == least), lambda x: x["value"])))
+
+    details = F.when(F.col("event_type") == "value_changed", F.concat(
+        F.lit('{"new_source_values":'), text(F.col("new_values")), F.lit(',"old_source_values":'), text(F.col("old_values")), F.lit("}"))).otherwise('{"conflict_resolution":"flag_conflict"}')
+    swept = both.select(*RECORD, "snapshot_id", "observed_at", "seq", "old_values", "new_values", F.coalesce(best("old"), F.lit("[]")).alias("old_value_json"),
+                        F.coalesce(best("new"), F.lit("[]")).alias("new_value_json"), F.explode("kinds").alias("event_type")).withColumn("details_json", details)
     kind = F.when(F.col("event_type") == "value_changed", policy.change_type(F.col("predicate"))).otherwise(F.col("event_type"))
-    named = walked.withColumn("event_type", kind)
+    named = swept.withColumn("event_type", kind)
     content = ids.digest("event_type", *KEY, "source", "source_record_id", "snapshot_id", "observed_at", "old_value_json",
                          "new_value_json", "details_json")
     return named.withColumn("content_hash", content).select(
