@@ -5,9 +5,9 @@ stands in a response with a larger page_id, a ``revisit`` record without payload
 accepted tasks list them.
 
 Reading: members are inflated as the bytes come, in pieces of bounded size. A header ends at an empty line and its Content-Length frames
-the block; block and payload digests are verified. Only one record is in memory at a time.
+the block; block and payload digests are verified. Payloads that nobody asked for are let go with their record; those asked for are handed on by bytes.
 
-Cases: a null html is an empty payload; a null page_id or url has no header and comes back null; control characters of a url are written as %XX; among equal payloads a null page_id is
+Cases: a null html is an empty payload; a null page_id has a record id made of its digest, a null url has no header, both come back null; control characters of a url are written as %XX; among equal payloads a null page_id is
 the smallest; rows with the largest page_id of a payload, if there are several, are all responses; an empty table writes nothing and
 reads back empty; other columns are ignored.
 """
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import time
 import zlib
 from collections.abc import Iterator
 
@@ -29,19 +30,21 @@ from factloom.operators.stages import written
 LEAST_BYTES = 1_000
 PIECE = 1 << 16
 FILE_BYTES = 1 << 28
+HELD_BYTES = 1 << 24
+HELD_RECORDS = 4_000
 
 
 def _digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One record as a gzip member."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, seconds: float = 0.0) -> bytes:
+    """One record, dated ``seconds`` after 1970, as a gzip member."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = head if revisit else head + payload
-    fields = [("WARC-Type", "revisit" if revisit else "response")]
-    if page_id is not None:
-        fields.append(("WARC-Record-ID", f"<urn:page:{page_id}>"))
+    name = f"<urn:page:{page_id}>" if page_id is not None else f"<urn:sha1:{hashlib.sha1(b'%r %d ' % (url, revisit) + block).hexdigest()}>"
+    dated = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(seconds))
+    fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", name), ("WARC-Date", dated)]
     if url is not None:
         fields.append(("WARC-Target-URI", "".join(c if c >= " " else f"%{ord(c):02X}" for c in url)))
     if revisit:
@@ -53,7 +56,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 def _page(value: bytes | None) -> int | None:
-    return int(value[len(b"<urn:page:"):-1]) if value else None
+    return int(value[len(b"<urn:page:"):-1]) if value and value.startswith(b"<urn:page:") else None
 
 
 class Members:
@@ -108,7 +111,7 @@ class Members:
             raise ValueError("a member holds more than its record")
 
 
-def read_records(stream) -> Iterator[dict]:
+def read_records(stream, with_payload: bool = True) -> Iterator[dict]:
     """The records of an archive; a digest or length that doesn't hold is an error."""
     members = Members(stream)
     while members.begin():
@@ -128,10 +131,10 @@ def read_records(stream) -> Iterator[dict]:
             raise ValueError("a digest or length doesn't hold")
         yield {
             "page_id": _page(fields.get(b"warc-record-id")), "url": fields[b"warc-target-uri"].decode() if b"warc-target-uri" in fields else None, "payload_bytes": int(inner[b"content-length"]),
-            "payload_digest": base64.b32decode(digest.removeprefix("sha1:")).hex(), "record_type": kind, "refers_to": _page(fields.get(b"warc-refers-to")), "payload": payload if kind == "response" else None}
+            "payload_digest": base64.b32decode(digest.removeprefix("sha1:")).hex(), "record_type": kind, "refers_to": _page(fields.get(b"warc-refers-to")), "payload": payload if with_payload and kind == "response" else None}
 
 
-def _writer(folder: str):
+def _writer(folder: str, seconds: float):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = stream = None
         count = size = 0
@@ -143,7 +146,7 @@ def _writer(folder: str):
                     path = task_file(folder, ".warc.gz")
                     fs, place = resolved(path)
                     stream = fs.open_output_stream(place, compression=None)
-                data = record(page_id, url, (html or "").encode("utf-8"), refers_to, revisit)
+                data = record(page_id, url, (html or "").encode("utf-8"), refers_to, revisit, seconds)
                 stream.write(data)
                 count, size = count + 1, size + len(data)
                 if size >= FILE_BYTES:
@@ -170,7 +173,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
     again = slim.join(last, "digest").where("page_id IS NULL OR page_id < last").select(F.coalesce("page_id", F.lit(-(1 << 63))).alias("id"), "digest", "last").distinct()
     keyed = rows.withColumn("id", F.coalesce("page_id", F.lit(-(1 << 63)))).withColumn("digest", F.sha1(F.encode("html", "utf-8")))
     dealt = keyed.join(again, ["id", "digest"], "left").select("page_id", "url", "html", F.col("last").alias("refers_to"), F.col("last").isNotNull().alias("revisit"))
-    return written(dealt.mapInArrow(_writer(folder), "path string, n_records long, n_bytes long"))
+    return written(dealt.mapInArrow(_writer(folder, time.time()), "path string, n_records long, n_bytes long"))
 
 
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -180,18 +183,22 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
     """The records of the listed archives (with the payloads of responses)."""
     kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), **({"payload": pa.binary()} if with_payload else {})}
 
+    def batch_of(held: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({k: pa.array([h[k] for h in held], kind) for k, kind in kinds.items()})
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 fs, place = resolved(path)
-                held: list[dict] = []
+                held, size = [], 0
                 with fs.open_input_stream(place, compression=None) as stream:
-                    for got in read_records(stream):
+                    for got in read_records(stream, with_payload):
                         held.append(got)
-                        if len(held) == (64 if with_payload else 4_000):
-                            yield pa.RecordBatch.from_pydict({k: pa.array([h[k] for h in held], kind) for k, kind in kinds.items()})
-                            held = []
-                yield pa.RecordBatch.from_pydict({k: pa.array([h[k] for h in held], kind) for k, kind in kinds.items()})
+                        size += len(got["payload"] or b"")
+                        if len(held) == HELD_RECORDS or size >= HELD_BYTES:
+                            yield batch_of(held)
+                            held, size = [], 0
+                yield batch_of(held)
 
     return one_task_each(manifest.select("path"), manifest.count(), "path").mapInArrow(read, RECORD + (", payload binary" if with_payload else ""))
 
