@@ -1,8 +1,8 @@
 """Benchmark decontamination with a hash set of the normalised n-grams of all test items.
 
-Test items are few beside the documents: their distinct n-grams up to ``max_grams`` go to every task as sets inside the plan, hashes to
-look up each window of a document, words to verify a hit. So documents are scanned where they lie; only rows of hits and one row for each
-document are grouped. With more n-grams than that, every window is exploded and joined with them instead; Spark then picks the join.
+Test items are few beside the documents: their distinct n-grams up to ``max_grams`` and ``MAX_BYTES`` go to every task as sets inside the plan,
+hashes to look up each window of a document, words to verify a hit. So documents are scanned where they lie; only rows of hits and one row for
+each document are grouped. With more n-grams or bytes than that, every window is exploded and joined with them instead; Spark then picks the join.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. An item of fewer words than a window is one window of its own length.
 
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 10
 MAX_GRAMS = 50_000
+MAX_BYTES = 1 << 23
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
@@ -46,13 +47,15 @@ def occurring(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_grams
     """All rows of the documents with ``__words`` and ``__hits``: array of (at, length, gram), one for each window that occurs in an item."""
     grams = grams_of(items, window)
     distinct = grams.select("gram", "length").distinct()
-    some = distinct.limit(max_grams + 1).collect()  # bounded by max_grams
+    sized = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("gram")), F.lit(0)), F.array_sort(F.collect_set("length"))).first()
+    within = sized[0] <= max_grams and sized[1] <= MAX_BYTES
     keyed = _once(docs.drop("__words", "__hits"), "__words", words_of(F.col("text")))
-    lengths = sorted({r.length for r in some}) if len(some) <= max_grams else [r.length for r in distinct.select("length").distinct().collect()]  # 1 to window
-    if not some:
+    lengths = sized[2]  # 1 to window
+    if not lengths:
         return keyed.withColumn("__hits", F.expr("cast(array() as array<struct<at: int, length: int, gram: string>>)"))
 
-    if len(some) <= max_grams:
+    if within:
+        some = distinct.collect()  # bounded by max_grams and MAX_BYTES
         parts = [_hits(length, [r.gram for r in some if r.length == length], docs) for length in lengths]
         return _once(keyed, "__hits", parts[0] if len(parts) == 1 else F.concat(*parts))
     rows = keyed.withColumn("__row", F.monotonically_increasing_id())
@@ -97,6 +100,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_g
     marked = occurring(docs.select("doc_id", "text"), items, window, max_grams)
     rows = marked.select("doc_id", F.monotonically_increasing_id().alias("row"), F.size("__words").cast("long").alias("n_words"), covered(F.col("__hits")).cast("long").alias("n_hit"), F.transform("__hits", lambda h: h["gram"]).alias("grams"))
     each = rows.select("doc_id", "row", "n_words", "n_hit", F.explode_outer(F.array_distinct("grams")).alias("gram"))
+    # Rows without a hit get a key of their own that is no gram, so that a shuffled join doesn't send them all to one task.
+    each = each.withColumn("gram", F.coalesce("gram", F.concat(F.lit("\0"), F.col("row").cast("string"))))
     of_items = grams_of(items, window).select("gram", "item_id", "item_row")
     found = each.join(of_items, "gram", "left").groupBy("row", "doc_id", "n_words", "n_hit").agg(F.countDistinct("item_row").alias("n_items"), F.collect_set(F.col("item_id").cast("string")).alias("ids"))
     digest = F.sha2(F.concat_ws(",", F.array_sort("ids")), 256)

@@ -1,16 +1,19 @@
 """Joined BPE, the lexical scan and the Merkle manifest against plain versions."""
 
 import hashlib
+import io
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import joined_bpe, lexical_scan, merkle
+from factloom.llm import decontaminate, joined_bpe, lexical_scan, merkle, warc
+from factloom.llm.files import new_folder
 from factloom.llm.queries import tokenizer_path
 from factloom.llm.tokens import Texts
 
@@ -256,3 +259,29 @@ def test_long_labelled_documents_are_learned_whole(spark):
     assert all(np.array_equal(model.weights[k], again.weights[k]) for k in model.weights) if hasattr(model, "weights") else True
     scored = attention.score(docs, model, name="_score", predicted="_predicted")
     assert scored.columns == ["doc_id", "text", "score", "_score", "_predicted"] and scored.where("score IN ('x', 'y', 'z')").count() == 4
+
+
+def test_archives_have_dates_and_ids_and_hand_payloads_on_by_bytes(spark, monkeypatch):
+    named, unnamed = warc.record(7, "http://a/", b"x" * 10, None, False, 86_400.0), warc.record(None, None, b"x" * 10, None, False)
+    head = zlib.decompress(named, 31).split(b"\r\n\r\n")[0]
+    assert b"WARC-Date: 1970-01-02T00:00:00Z" in head and b"WARC-Record-ID: <urn:page:7>" in head
+    assert b"WARC-Record-ID: <urn:sha1:" in zlib.decompress(unnamed, 31)
+    first, second = warc.read_records(io.BytesIO(named + unnamed))
+    assert first["page_id"] == 7 and second["page_id"] is None and second["payload"] == b"x" * 10
+    assert [r["payload"] for r in warc.read_records(io.BytesIO(named + unnamed), with_payload=False)] == [None, None]
+    html = [chr(97 + i) * 40_000 for i in range(9)]
+    pages = spark.createDataFrame([(i, "http://a/", h) for i, h in enumerate(html)], "page_id long, url string, html string").coalesce(1)
+    monkeypatch.setattr(warc, "HELD_BYTES", 100_000)
+    manifest = warc.write_archives(pages, new_folder(spark, "warc"))
+    got = {r.page_id: bytes(r.payload).decode() for r in warc.read_archives(manifest, with_payload=True).collect()}
+    assert got == dict(enumerate(html))
+
+
+def test_long_items_are_joined_and_clean_documents_keep_their_rows(spark, monkeypatch):
+    item = " ".join(f"w{i}" for i in range(14))
+    docs = spark.createDataFrame([(i, "a " + item if i % 10 == 0 else "nothing of it " * 4) for i in range(60)] + [(60, None), (60, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("x", item), ("x", item), (None, "w" * 5_000)], "item_id string, text string")
+    sets = sorted(map(str, decontaminate.contamination(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "MAX_BYTES", 1_000)
+    assert sorted(map(str, decontaminate.contamination(docs, items).collect())) == sets
+    assert len(sets) == 62 and sum("contaminated=True" in r and "n_items=2" in r for r in sets) == 6
