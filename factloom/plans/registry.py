@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.plans import answering, claims, evaluation, gates, maintenance, relational, retrieval, sources, temporal, text
+from factloom.plans import answering, claims, evaluation, gates, maintenance, profiling, relational, retrieval, sources, temporal, text
 
-MODULES = [relational, text, temporal, maintenance, retrieval, answering, evaluation, claims, gates, sources]
+MODULES = [relational, text, temporal, maintenance, retrieval, answering, evaluation, claims, gates, sources, profiling]
 
 
 def queries():
