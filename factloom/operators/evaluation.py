@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,8 +154,88 @@ def bootstrap_positions(confidence: float, iterations: int) -> tuple[int, int]:
     return place(math.floor(alpha * iterations)), place(math.ceil((1 - alpha) * iterations) - 1)
 
 
-#: Quadruples of draws that one row makes.
-DRAW_BLOCK = 4096
+#: Quadruples of draws that one row makes, and that are held at a time.
+DRAW_ROW, DRAW_BLOCK = 1 << 20, 1 << 15
+
+_MD5_SHIFTS = [s for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for s in four * 4]
+_MD5_STEPS = [(int(abs(math.sin(i + 1)) * 2**32), (i, 5 * i + 1, 3 * i + 5, 7 * i)[i // 16] % 16) for i in range(64)]
+
+
+def _md5_words(parts: Sequence[bytes | np.ndarray]) -> list[np.ndarray]:
+    """The four words of the MD5 of many messages of one length: a part is a byte string, or an array with one byte of every message."""
+    message = [x for part in parts for x in ([np.uint32(c) for c in part] if isinstance(part, bytes) else [part])]
+    size = len(message)
+    message += [np.uint32(c) for c in b"\x80" + bytes((55 - size) % 64) + (8 * size).to_bytes(8, "little")]
+    shape = np.broadcast_shapes(*[x.shape for x in message])
+    state = [np.full(shape, x, dtype=np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    new, left = np.empty(shape, dtype=np.uint32), np.empty(shape, dtype=np.uint32)
+    for start in range(0, len(message), 64):
+        words = [message[i] | message[i + 1] << np.uint32(8) | message[i + 2] << np.uint32(16) | message[i + 3] << np.uint32(24) for i in range(start, start + 64, 4)]
+        a, b, c, d = (x.copy() for x in state)
+        for i, (add, at) in enumerate(_MD5_STEPS):
+            _md5_mix(i // 16, b, c, d, new)
+            new += a
+            new += words[at] + np.uint32(add)
+            np.left_shift(new, np.uint32(_MD5_SHIFTS[i]), out=left)
+            new >>= np.uint32(32 - _MD5_SHIFTS[i])
+            new |= left
+            new += b
+            a, d, c, b, new = d, c, b, new, a
+        for total, x in zip(state, (a, b, c, d), strict=True):
+            total += x
+    return state
+
+
+def _md5_mix(turn: int, b: np.ndarray, c: np.ndarray, d: np.ndarray, out: np.ndarray) -> None:
+    if turn == 3:
+        np.invert(d, out=out)
+        out |= b
+        out ^= c
+        return
+    kept, one, other = ((d, c, b), (c, b, d), (b, c, d))[turn]
+    np.bitwise_xor(one, kept if turn < 2 else other, out=out)
+    if turn < 2:
+        out &= other
+    out ^= kept
+
+
+def _by_length(low: int, high: int) -> Iterator[tuple[int, int, int]]:
+    """``(digits, from, to)`` of the numbers ``low <= x < high``, cut where they get one more decimal digit."""
+    while low < high:
+        digits = len(str(low))
+        yield digits, low, min(high, 10**digits)
+        low = 10**digits
+
+
+def _digits(numbers: np.ndarray, digits: int) -> list[np.ndarray]:
+    return [(numbers // 10**k % 10 + 48).astype(np.uint32) for k in reversed(range(digits))]
+
+
+def _draw_sums(name: str, n: int, plus: int, minus: int, i: int, i_end: int, j: int, j_end: int) -> np.ndarray:
+    """Sum of the draws of each iteration ``i .. i_end`` over the quadruples ``j .. j_end``: 1 for the first ``plus`` pairs, -1 for the next ``minus``."""
+    sums = np.zeros(i_end - i, dtype=np.int64)
+    first, second = -(-(plus << 32) // n), -(-((plus + minus) << 32) // n)  # the words below fall to the first pairs
+    below = lambda words, bound: (words < np.uint32(bound) if bound < 1 << 32 else np.ones_like(words, dtype=bool)).sum(axis=1)
+    for i_digits, i0, i1 in _by_length(i, i_end):
+        for j_digits, low, high in _by_length(j, j_end):
+            for j0 in range(low, high, DRAW_BLOCK):
+                js = np.arange(j0, min(high, j0 + DRAW_BLOCK), dtype=np.int64)
+                many = max(1, DRAW_BLOCK // len(js))
+                for at in range(i0, i1, many):
+                    block = np.arange(at, min(i1, at + many), dtype=np.int64)
+                    words = _md5_words([f"{name}:".encode(), *_digits(block[:, None], i_digits), b":", *_digits(js[None, :], j_digits)])
+                    for k, word in enumerate(words):
+                        drawn = word[:, :max(0, min(len(js), -(-(n - k) // 4) - j0))].byteswap()
+                        sums[at - i:at - i + len(block)] += 2 * below(drawn, first) - below(drawn, second)
+    return sums
+
+
+def _draws(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            with np.errstate(over="ignore"):  # 32-bit sums wrap
+                sums = _draw_sums(r.name, r.n, r.p, r.m, r.i, r.i_end, r.j, r.j_end) if r.n else np.zeros(r.i_end - r.i, dtype=np.int64)
+            yield pd.DataFrame({"__name": r.name, "__n": r.n, "__i": np.arange(r.i, r.i_end), "d": sums})
 
 
 def bootstrap_interval(counts: DataFrame, groups: Sequence[str], *, confidence: float = 0.95, iterations: int = 10_000,
@@ -162,26 +244,22 @@ def bootstrap_interval(counts: DataFrame, groups: Sequence[str], *, confidence:
 
     A draw only needs the cell it falls in, so pairs are numbered by cell: system only, baseline only, the rest. The four draws
     ``4 j .. 4 j + 3`` of an iteration are the four 32-bit words of the MD5 of ``seed:groups:iteration:j``, scaled to the number of
-    pairs, so any engine can repeat them. Draws are cut into rows of bounded length, spread over the tasks and added up.
+    pairs, so any engine can repeat them. The grid of iterations and quadruples is cut into rows of about ``DRAW_ROW`` digests, spread over
+    the tasks and added up; a task takes the digests of ``DRAW_BLOCK`` messages at a time, as arrays.
     """
     low, high = bootstrap_positions(confidence, iterations)
     n, plus, minus = (F.col(c).cast("bigint") for c in ("question_count", "system_only", "baseline_only"))
     name = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(g).cast("string"), F.lit("")) for g in groups])
-    base = counts.select(*groups, n.alias("__n"), plus.alias("__p"), minus.alias("__m"), name.alias("__name"), F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("__i"))
-    quads = F.floor((F.col("__n") + 3) / 4).cast("int")
+    base = counts.select(n.alias("n"), plus.alias("p"), minus.alias("m"), name.alias("name"), F.floor((n + 3) / 4).cast("bigint").alias("quads"))
+    some = F.floor(F.lit(DRAW_ROW) / F.greatest("quads", F.lit(1))).cast("bigint")  # iterations of one row
+    base = base.withColumn("some", F.greatest(F.lit(1).cast("bigint"), F.least(some, F.lit(max(1, iterations // 64)).cast("bigint"))))
+    zero = F.lit(0).cast("bigint")
+    base = base.select("*", F.explode(F.sequence(zero, F.lit(iterations - 1).cast("bigint"), F.col("some"))).alias("i"))
+    base = base.select("*", F.explode(F.sequence(zero, F.greatest(F.col("quads") - 1, zero), F.lit(DRAW_ROW).cast("bigint"))).alias("j"))
+    cells = base.select("name", "n", "p", "m", "i", F.least(F.col("i") + F.col("some"), F.lit(iterations)).alias("i_end"),
+                        "j", F.least(F.col("j") + DRAW_ROW, "quads").alias("j_end"))
     tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a set number: the rows are small, their work is not
-    base = base.repartition(tasks, "__i").select("*", F.explode(F.sequence(F.lit(0), F.floor((quads - 1) / DRAW_BLOCK).cast("int"))).alias("__b"))
-
-    def quad(acc: Column, j: Column) -> Column:
-        digest = F.md5(F.concat_ws(":", "__name", F.col("__i").cast("string"), j.cast("string")))
-        for k in range(4):
-            at = F.shiftright(F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("bigint") * F.col("__n"), 32)
-            cell = F.when(at < F.col("__p"), 1).when(at < F.col("__p") + F.col("__m"), -1).otherwise(0)
-            acc = acc + F.when(j.cast("bigint") * 4 + k < F.col("__n"), cell).otherwise(0)
-        return acc
-
-    block = F.sequence(F.col("__b") * DRAW_BLOCK, F.least(quads, (F.col("__b") + 1) * DRAW_BLOCK) - 1)
-    drawn = base.select("__name", "__n", "__i", F.aggregate(block, F.lit(0), quad).alias("d"))
+    drawn = cells.repartition(tasks, "name", "n", "i", "j").mapInPandas(_draws, "__name string, __n long, __i long, d long")
     sums = drawn.groupBy("__name", "__n", "__i").agg(F.sum("d").alias("d")).groupBy("__name", "__n", "d").agg(F.count(F.lit(1)).alias("c"))
     upto = F.sum("c").over(Window.partitionBy("__name").orderBy("d"))
     bound = lambda place: F.min(F.when(F.col("upto") > place, F.col("d")))
