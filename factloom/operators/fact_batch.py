@@ -44,6 +44,11 @@ def write_state(facts: DataFrame, evidence: DataFrame, path: str, buckets: int =
         dealt.write.partitionBy("open", "bucket").parquet(f"{path}/{name}")
 
 
+def read_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables of a stored state, whole."""
+    return tuple(spark.read.parquet(f"{path}/{name}").drop("open", "bucket") for name in ("facts", "evidence"))
+
+
 def read_open(spark: SparkSession, path: str, batch: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
     """Open facts and current evidence in the partitions of the batch's fields."""
     touched = [r[0] for r in batch.select(_bucket(buckets)).distinct().collect()]  # one number for each bucket at most
@@ -78,7 +83,9 @@ def apply_batch(facts: DataFrame, evidence: DataFrame, batch: DataFrame, policy:
     item = F.struct(*[F.col("fact_evidence_id").alias("evidence_id") if c == "evidence_id" else F.col(c) for c in shape])
     newest = [c for c in fresh.columns if c not in {*f.RECORD, "seq", "evidence"}]
     starts = held.groupBy(*f.RECORD).agg(F.max("opened_seq").alias("seq"), F.sort_array(F.collect_list(item)).alias("evidence"), *[F.max_by(c, "opened_seq").alias(c) for c in newest])
-    seen = f.with_previous(starts.select(*fresh.columns).unionByName(fresh), block)
+    given = starts.select(*fresh.columns).unionByName(fresh)
+    lengths = f.Lengths.of(given, block)
+    seen = f.together(f.with_previous(rows, cut) for rows, cut in lengths.parts(given))
 
     groups = Observation("groups")
     is_new, changed = F.col("seq") >= since, f.changes_evidence()
@@ -92,11 +99,12 @@ def apply_batch(facts: DataFrame, evidence: DataFrame, batch: DataFrame, policy:
         *[F.max_by(c, "opened_seq").alias(c) for c in newest])
     kept = same.withColumns({"delta": F.lit(1), "opened": F.array().cast(rows.schema["opened"].dataType), "closed": F.array().cast("array<string>")})
     values = rows.withColumn("stored_fact", F.lit(None).cast(none)).unionByName(kept.select(*rows.columns, "stored_fact"))
-    values = written(f._with_opener(values, policy, block))
+    parts = [(written(f._with_opener(rows, policy, cut)), stored, cut) for (rows, cut), (stored, _) in zip(lengths.parts(values), lengths.parts(held), strict=True)]
+    values = f.together(rows for rows, _, _ in parts)
 
     proof, store = Observation("evidence"), Observation("facts")
     new = F.col("opened_seq") >= since
-    spans = written(f._evidence(values, block, held).observe(proof, F.count_if(new).alias("created")))
+    spans = written(f.together(f._evidence(rows, cut, stored) for rows, stored, cut in parts).observe(proof, F.count_if(new).alias("created")))
     found = written(f._facts(values, spans, policy).observe(store, F.count_if(new).alias("created")))
     told = Observation("events")
     events = written(f.Reconciled(found, spans, steps, policy, block, fold_block, since).events.observe(told, F.count(F.lit(1)).alias("created")))

@@ -3,8 +3,8 @@
 An observation is the complete set of values one source record gives for ``(subject, predicate)`` at one time; an empty
 set takes the values back. Observations carry a unique integer ``seq``, the order in which they arrived.
 
-All history is derived with running sums along ``seq`` (see :mod:`factloom.operators.scan`), so a subject with a very
-long history is spread over many tasks:
+All history is derived with running sums along ``seq`` (see :mod:`factloom.operators.scan`). Fields are dealt to the tasks once and folded there; a
+field with more than ``block`` observations (counted) is cut into blocks and spread over many tasks:
 
 * the evidence set of a source record before a step is the set of its previous observation;
 * a value is open while at least one source record supports it; its support count is a running sum of +1 and -1;
@@ -15,8 +15,9 @@ A value that returns after a gap (A, B, A) opens a new fact and a new evidence i
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ KEY = ["subject_type", "subject_id", "predicate"]
 RECORD = [*KEY, "source", "source_record_id"]
 VALUES_TYPE = "array<struct<value_json:string,display_value:string,source_locator:string,evidence_text:string>>"
 FOLD_BLOCK = 50_000
+#: Observations of short fields that one task folds, about.
+TASK_ROWS = 100_000
 
 
 # ---------------------------------------------------------------- observations
@@ -193,14 +196,53 @@ def _ids(evidence: str) -> Column:
     return F.transform(evidence, lambda e: e["evidence_id"])
 
 
+@dataclass(frozen=True)
+class Lengths:
+    """Which fields are too long for one task, and the number of tasks for the others."""
+
+    block: int
+    tasks: int
+    long: DataFrame | None
+
+    @staticmethod
+    def of(rows: DataFrame, block: int) -> Lengths:
+        counts = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+        seen = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.max("n").alias("longest")).first()
+        tasks = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-seen.rows // 2_000))
+        long = written(counts.where(F.col("n") > block).select(*KEY)) if (seen.longest or 0) > block else None
+        return Lengths(block, max(1, tasks, -(-seen.rows // TASK_ROWS)), long)
+
+    def parts(self, df: DataFrame) -> list[tuple[DataFrame, int | None]]:
+        """The rows of the short fields, which need no blocks, and those of the long ones with their block."""
+        if self.long is None:
+            return [(df, None)]
+        marked = F.broadcast(self.long.select(*[F.col(k).alias(f"__long_{k}") for k in KEY]))  # at most one for ``block`` rows
+        same = F.lit(True)
+        for k in KEY:
+            same = same & F.col(k).eqNullSafe(F.col(f"__long_{k}"))
+        return [(df.join(marked, same, "left_anti"), None), (df.join(marked, same, "left_semi"), self.block)]
+
+    def dealt(self, df: DataFrame) -> list[tuple[DataFrame, int | None]]:
+        """``parts`` with all rows of a short field in one task."""
+        return [(rows.repartition(self.tasks, *KEY) if block is None else rows, block) for rows, block in self.parts(df)]
+
+
+def together(frames: Iterable[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
 def change_steps(observations: DataFrame, block: int = scan.DEFAULT_BLOCK) -> DataFrame:
     """Observations that change the evidence of their source record, with the evidence held before the step."""
+    return together(_steps(rows, cut) for rows, cut in Lengths.of(observations, block).dealt(observations))
+
+
+def _steps(observations: DataFrame, block: int | None) -> DataFrame:
     return with_previous(with_evidence(observations), block).filter(changes_evidence())
 
 
-def with_previous(observations: DataFrame, block: int = scan.DEFAULT_BLOCK) -> DataFrame:
+def with_previous(observations: DataFrame, block: int | None = scan.DEFAULT_BLOCK) -> DataFrame:
     """Every observation (with evidence) and what its source record held before it."""
-    seen = scan.neighbour(written(observations), RECORD, "seq", {"before": "evidence"}, block=block)
+    seen = scan.neighbour(observations if block is None else written(observations), RECORD, "seq", {"before": "evidence"}, block=block)
     return seen.withColumn("before", F.coalesce("before", F.filter("evidence", lambda e: F.lit(False))))
 
 
@@ -248,16 +290,21 @@ def reconcile(observations: DataFrame, policy: Policy, block: int = scan.DEFAULT
     ``facts``: identity, value, status and validity of every value ever open. ``evidence``: every evidence interval and
     its fact. ``events``: value changes and conflict edges. ``steps``: the observations that changed something.
     """
-    steps = written(change_steps(observations, block))
-    values = written(_with_opener(value_rows(steps), policy, block))
-    evidence = written(_evidence(values, block))
-    facts = _facts(values, evidence, policy)
-    return Reconciled(facts, evidence, steps, policy, block, fold_block)
+    parts = []
+    for rows, cut in Lengths.of(observations, block).dealt(observations):
+        steps = _steps(rows, cut) if cut is None else written(_steps(rows, cut))
+        values = written(_with_opener(value_rows(steps), policy, cut))
+        parts.append((steps, values, _evidence(values, cut)))
+    steps, values, evidence = (together(frames) for frames in zip(*parts, strict=True))
+    evidence = written(evidence)
+    return Reconciled(written(_facts(values, evidence, policy)), evidence, steps, policy, block, fold_block)
 
 
-def _with_opener(values: DataFrame, policy: Policy, block: int) -> DataFrame:
+def _with_opener(values: DataFrame, policy: Policy, block: int | None) -> DataFrame:
     on = [*KEY, "value_hash"]
-    v = written(scan.running_sum(written(values), on, "seq", {"support": "delta"}, block))
+    v = values if block is None else written(values)
+    v = scan.running_sum(v, on, "seq", {"support": "delta"}, block)
+    v = v if block is None else written(v)
     opens = (F.col("delta") == 1) & (F.col("support") == 1)
     fact_id = ids.prefixed_id("fact_", 32, *KEY, "value_hash", "observed_at", F.coalesce("snapshot_id", "source"))
     opener = F.struct(F.col("seq").alias("seq"), fact_id.alias("fact_id"), F.col("observed_at").alias("valid_from"),
@@ -280,10 +327,9 @@ def _facts(values: DataFrame, evidence: DataFrame, policy: Policy) -> DataFrame:
     support = evidence.filter("is_current").groupBy(*on).agg(
         F.min(policy.source_rank(F.col("predicate"), F.col("source"))).alias("rank"))
     per_field = support.groupBy(*KEY).agg(F.count(F.lit(1)).alias("open_values"), F.min("rank").alias("best_rank"))
-    # Closed facts need no status lookup; the NULL value hash keeps them out of the joins.
-    ranked = found.withColumn("__open_hash", F.when(~F.col("__closed"), F.col("value_hash")))
-    ranked = ranked.join(support.withColumnRenamed("value_hash", "__open_hash"), [*KEY, "__open_hash"], "left")
-    ranked = ranked.join(per_field, KEY, "left")
+    # Closed facts need no status lookup and stay out of the joins.
+    ranked = found.where(~F.col("__closed")).join(support, on, "left").join(per_field, KEY, "left")
+    ranked = ranked.unionByName(found.where(F.coalesce("__closed", F.lit(True))), allowMissingColumns=True)
     how = policy.resolution(F.col("predicate"))
     status = (F.when(F.col("__closed"), "superseded")
               .when(how == "flag_conflict", F.when(F.col("open_values") > 1, "conflicted").otherwise("current"))
@@ -301,7 +347,7 @@ _BODY = ("fact_id", "value_hash", "snapshot_id", "source_url", "confidence", "ex
          "source_locator", "evidence_text", "content_hash")
 
 
-def _evidence(values: DataFrame, block: int, stored: DataFrame | None = None) -> DataFrame:
+def _evidence(values: DataFrame, block: int | None, stored: DataFrame | None = None) -> DataFrame:
     """Evidence intervals; ``stored`` has evidence that was current before the first step."""
     common = [*RECORD, "seq", "observed_at"]
     brought = values.select(*common, "value_hash", "snapshot_id", "source_url", "confidence", "extractor", "review_status",
@@ -315,7 +361,8 @@ def _evidence(values: DataFrame, block: int, stored: DataFrame | None = None) ->
         opened = opened.unionByName(stored.select(*RECORD, F.col("opened_seq").alias("seq"), "observed_at", F.col("fact_evidence_id").alias("evidence_id"), kept.alias("__open")))
     both = opened.unionByName(closed, allowMissingColumns=True)
     on = [*RECORD, "evidence_id"]
-    spans = scan.running_last(written(both), on, "seq", {"span": F.col("__open")}, block)
+    both = both.repartition(*on) if block is None else written(both)
+    spans = scan.running_last(both, on, "seq", {"span": F.col("__open")}, block)
     ends = F.max(F.when(F.col("__open").isNull(), F.col("observed_at"))).alias("valid_to")
     spans = spans.groupBy(*on, F.col("span.seq").alias("opened_seq")).agg(F.first("span").alias("o"), ends)
     return spans.select(F.col("evidence_id").alias("fact_evidence_id"), *RECORD, *[F.col(f"o.{n}").alias(n) for n in _BODY],
@@ -334,10 +381,13 @@ def change_events(steps: DataFrame, policy: Policy, block: int = scan.DEFAULT_BL
 
     Where the best source decides, a value has one interval per rank of its sources, and a list keeps the values of its best rank.
     """
-    how = policy.resolution(F.col("predicate"))
     texts = lambda c: F.array_sort(F.array_distinct(F.transform(c, lambda e: e["value_json"])))
     slim = written(steps.select(*RECORD, "seq", "observed_at", "snapshot_id", texts("before").alias("old_values"), texts("evidence").alias("new_values")))
+    return together(_change_events(rows, policy, cut, fold_block) for rows, cut in Lengths.of(slim, block).parts(slim))
+
 
+def _change_events(slim: DataFrame, policy: Policy, block: int | None, fold_block: int) -> DataFrame:
+    how = policy.resolution(F.col("predicate"))
     track = F.when(how == "authoritative_first", policy.source_rank(F.col("predicate"), F.col("source"))).otherwise(F.lit(0))
     moved = lambda values, by: F.transform(values, lambda v: F.struct(v.alias("value"), F.lit(by).alias("by")))
     shifts = F.concat(moved(F.array_except("new_values", "old_values"), 1), moved(F.array_except("old_values", "new_values"), -1))

@@ -5,6 +5,9 @@ integer, so the block ``floor(seq / block)`` holds at most ``block`` rows of any
 ``(key, block)``; one summary row per ``(key, block)`` carries the state from block to block. Rows are shuffled once, on
 ``(key, block)``; the summaries that carry nothing are dropped, so for short histories the join side is almost empty and
 is broadcast at run time. Key columns must not be NULL.
+
+Where no key has many rows, cutting them by ``seq`` only makes a summary row of almost every row. ``block=None`` says that every key fits a task:
+one window for each key, no summaries and no join. Frames that are dealt by some of the keys already are not shuffled again.
 """
 
 from __future__ import annotations
@@ -18,8 +21,10 @@ DEFAULT_BLOCK = 1 << 18
 _BLK = "__blk"
 
 
-def with_block(df: DataFrame, seq: str, block: int = DEFAULT_BLOCK) -> DataFrame:
+def with_block(df: DataFrame, seq: str, block: int | None = DEFAULT_BLOCK) -> DataFrame:
     """Add the block column, unless a scan over the same keys left it in place."""
+    if block is None:
+        return df
     if block < 1:
         raise ValueError("block must be positive")
     if _BLK in df.columns:
@@ -40,11 +45,14 @@ def _finish(df: DataFrame, keep_block: bool, *extra: str) -> DataFrame:
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], seq: str, sums: dict[str, str | Column],
-                block: int = DEFAULT_BLOCK, keep_block: bool = False) -> DataFrame:
+                block: int | None = DEFAULT_BLOCK, keep_block: bool = False) -> DataFrame:
     """Add ``out = sum(value)`` over the rows of the key up to and including this row."""
     df = with_block(df, seq, block)
     for out, value in sums.items():
         df = df.withColumn(f"__v_{out}", (F.col(value) if isinstance(value, str) else value).cast("bigint"))
+    if block is None:
+        whole = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumns({out: F.sum(f"__v_{out}").over(whole) for out in sums}).drop(*[f"__v_{out}" for out in sums])
     on = [*keys, _BLK]
     totals = df.groupBy(*on).agg(*[F.sum(f"__v_{out}").alias(f"__t_{out}") for out in sums])
     before = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
@@ -60,11 +68,14 @@ def running_sum(df: DataFrame, keys: Sequence[str], seq: str, sums: dict[str, st
 
 
 def running_last(df: DataFrame, keys: Sequence[str], seq: str, values: dict[str, Column],
-                 block: int = DEFAULT_BLOCK, keep_block: bool = False) -> DataFrame:
+                 block: int | None = DEFAULT_BLOCK, keep_block: bool = False) -> DataFrame:
     """Add ``out`` = the last non-NULL value of the key up to and including this row."""
     df = with_block(df, seq, block)
     for out, value in values.items():
         df = df.withColumn(f"__v_{out}", value)
+    if block is None:
+        whole = Window.partitionBy(*keys, F.col(seq).isNull()).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumns({out: F.last(f"__v_{out}", ignorenulls=True).over(whole) for out in values}).drop(*[f"__v_{out}" for out in values])
     on = [*keys, _BLK]
     ends = _spanning(df, keys).groupBy(*on).agg(*[F.max_by(f"__v_{out}", F.when(F.col(f"__v_{out}").isNotNull(), F.col(seq)))
                                  .alias(f"__t_{out}") for out in values])
@@ -81,12 +92,15 @@ def running_last(df: DataFrame, keys: Sequence[str], seq: str, values: dict[str,
 
 
 def neighbour(df: DataFrame, keys: Sequence[str], seq: str, columns: dict[str, str], *, direction: str = "previous",
-              block: int = DEFAULT_BLOCK, keep_block: bool = False) -> DataFrame:
+              block: int | None = DEFAULT_BLOCK, keep_block: bool = False) -> DataFrame:
     """Add the named columns of the previous (or next) row of the same key as ``{out: source column}``."""
     if direction not in {"previous", "next"}:
         raise ValueError(f"unknown direction: {direction}")
     back = direction == "previous"
     df = with_block(df, seq, block)
+    if block is None:
+        whole = Window.partitionBy(*keys, F.col(seq).isNull()).orderBy(seq)
+        return df.withColumns({out: (F.lag if back else F.lead)(src).over(whole) for out, src in columns.items()})
     on = [*keys, _BLK]
     payload = F.struct(F.col(seq).alias("__s"), *[F.col(src).alias(out) for out, src in columns.items()])
     edges = _spanning(df, keys).groupBy(*on).agg((F.max_by if back else F.min_by)(payload, F.col(seq)).alias("__edge"))

@@ -146,7 +146,7 @@ def batch_on_store(spark, sf):
     fact_batch.write_state(before.facts, before.evidence, path)
     batch = seen.filter(F.col("seq") >= cut)
     open_facts, current = fact_batch.read_open(spark, path, batch)
-    return before, fact_batch.apply_batch(open_facts, current, batch, policy)
+    return fact_batch.read_state(spark, path), fact_batch.apply_batch(open_facts, current, batch, policy)
 
 
 @query("WITH " + STEPS_SQL + """
@@ -157,7 +157,7 @@ FROM fact LEFT JOIN st USING (subject_id, predicate, val)""")
 def fact_batch_store(spark, sf):
     """Old store and batch together: the same facts as one fold over everything."""
     before, applied = batch_on_store(spark, sf)
-    f, _ = fact_batch.merged(before.facts, before.evidence, applied)
+    f, _ = fact_batch.merged(*before, applied)
     return f.select("fact_id", "subject_id", "predicate", F.col("normalized_value_json").alias("value"), "valid_from",
                     "valid_to", "status", "opened_seq")
 

@@ -195,3 +195,16 @@ def test_a_batch_must_come_later_and_may_be_empty(spark):
         fact_batch.apply_batch(store.facts, store.evidence, table, policy)
     nothing = fact_batch.apply_batch(store.facts, store.evidence, table.limit(0), policy)
     assert tuple(nothing.counters.first()) == (0, 0, 0, 0, 0) and nothing.facts.isEmpty() and nothing.events.isEmpty()
+
+
+def test_short_fields_are_dealt_once_whatever_their_sequence_spans(spark):
+    one = facts.value_struct(F.lit("user.click"), F.col("id").cast("string"), F.col("id").cast("string"))
+    seen = spark.range(60).select(
+        F.lit("user").alias("subject_type"), (F.col("id") % 3).cast("string").alias("subject_id"), F.lit("user.click").alias("predicate"), F.array(one).cast(facts.VALUES_TYPE).alias("values"),
+        F.lit("registry").alias("source"), F.lit("r").alias("source_record_id"), F.lit("2024-01-01").alias("observed_at"), F.lit("u").alias("source_url"),
+        F.lit(None).cast("string").alias("snapshot_id"), (F.col("id") * 10**6).alias("seq"))
+    plan = facts.change_steps(seen)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    cut = facts.change_steps(seen, 5)  # 20 observations of each field: long ones
+    assert "Join" in cut._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, cut.collect())) == sorted(map(str, facts.change_steps(seen).collect()))
