@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import sqlite3
 
 import numpy as np
@@ -159,3 +160,12 @@ def test_filters_of_each_question(spark, chunks, questions):
     fused = retrieval.search("hybrid", chunks, questions, index=index, top_k=4, required_entities=only, question_topics=topics,
                              question_entities=only)
     assert set(r.chunk_id for r in retrieval.with_chunk(fused, chunks).collect()) <= set(info)
+
+
+def test_scoring_tasks_follow_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "TASK_PAIRS", 50)
+    chunks = spark.range(40).select(F.col("id").cast("string").alias("chunk_id"), F.lit("alpha beta gamma").alias("content"))
+    questions = spark.createDataFrame([(str(i), "alpha gamma") for i in range(10)], "question_id string, question string")
+    scored = retrieval.bm25_scores(chunks, questions)
+    assert "hashpartitioning(chunk_id, 16)" in re.sub(r"#\d+L?", "", scored._jdf.queryExecution().executedPlan().toString())  # 40 chunks x 10 questions x 2 phrases
+    assert scored.count() == 400
