@@ -7,6 +7,8 @@ import re
 import sqlite3
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,3 +171,30 @@ def test_scoring_tasks_follow_the_pairs(spark, monkeypatch):
     scored = retrieval.bm25_scores(chunks, questions)
     assert "hashpartitioning(chunk_id, 16)" in re.sub(r"#\d+L?", "", scored._jdf.queryExecution().executedPlan().toString())  # 40 chunks x 10 questions x 2 phrases
     assert scored.count() == 400
+
+
+def test_embedding_by_steps(spark, monkeypatch):
+    """Vectors are the same however texts and tokens are dealt to steps, and a step's matrices are of a bounded number of rows."""
+    def plain(words):
+        v = np.zeros(384)
+        for w in words or ():
+            h = hashlib.sha256(w.encode()).digest()
+            v[int.from_bytes(h[:4], "little") % 384] += 1.0 if h[4] & 1 else -1.0
+        return v / max(float(np.sqrt((v * v).sum())), 1e-12)
+
+    texts = [["a"], None, [], ["b", "a", "b"] * 5, [f"w{i}" for i in range(40)], ["c"]]
+    monkeypatch.setattr(retrieval, "STEP_TOKENS", 7)
+    monkeypatch.setattr(retrieval, "STEP_ROWS", 2)
+    array = pa.array([["x"], *texts], pa.list_(pa.string())).slice(1)
+    assert [list(v) for v in retrieval._embedded(array, 384).to_pylist()] == [list(plain(t)) for t in texts]
+    assert retrieval._embedded(array.slice(0, 0), 384).to_pylist() == []
+    df = spark.createDataFrame([(1, "A-b ß 长x"), (2, None), (3, "")], "i int, t string")
+    got = {r.i: r.v for r in df.select("i", retrieval.hashing_embedding(F.col("t")).alias("v")).collect()}
+    assert got[1] == list(plain(["a", "b", "ss", "x", "长"])) and got[2] == got[3] == [0.0] * 384
+
+    rows, seen = pd.DataFrame({"k": [str(i) for i in range(9)], "g": ["x", "y", "z"] * 3, "v": [np.array([float(i % 4), 1.0]) for i in range(9)]}), []
+    best = retrieval._best_rows
+    monkeypatch.setattr(retrieval, "_best_rows", lambda held, pdf, *rest: seen.append(len(pdf)) or best(held, pdf, *rest))
+    blocks = [(["q"], np.array([[1.0, 0.0]]), None)]
+    found = pd.concat(retrieval._local_topk([rows, rows[:0]], blocks, ["k", "g"], 2))
+    assert max(seen) == 2 and sum(seen) == 9 and list(found["k"]) == ["3", "7"] and list(found["score"]) == [3.0, 3.0]
