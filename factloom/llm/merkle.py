@@ -147,20 +147,22 @@ def _up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def swept(nodes: DataFrame, round_nodes: int = ROUND_NODES, ranges: int | None = None) -> list[tuple[DataFrame, bool]]:
-    """The rounds of the upward sweep, written, and whether one task did them. ``ranges`` of the first round: as Spark chooses, or one for few nodes."""
+    """The rounds of the upward sweep, written, and whether one task did them. ``ranges`` of the first round: as many as shuffles have, or one for few nodes."""
     rounds: list[tuple[DataFrame, bool]] = []
+    # Given as a number, adaptive execution doesn't join the ranges by their bytes.
+    ranges = ranges or int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
         order = [F.col("tree").asc_nulls_first(), F.col("last"), F.col("level")]
         if ranges == 1:
             dealt = nodes.repartition(1)
         else:
-            dealt = nodes.repartitionByRange(ranges, *order) if ranges else nodes.repartitionByRange(*order)
+            dealt = nodes.repartitionByRange(ranges, *order)
         rounds.append((written(dealt.sortWithinPartitions(*order).mapInArrow(_up, SWEPT)), ranges == 1))
         waiting = rounds[-1][0].where(F.col("kind") == OUT)
         left = waiting.count()
         if not left:
             return rounds
-        ranges = min(-(-left // round_nodes), max(1, (ranges or left) // 2))
+        ranges = min(-(-left // round_nodes), max(1, ranges // 2))
         nodes = waiting.withColumn("origin", F.col("pid")).drop("pid", "kind")
 
 
