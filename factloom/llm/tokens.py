@@ -7,6 +7,8 @@ A batch of texts is one UTF-8 buffer with offsets, as Arrow hands it over. Words
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,15 +152,48 @@ def piece_starts(texts: Texts) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+#: Bytes of pieces that are encoded as one string.
+CHUNK_BYTES = 4_000
+#: 1: part of a letter, 2: digit, 3: ASCII mark, 0: anything else. The two-byte characters under 0xC3 to 0xC9 are letters but for U+00D7 and U+00F7.
+CLASS = np.zeros(256, dtype=np.uint8)
+CLASS[0x21:0x7F] = 3
+CLASS[0x30:0x3A] = 2
+CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xCA)]] = 1
+APOSTROPHE = 0x27
+
+
+def _classes(buffer: np.ndarray) -> np.ndarray:
+    kinds = CLASS[buffer]
+    leads = np.flatnonzero((buffer[:-1] >= 0xC3) & (buffer[:-1] <= 0xC9))
+    kinds[leads + 1] = 1
+    signs = leads[(buffer[leads] == 0xC3) & ((buffer[leads + 1] == 0x97) | (buffer[leads + 1] == 0xB7))]
+    kinds[signs] = kinds[signs + 1] = 0
+    return kinds
+
+
+def match_starts(texts: Texts) -> np.ndarray:
+    """``piece_starts`` and the places between letters, digits and marks, where a match of the byte-level pattern ends as well.
+
+    Only after an apostrophe may a match (``'s``) hold characters of two of these classes.
+    """
+    buffer = texts.buffer
+    kinds = _classes(buffer)
+    cut = np.zeros(len(buffer), dtype=bool)
+    cut[1:] = (kinds[1:] != kinds[:-1]) & (kinds[1:] != 0) & (kinds[:-1] != 0) & (buffer[:-1] != APOSTROPHE)
+    cut[piece_starts(texts)] = True
+    return np.flatnonzero(cut)
+
+
 class Encoder:
     """Ids of many texts under a byte-level BPE of the tokenizers library.
 
-    Texts are cut into pieces (``piece_starts``); equal pieces of a step are encoded once. The first ``limit`` pieces stay known to later
-    steps; that saves time only.
+    Texts are cut into pieces (``match_starts``); equal pieces of a step are encoded once. The first ``limit`` pieces stay known to later
+    steps; that saves time only. A piece that is one match of the library's own pattern goes straight to its merges; the others, and
+    all pieces of a tokenizer with another pattern, go through the whole tokenizer.
     """
 
     def __init__(self, path: str, limit: int = 300_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -166,69 +201,93 @@ class Encoder:
         self.lengths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.lengths[i] = len(token)  # one character of a byte-level token stands for one byte
+        saved = json.loads(self.tokenizer.to_str())
+        cutter = saved["pre_tokenizer"] or {}
+        self.plain = saved["normalizer"] is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter["add_prefix_space"]
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")  # no byte is written as a space
+        own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.letters = np.zeros(256, dtype="<u4")  # the character that stands for each byte
+        self.letters[own] = own
+        self.letters[[b for b in range(256) if b not in own]] = 256 + np.arange(256 - len(own))
         self.limit = limit
         self.known: dict[bytes, int] = {}
         self.ids, self.begin = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 16, dtype=np.int64)
 
-    def _many(self, data: list[bytes]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in data], add_special_tokens=False)
-        return [np.array(x.ids, dtype=np.int32) for x in found]
-
-    def _learn(self, pieces: list[bytes], joins: list[bool]) -> None:
-        """Encode new pieces and keep their ids.
-
-        Pieces that begin with ASCII white space and end otherwise are joined; the lengths of the ids in bytes tell where each ends.
-        """
+    @staticmethod
+    def _many(tokenizer, data: list[str]) -> np.ndarray:
+        found = tokenizer.encode_batch_fast(data, add_special_tokens=False) if data else []
+        return np.concatenate([np.zeros(0, np.int32), *(np.array(x.ids, dtype=np.int32) for x in found)])
+
+    def _matches(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that are one match each: all ids, and the number of them for each piece."""
+        edge = np.append(0, np.cumsum(lengths + 1))  # a delimiter before each piece
+        text = np.full(int(edge[-1]), 0x20, dtype="<u4")
+        text[ranges(edge[:-1] + 1, lengths)] = self.letters[data[ranges(starts, lengths)]]
+        cuts = np.unique(edge[np.searchsorted(edge, np.append(np.arange(0, edge[-1], CHUNK_BYTES), edge[-1]))]).tolist()
+        return self._counted(self._many(self.merges, [text[a:b].tobytes().decode("utf-32-le") for a, b in itertools.pairwise(cuts)]), lengths)
+
+    def _counted(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids, and the number of them for each piece; the lengths of the ids in bytes tell where each ends."""
+        upto = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(lengths), side="left") + 1
+        return ids, np.diff(upto, prepend=0)
+
+    def _others(self, pieces: list[bytes], joins: list[bool], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any pieces; those that begin with ASCII white space and end otherwise are joined."""
         chunks: list[list[bytes]] = []
         size = 0
         for piece, joined in zip(pieces, joins, strict=True):
-            if not chunks or not joined or size > 4_000:
+            if not chunks or not joined or size > CHUNK_BYTES:
                 chunks.append([])
                 size = 0
             chunks[-1].append(piece)
             size = size + len(piece) if joined else 1 << 30
-        got = self._many([b"".join(c) for c in chunks])
-        used = int(self.begin[len(self.known)])
-        new = sum(map(len, got))
-        if used + new > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(new, len(self.ids)), dtype=np.int32)])
-        if len(self.known) + len(pieces) + 1 > len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros(max(len(pieces) + 1, len(self.begin)), dtype=np.int64)])
-        for chunk, ids in zip(chunks, got, strict=True):
-            ends = np.cumsum(self.lengths[ids])
-            upto = np.searchsorted(ends, np.cumsum([len(p) for p in chunk]), side="left") + 1
-            at = len(self.known)
-            self.begin[at + 1:at + 1 + len(chunk)] = used + upto
-            self.ids[used:used + len(ids)] = ids
-            used += len(ids)
-            self.known.update(zip(chunk, range(at, at + len(chunk))))
+        return self._counted(self._many(self.tokenizer, [b"".join(c).decode("utf-8") for c in chunks]), lengths)
+
+    def _learn(self, distinct: list[bytes], edges: np.ndarray, data: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Encode new pieces, keep their ids and return them in the order of their slots."""
+        first = data[edges[:-1]]
+        odd = np.append(0, np.cumsum((_classes(data) == 0) | (data == APOSTROPHE)))
+        spaced = (first == 0x20) & (np.diff(edges) > 1)
+        one = (odd[edges[1:]] - odd[edges[:-1]] == spaced)[new] & self.plain
+        joins = SPACE[first] & _ends_plain(data)[edges[1:] - 1]
+        lengths = np.diff(edges)
+        matches, others = new[one], new[~one]
+        new = np.concatenate([matches, others])
+        got = [self._matches(data, edges[matches], lengths[matches]), self._others([distinct[k] for k in others], joins[others].tolist(), lengths[others])]
+        ids, counts = (np.concatenate(x) for x in zip(*got, strict=True))
+        at = len(self.known)
+        used = int(self.begin[at])
+        if used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(ids), len(self.ids)), dtype=np.int32)])
+        if at + len(new) + 1 > len(self.begin):
+            self.begin = np.concatenate([self.begin, np.zeros(max(len(new) + 1, len(self.begin)), dtype=np.int64)])
+        self.ids[used:used + len(ids)] = ids
+        self.begin[at + 1:at + 1 + len(new)] = used + np.cumsum(counts)
+        return new
 
     def __call__(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the index of the first id of each text (one more than texts)."""
         if not len(texts.buffer):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        starts = piece_starts(texts)
+        starts = match_starts(texts) if self.plain else piece_starts(texts)
         offsets = np.append(starts, len(texts.buffer)).astype(np.int64)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(texts.buffer))])
         coded = pieces.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        slots = list(map(self.known.get, distinct))
-        if new := [k for k, found in enumerate(slots) if found is None]:
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        slots = np.array([self.known.get(piece, -1) for piece in distinct], dtype=np.int64)
+        if len(new := np.flatnonzero(slots < 0)):
             edges = np.frombuffer(coded.dictionary.buffers()[1], dtype=np.int64)[:len(distinct) + 1]
-            data = np.frombuffer(coded.dictionary.buffers()[2], dtype=np.uint8)[:edges[-1]]
-            joins = SPACE[data[edges[:-1]]] & _ends_plain(data)[edges[1:] - 1]
+            new = self._learn(distinct, edges, np.frombuffer(coded.dictionary.buffers()[2], dtype=np.uint8)[:edges[-1]], new)
             at = len(self.known)
-            self._learn([distinct[k] for k in new], joins[new].tolist())
-            for i, k in enumerate(new, at):
-                slots[k] = i
-        slot = np.array(slots, dtype=np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+            slots[new] = np.arange(at, at + len(new))
+            kept = new[:max(0, self.limit - at)].tolist()
+            self.known.update(zip([distinct[k] for k in kept], range(at, at + len(kept)), strict=True))
+        slot = slots[coded.indices.to_numpy(zero_copy_only=False)]
         counts = self.begin[slot + 1] - self.begin[slot]
         total = np.zeros(len(slot) + 1, dtype=np.int64)
         np.cumsum(counts, out=total[1:])
-        ids = self.ids[ranges(self.begin[slot], counts)]
-        for k in new[max(0, len(new) - max(0, len(self.known) - self.limit)):]:
-            del self.known[distinct[k]]
-        return ids, total[np.searchsorted(starts, texts.offsets)]
+        return self.ids[ranges(self.begin[slot], counts)], total[np.searchsorted(starts, texts.offsets)]
 
 
 @functools.cache

@@ -143,6 +143,22 @@ def test_op3_round_trip(docs, empty, tokenizer):
     assert token_files.tokenized(empty, queries.tokenizer_path()).count() == 0
 
 
+def test_words_and_marks_are_pieces_of_their_own(tokenizer):
+    """One piece for a word, whatever mark follows; such pieces need the merges alone, and the ids stay those of the whole tokenizer."""
+    encode = tokens.Encoder(queries.tokenizer_path())
+    whole, encode.tokenizer = encode.tokenizer, None  # not to be asked for words, numbers and marks
+    texts = [f"stone{mark} über{mark} 42{mark} www.stone{mark}42" for mark in ("", ",", ".", "!?", ";", ")")]
+    ids, first = encode(tokens.Texts.of(texts))
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(first.tolist())] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert {p.decode() for p in encode.known} == {"stone", " über", " 42", " www", "42", ",", ".", "!?", ";", ")"}
+    encode.tokenizer = whole
+    sides = ["a", "é", "×", "7", "²", ".", "'", "''", ",'", "'s", "'ll", " ", "\n", "\xa0", "中", "ʰ", "\u0301", "_"]
+    texts = [f"{x}{y}{z}" for x, y, z in itertools.product(sides, repeat=3)]
+    for limit in (40, 300_000):
+        ids, first = tokens.Encoder(queries.tokenizer_path(), limit)(tokens.Texts.of(texts))
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(first.tolist())] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_simple8b_words_and_escapes():
     rng = np.random.default_rng(0)
     for values in ([], [0], [1] * 7, [0] * 500, [2**63, 2**60 - 1, 2**60 - 2, 5], rng.integers(0, 50_000, 5_000), np.concatenate([np.zeros(300), rng.integers(0, 3, 1_000), rng.integers(0, 2**62, 50)])):
